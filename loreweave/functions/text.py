@@ -18,11 +18,14 @@ def occurrences(text: Column, word: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("bigint")
 
 
-def keyword_score(text: Column, keywords: list[str]) -> Column:
-    low = F.lower(text)
+def lower_score(low: Column, keywords: list[str]) -> Column:
     return sum((occurrences(low, k) for k in keywords), F.lit(0).cast("bigint"))
 
 
+def keyword_score(text: Column, keywords: list[str]) -> Column:
+    return lower_score(F.lower(text), keywords)
+
+
 def first_line_with(text: Column, keywords: list[str], most: int = 160) -> Column:
     """The first line that holds one of the words, trimmed and cut."""
     hit = F.filter(F.split(text, r"\r?\n"), lambda s: F.lower(s).rlike("|".join(keywords)))

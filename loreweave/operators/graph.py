@@ -71,10 +71,11 @@ def isolated_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
     """Hashes of the distinct runs of ``size`` words of each text that has that many."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    docs = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("w"))
+    w = F.col("w")  # a column of its own: inside the lambda it would be computed for every run
     last = F.greatest(F.size(w) - (size - 1), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " ")))
-    return docs.select(key, F.when(F.size(w) >= size, F.array_distinct(runs)).alias("s")).where("s is not null")
+    return docs.where(F.size(w) >= size).select(key, F.array_distinct(runs).alias("s"))
 
 
 def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
@@ -86,7 +87,8 @@ def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.
     """
     classes = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("h")).agg(F.min(key).alias(key), F.first(text).alias(text))
     sets = shingle_sets(classes, key, text)
-    flat = sets.select(key, F.size("s").alias("n"), F.explode("s").alias("x"))
+    # outer, as the arrays are never empty: an inner one adds a filter that computes them a second time
+    flat = sets.select(key, F.size("s").alias("n"), F.explode_outer("s").alias("x"))
     rarity = flat.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     alone = flat.join(rarity, "x").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("known"))
     prefix_size = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_line_with, keyword_score, plain_path, words
+from ..functions.text import first_line_with, keyword_score, lower_score, plain_path, words
 from ..session import table
 
 QUESTION = "which backlink graph reads the snapshot store after the nightly retention sweep"
@@ -14,8 +14,9 @@ KEYWORDS = ["which", "backlink", "graph", "reads", "the", "snapshot", "store", "
 
 def keyword_topk(pages: DataFrame, text: str, keywords: list[str], keys: list[str], k: int = 10) -> DataFrame:
     """Top pages by the sum of word occurrences; ties go to the smaller key."""
-    scored = pages.withColumn("score", keyword_score(F.col(text), keywords)).where("score > 0")
-    return scored.orderBy(F.desc("score"), *keys).limit(k)
+    # the lower case of a text is a column of its own, and the cut comes before the filter: else either is computed again and again
+    scored = pages.withColumn("_low", F.lower(text)).withColumn("score", lower_score(F.col("_low"), keywords)).drop("_low")
+    return scored.orderBy(F.desc("score"), *keys).limit(k).where("score > 0")
 
 
 def _distinct_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,7 @@ def wiki_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def word_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and documents of every search word that stands in more than one document."""
-    split = _distinct_docs(spark, d).select("doc_id", F.explode(words(F.col("text"))).alias("word"))
+    split = _distinct_docs(spark, d).select("doc_id", F.explode_outer(words(F.col("text"))).alias("word")).where("word is not null")
     per = split.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("word").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents")).where("documents > 1")
 
@@ -94,19 +95,13 @@ BUCKETS = 64
 
 def mock_buckets(text: Column) -> Column:
     """The offline embedding before its norm: +1 or -1 per word in one of 64 buckets, by the word's MD5."""
-    signed = F.transform(
-        F.split(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+"),
-        lambda w: F.struct(
-            F.pmod(F.conv(F.substring(F.md5(w), 31, 2), 16, 10).cast("int"), F.lit(BUCKETS)).alias("b"),
-            F.when(F.pmod(F.conv(F.substring(F.md5(w), 29, 2), 16, 10).cast("int"), F.lit(2)) == 1, 1).otherwise(-1).alias("s"),
-        ),
-    )
-    return signed
+    tails = F.transform(F.split(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+"), lambda w: F.conv(F.substring(F.md5(w), 29, 4), 16, 10).cast("int"))
+    return F.transform(tails, lambda h: F.struct(F.pmod(h, F.lit(BUCKETS)).alias("b"), F.when(F.pmod(F.shiftright(h, 8), F.lit(2)) == 1, 1).otherwise(-1).alias("s")))
 
 
 def mock_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse mock vectors: key, bucket, integer value (zero buckets left out), and the squared norm."""
-    parts = docs.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").select(key, F.explode(mock_buckets(F.col(text))).alias("p"))
+    parts = docs.where(F.trim(F.regexp_replace(text, r"\s+", " ")) != "").select(key, F.explode_outer(mock_buckets(F.col(text))).alias("p"))
     values = parts.groupBy(key, F.col("p.b").alias("bucket")).agg(F.sum("p.s").alias("value")).where("value <> 0")
     return values
 
