@@ -15,7 +15,7 @@ SENSITIVE = r"(^|/)(\.env[^/]*|[^/]*\.(pem|key|p12)|id_[a-z0-9]+)$"
 
 def read_pages(spark: SparkSession, directory: str) -> DataFrame:
     """Every Markdown file below a directory, a row each: relative path, size, time, header fields, body. Files in hidden folders are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(directory)
+    raw = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     full = F.col("_metadata.file_path")
     rel = F.regexp_replace(F.regexp_replace(full, r"^file:/+", "/"), "^" + directory.rstrip("/") + "/", "")
     files = raw.select(rel.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
@@ -43,7 +43,7 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task lines of a Markdown roadmap with their section, sign, priority, title and known fields."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"(?m)^##[ \t]+")).alias("s", "part"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^##[ \t]+")).alias("s", "part"))
     section = F.trim(F.regexp_extract("part", r"^([^\r\n]*)", 1))
     lines = raw.where("s > 0").select("s", section.alias("section"), F.posexplode(F.split("part", r"\r?\n")).alias("i", "line"))
     m = r"^- \[(.)\] (?:(P[0-3]) )?([^|]*?)\s*(?:\|(.*))?$"

@@ -26,7 +26,7 @@ def current(spark: SparkSession, root: str) -> tuple[int, str | None]:
     names = sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
     if not names:
         return 0, None
-    text = spark.read.option("wholetext", True).text(f"{root}/_pointers/{names[-1]}").first()[0]
+    text = spark.read.text(f"{root}/_pointers/{names[-1]}", wholetext=True).first()[0]
     return names[-1], json.loads(text)["directory"]
 
 
