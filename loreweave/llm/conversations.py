@@ -86,16 +86,29 @@ def _placed(spoken: DataFrame) -> DataFrame:
 
 
 def fill_instants(rows: DataFrame) -> DataFrame:
-    """Give rows without a readable time the instant of the nearest earlier line of their file (else the nearest later)."""
-    missing = rows.where("at is null and is_turn").select("session_id", "transcript_path", "line_no")
-    known = rows.where("at is not null").select("session_id", "transcript_path", F.col("line_no").alias("k"), F.col("at").alias("known"))
-    near = (
-        missing.join(known, ["session_id", "transcript_path"])
-        .groupBy("session_id", "transcript_path", "line_no")
-        .agg(F.max_by("known", F.when(F.col("k") < F.col("line_no"), F.col("k"))).alias("before"), F.min_by("known", F.when(F.col("k") > F.col("line_no"), F.col("k"))).alias("after"))
-        .select("session_id", "transcript_path", "line_no", F.coalesce("before", "after", F.lit(0)).alias("filled"))
+    """Give turns without a readable time the instant of the nearest earlier line of their file, else of the nearest later one, else 0.
+
+    Only files with such a turn are looked at; range blocks along the lines give the neighbours inside a block,
+    and one row per file and block those beyond it.
+    """
+    file = ["session_id", "transcript_path"]
+    lines = rows.select(*file, "line_no", "at", "is_turn")
+    short = lines.where("at is null and is_turn").select(*file).distinct()
+    placed = blocks(lines.join(short, file, "left_semi"), [*file, "line_no"])
+    w = Window.partitionBy("_block", *file).orderBy("line_no")
+    near = placed.withColumn("before", F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "after", F.first("at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     )
-    return rows.join(near, ["session_id", "transcript_path", "line_no"], "left").withColumn("at", F.coalesce("at", "filled")).drop("filled")
+    known = F.when(F.col("at").isNotNull(), F.col("line_no"))
+    ends = placed.groupBy(*file, "_block").agg(F.max_by("at", known).alias("end"), F.min_by("at", known).alias("start"))
+    by_block = Window.partitionBy(*file).orderBy("_block")
+    carried = ends.select(
+        *file, "_block",
+        F.last("end", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("start", ignorenulls=True).over(by_block.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    filled = near.where("at is null and is_turn").join(carried, [*file, "_block"]).select(*file, "line_no", F.coalesce("before", "earlier", "after", "later", F.lit(0)).alias("filled"))
+    return rows.join(filled, [*file, "line_no"], "left").withColumn("at", F.coalesce("at", "filled")).drop("filled")
 
 
 def session_states(transcript: DataFrame) -> DataFrame:

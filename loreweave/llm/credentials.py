@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import spread
 
@@ -358,7 +359,8 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
                     ids.append(key)
                     nos.append(n)
                     ns.append(len(found))
-            yield pd.DataFrame({"id": ids, "line_no": nos, "n_found": ns})
+            if ids:
+                yield pd.DataFrame({"id": ids, "line_no": nos, "n_found": ns})
 
     slim = _slim(chunks).where("id is not null and content is not null and content <> ''")
     found = spread(slim, "id").mapInPandas(scan, "id bigint, line_no int, n_found int")
@@ -366,23 +368,23 @@ def find_credentials(chunks: DataFrame) -> DataFrame:
 
 
 def redact_credentials(chunks: DataFrame) -> DataFrame:
-    """Every row of ``chunks`` with ``content`` blanked where credentials stood, and ``n_redacted``."""
-    rest = [c for c in chunks.columns if c != "content"]
-    names = {c: f"_{i}_{c}" for i, c in enumerate(rest)}
-    schema = chunks.schema
+    """Every row of ``chunks`` with ``content`` blanked where credentials stood, and ``n_redacted`` (a column of that name is replaced).
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The text goes through Python alone; all other columns stay where they are.
+    """
+    path = F.col("file_path") if "file_path" in chunks.columns else F.lit(None).cast("string")
+    kind = F.col("kind") if "kind" in chunks.columns else F.lit(None).cast("string")
+
+    @F.pandas_udf("content string, n int")
+    def clean(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         automaton = _automaton()
-        for pdf in batches:
-            texts, counts = [], []
-            paths = pdf["file_path"] if "file_path" in pdf else [None] * len(pdf)
-            kinds = pdf["kind"] if "kind" in pdf else [None] * len(pdf)
-            for text, path, kind in zip(pdf["content"], paths, kinds):
-                spans = find_spans(text, path, kind, automaton) if text else []
-                texts.append(blank(text, spans) if spans else text)
-                counts.append(len({s[1] for s in spans if s[0]}))
-            yield pdf.assign(content=texts, n_redacted=counts)
-
-    del names
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_redacted int"
-    return chunks.mapInPandas(clean, out)
+        for contents, paths, kinds in frames:
+            rows = []
+            for text, where, what in zip(contents, paths, kinds):
+                spans = find_spans(text, where, what, automaton) if text else []
+                rows.append((blank(text, spans) if spans else text, len({s[1] for s in spans if s[0]})))
+            yield pd.DataFrame(rows, columns=["content", "n"])
+
+    kept = [c for c in chunks.columns if c not in ("content", "n_redacted")]
+    done = chunks.select(*kept, clean(F.col("content"), path, kind).alias("__redacted"))
+    return done.select(*kept, F.col("__redacted.content").alias("content"), F.col("__redacted.n").alias("n_redacted"))

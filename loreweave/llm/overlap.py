@@ -104,7 +104,7 @@ def same_question(a: list[str], b: list[str], known: dict[str, int]) -> bool:
     if all(w in FILLER_STEMS or any(len(w) > 4 and edits(w, f, 1) <= 1 for f in FILLER_STEMS if len(f) > 4) for w in rest):
         return bool(content) or not rest
     # one name in one word on one side, in several on the other
-    one, other = "".join(a), "".join(b)
+    one, other = "".join(a).replace("ie", "y"), "".join(b).replace("ie", "y")
     return max(len(a), len(b)) <= 6 and sorted(one) == sorted(other)
 
 
@@ -155,7 +155,7 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
         F.first("words").alias("words"), F.bool_or(F.col("side") == "training").alias("in_train"), F.bool_or(F.col("side") != "training").alias("in_held")
     )
     fillers = F.array(*[F.lit(w) for w in sorted(FILLER_STEMS)])
-    joined = F.array_join("words", "")
+    joined = F.replace(F.array_join("words", ""), F.lit("ie"), F.lit("y"))
     # A name written as one word meets the same name in several: short queries are posted whole, too.
     content = F.array_distinct(F.filter("words", lambda w: ~F.array_contains(fillers, w)))
     content = F.when(F.size(content) > 0, content).otherwise(F.col("words"))

@@ -89,6 +89,8 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def pack_documents(docs: DataFrame, packs: DataFrame, tokenizer: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Every item of every capacity with its pack. ``packs`` is the small table of capacities (a row each)."""
     sizes = [(r["pack_name"], int(r["capacity_tokens"])) for r in packs.select("pack_name", "capacity_tokens").distinct().orderBy("pack_name").toLocalIterator() if r["capacity_tokens"]]
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     measured = token_sizes(texts, tokenizer or tokenizer_path(), [c for _, c in sizes]).groupBy("doc_id").agg(
         *[F.first(c).alias(c) for c in ("n_tokens", "n_chars", "curve", "parts")]

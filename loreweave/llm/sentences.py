@@ -124,21 +124,24 @@ def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost matched quotation marks and brackets of a block."""
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
+    awaited: dict[str, int] = {}  # closing marks that would match something on the stack
     for m in PAIR_MARK.finditer(text, start, end):
         mark, at = m.group(), m.start()
-        close = next((i for i in range(len(stack) - 1, -1, -1) if mark in PAIRS[stack[i][0]]), -1)
-        if close >= 0:
-            opener = stack[close][1]
-            del stack[close:]
-            found = [p for p in found if p[0] < opener]
+        if awaited.get(mark):
+            while True:
+                top, opener = stack.pop()
+                for c in PAIRS[top]:
+                    awaited[c] -= 1
+                if mark in PAIRS[top]:
+                    break
+            while found and found[-1][0] > opener:
+                found.pop()
             found.append((opener, at))
         elif mark in PAIRS and mark != "»":
             stack.append((mark, at))
-    out: list[tuple[int, int]] = []
-    for p in sorted(found):
-        if not out or p[0] > out[-1][1]:
-            out.append(p)
-    return out
+            for c in PAIRS[mark]:
+                awaited[c] = awaited.get(c, 0) + 1
+    return found
 
 
 def _wide(ch: str) -> bool:
@@ -166,7 +169,7 @@ def _full_stop_ends(text: str, unit: int, at: int, nxt: int, german: list[bool],
         return False
     if word in BEFORE_NUMBER and (follows.isdigit() or follows == "."):
         return False
-    if word == "sr" and not re.search(r"(?:^|\s)[A-ZÀ-Þ][\w'-]+\s+$", text[max(unit, at - 32) : at - 2]):
+    if word == "sr" and not re.search(r"(?:^|\s)(?!(?:El|La|Los|Las|Il|Lo|The|Der|Le)\s)[A-ZÀ-Þ][\w'-]+\s+$", text[max(unit, at - 32) : at - 2]):
         return False  # a title before a name, not the elder of two after one
     if word in MAY_END:
         return follows.isupper() or follows in "¿¡«„“\"(" or FILE_NAME.match(text, nxt) is not None
@@ -198,15 +201,21 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 tail -= 1
             if ENDS.match(text[tail - 1]) and tail - 1 > o:
                 kept.append((tail - 1, c + 1, (o, c)))
-        events = sorted(kept)
+        events = sorted(kept, key=lambda e: e[:2])
+    opens_at = {o for o, _ in pairs}
     if SPACED_SCRIPT.search(text, start, end):
-        inside = lambda p: any(o < p < c for o, c in pairs)
-        events = sorted(events + [(m.start(), m.start(), "space") for m in SPACED_SCRIPT.finditer(text, start, end) if not inside(m.start())], key=lambda e: e[:2])
+        k = 0
+        for m in SPACED_SCRIPT.finditer(text, start, end):
+            while k < len(pairs) and pairs[k][1] < m.start():
+                k += 1
+            if not (k < len(pairs) and pairs[k][0] < m.start()):
+                events.append((m.start(), m.start(), "space"))
+        events.sort(key=lambda e: e[:2])
     for a, b, pair in events:
         if a < unit:
             continue
         nxt = b
-        while nxt < end and text[nxt] in PAIR_CLOSERS and pair is None and not any(o == nxt for o, _ in pairs):
+        while nxt < end and text[nxt] in PAIR_CLOSERS and pair is None and nxt not in opens_at:
             nxt += 1
         b = nxt
         while nxt < end and text[nxt].isspace():
@@ -309,7 +318,8 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     if with_text:
                         said.append(text[s:e])
             cols = {id_col: ids, "sentence_no": nos, "start_pos": starts, "end_pos": ends}
-            yield pd.DataFrame(cols | ({"sentence": said} if with_text else {}))
+            if ids:
+                yield pd.DataFrame(cols | ({"sentence": said} if with_text else {}))
 
     slim = docs.select(id_col, text_col).where(f"{text_col} is not null and {id_col} is not null")
     return spread(slim, id_col).mapInPandas(cut, schema)

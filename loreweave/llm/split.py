@@ -302,7 +302,8 @@ def find_units(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: int = M
             for key, kind, lang, path, text in pdf[["id", "kind", "lang", "file_path", "content"]].itertuples(index=False, name=None):
                 found = {1: ""} | dict(reversed(unit_starts(text, kind, lang, path)))
                 rows.extend((key, n, unit) for n, unit in found.items())
-            yield pd.DataFrame(rows, columns=["id", "line_no", "unit"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "line_no", "unit"])
 
     found = spread(slim, "id").mapInPandas(scan, "id bigint, line_no int, unit string")
     return found.groupBy("id", "line_no").agg(F.max("unit").alias("unit"))

@@ -76,9 +76,13 @@ def cut(offsets: Sequence[tuple[int, int]], capacity: int, length: int) -> list[
         b = min(n, a + capacity)
         if b < n:
             c = b
-            while c > a + 1 and offsets[c][0] < offsets[c - 1][1]:  # a character of several tokens
+            while c > a and offsets[c][0] < offsets[c - 1][1]:  # a character of several tokens
                 c -= 1
-            b = c if c > a + 1 or capacity == 1 else b
+            if c == a:  # one character has more tokens than the capacity: it stays whole
+                c = b
+                while c < n and offsets[c][0] < offsets[c - 1][1]:
+                    c += 1
+            b = c
         parts.append((offsets[a][0] if a else 0, offsets[b][0] if b < n else length, b - a))
         a = b
     return parts
