@@ -35,23 +35,41 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Make sure there is a checkpoint folder: the one the session names; where it names none, as in tests, one of its own."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+
+
 def blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
     """Add ``_block``: the number of a range partition over ``order``.
 
     Ranges are cut by sampled quantiles, so a single hot key is spread over as many blocks
-    as its share needs, and block order is the order of the keys.
+    as its share needs, and block order is the order of the keys. The cuts are sampled anew each time the frame is
+    computed: one that is read twice must be fixed first, see ``fixed_blocks``.
     """
     n = n or task_count(df.sparkSession)
     return df.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id())
 
 
+def fixed_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
+    """``blocks`` written to the checkpoint folder, so that all readers see the same cuts."""
+    checkpoints(df.sparkSession)
+    return blocks(df, order, n).checkpoint()
+
+
 def running_sum(df: DataFrame, part: str, order: Sequence[str], value: str, out: str, n: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` by ``order`` within ``part``, without one task per ``part``.
 
     Range blocks hold bounded slices of a hot ``part``; a window inside (part, block) gives local
     sums, and the offsets come from one small row per (part, block).
     """
-    placed = blocks(df, [F.col(part), *[F.col(c) for c in order]], n)
+    placed = fixed_blocks(df, [F.col(part), *[F.col(c) for c in order]], n)
     inside = Window.partitionBy(part, "_block").orderBy(*order)
     local = placed.withColumn("_upto", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     sums = local.groupBy(part, "_block").agg(F.max("_upto").alias("_sum"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, fixed_blocks
 
 # Spellings of the two speakers.
 USER_ROLES = ("user", "human", "customer", "utente")
@@ -72,15 +72,11 @@ def turns(folded: DataFrame) -> DataFrame:
     )
 
 
-def _placed(spoken: DataFrame) -> DataFrame:
-    """Turns in range blocks along (session, instant, line), each with the speaker before it in its block.
-
-    A missing instant is filled from the nearest line before in the same file; those rows are
-    few and are looked up by line, so no file is gathered for it.
-    """
-    turns_ = spoken.where("is_turn")
-    order = ["session_id", "at", "line_no", "transcript_path"]
-    placed = blocks(turns_.select("session_id", "transcript_path", "line_no", "speaker", "text", "at"), [F.col(c) for c in order])
+def _placed(spoken: DataFrame, fixed: bool = False) -> DataFrame:
+    """Turns in range blocks along (session, instant, line), each with the speaker after it in its block."""
+    turns_ = spoken.where("is_turn").select("session_id", "transcript_path", "line_no", "speaker", "text", "at")
+    order = [F.col(c) for c in ("session_id", "at", "line_no", "transcript_path")]
+    placed = fixed_blocks(turns_, order) if fixed else blocks(turns_.drop("text"), order)
     inside = Window.partitionBy("session_id", "_block").orderBy("at", "line_no", "transcript_path")
     return placed.withColumn("pos", F.row_number().over(inside)).withColumn("next", F.lead("speaker").over(inside))
 
@@ -94,7 +90,7 @@ def fill_instants(rows: DataFrame) -> DataFrame:
     file = ["session_id", "transcript_path"]
     lines = rows.select(*file, "line_no", "at", "is_turn")
     short = lines.where("at is null and is_turn").select(*file).distinct()
-    placed = blocks(lines.join(short, file, "left_semi"), [*file, "line_no"])
+    placed = fixed_blocks(lines.join(short, file, "left_semi"), [*file, "line_no"])
     w = Window.partitionBy("_block", *file).orderBy("line_no")
     near = placed.withColumn("before", F.last("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "after", F.first("at", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
@@ -156,7 +152,7 @@ def conversations(transcript: DataFrame) -> DataFrame:
     One row per turn, not one array per session, so that a session of any size can be written.
     """
     rows = turns(events(transcript))
-    placed = _placed(fill_instants(rows))
+    placed = _placed(fill_instants(rows), fixed=True)
     sums = placed.groupBy("session_id", "_block").agg(F.max("pos").alias("n"))
     before = Window.partitionBy("session_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("session_id", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))

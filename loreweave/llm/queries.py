@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import checkpoints, table
 from .conversations import conversations, dropped_sessions, session_states
 from .credentials import find_credentials, redact_credentials
 from .handwritten import not_handwritten
@@ -19,17 +19,6 @@ from .split import find_units, split_oversized
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Where the session names no shared folder, as in tests, checkpoints go to one of its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-
-
 def _over(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         checkpoints(spark)
@@ -73,5 +62,27 @@ def queries() -> dict[str, Query]:
     }
 
 
+_TURNS = r"""(with e as (select session_id, transcript_path, line_no, event_type, trim(event_time) as t, message.role as role, message.content as content from transcript where session_id is not null
+    qualify row_number() over (partition by session_id, transcript_path, line_no order by received_at desc nulls last, row_id desc) = 1),
+  w as (select *, coalesce(regexp_matches(content, '^\s*\[\s*(\{|\]|$)'), false) as is_array, lower(trim(role)) as r, lower(trim(event_type)) as k,
+    case when regexp_matches(t, '^\d{9,17}$') then try_cast(t as hugeint) * case when length(t) <= 11 then 1000000 when length(t) <= 14 then 1000 else 1 end else epoch_us(try_cast(t as timestamptz)) end::bigint as own from e),
+  x as (select *, is_array and not json_valid(content) as damaged, case when is_array then case when json_valid(content) then
+      array_to_string(list_transform(list_filter(json_transform(content, '[{"type":"VARCHAR","text":"VARCHAR"}]'), lambda b: coalesce(b.type, 'text') = 'text' and trim(regexp_replace(b.text, '\s+', ' ', 'g')) <> ''), lambda b: b.text), chr(10)) end else content end as words,
+    case when k = 'system' and role is null then 'system' when r in ('user', 'human', 'customer', 'utente') then 'user' when r in ('assistant', 'ai', 'model', 'bot', 'assistente') then 'assistant' when r = 'system' then 'system' when k in ('user', 'assistant') then k end as speaker,
+    coalesce(own, last_value(own ignore nulls) over (f rows between unbounded preceding and current row), first_value(own ignore nulls) over (f rows between current row and unbounded following), 0) as "at"
+    from w window f as (partition by session_id, transcript_path order by line_no)),
+  y as (select *, regexp_replace(words, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as text from x)
+  select *, coalesce(not damaged and speaker in ('user', 'assistant') and text <> '' and not regexp_matches(lower(text), '^[\s\p{Z}]*\(no[\s_-]*content\)[\s\p{Z}]*$') and not regexp_matches(text, '^<(command|local-command)-'), false) as is_turn from y)"""
+_STATES = f"""(with t as (select * from {_TURNS}), o as (select *, row_number() over s as n, lead(speaker) over s as following from t where is_turn window s as (partition by session_id order by "at", line_no, transcript_path)),
+  talk as (select session_id, count(*) as turns, bool_or(n = 1 and speaker = 'assistant') as opened, bool_or(speaker = 'user' and coalesce(following, 'user') = 'user') as unanswered from o group by session_id),
+  files as (select session_id, bool_or(damaged) as damaged, bool_or(lost) as lost from (select session_id, transcript_path, bool_or(damaged) as damaged, max(line_no) is null or count(line_no) < max(line_no) or min(line_no) < 1 as lost from t group by all) group by session_id)
+  select session_id, coalesce(turns, 0) as turns, coalesce(turns is null or opened or unanswered, true) or lost or damaged as dropped from files left join talk using (session_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the results that plain SQL can state; the others are tested against brute force or exact round trips."""
+    return {
+        "p4_found": f"select session_id from {_STATES} where dropped",
+        "p4_conversations": f"""select session_id, row_number() over (partition by session_id order by "at", line_no, transcript_path)::bigint as turn_no, speaker as role, text as content, "at"
+          from {_TURNS} where is_turn and session_id in (select session_id from {_STATES} where not dropped)""",
+    }

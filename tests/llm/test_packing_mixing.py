@@ -55,7 +55,7 @@ def test_packs(spark, docs):
 
 
 def common_checkpoint(spark):
-    from loreweave.llm.queries import checkpoints
+    from loreweave.llm.common import checkpoints
 
     checkpoints(spark)
 
