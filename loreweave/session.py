@@ -42,7 +42,9 @@ def range_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = N
     """Add ``_block``, the number of a range partition over ``order``: a hot key is cut into as many blocks as its share needs."""
     spark = df.sparkSession
     n = n or max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id())
+    # the cuts are sampled anew each time the frame is computed; written out, all readers see the same ones
+    checkpoints(spark)
+    return df.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id()).checkpoint()
 
 
 def nth(df: DataFrame, column: str, index: Column, *, ties: Sequence[str] = ()) -> DataFrame:
