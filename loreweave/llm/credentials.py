@@ -34,7 +34,7 @@ KEYWORDS = (
     "://  sig= signature= curl begin admin _pw pw= (pw pw: x-api-key basic uid= 密码 パスワード пароль"
 ).split(" ")
 
-LEFT, RIGHT = r"(?<![A-Za-z0-9+/_=.-])", r"(?![A-Za-z0-9+/_=-])"
+LEFT, RIGHT = r"(?<![A-Za-z0-9+/_.-])", r"(?![A-Za-z0-9+/_=-])"
 # Formats of known issuers.
 ISSUERS = re.compile(
     LEFT
@@ -65,8 +65,8 @@ ABOUT_WORDS = frozenset(
 )
 # Words of names that explain an opaque value.
 EXPLAINED = frozenset(
-    "checksum sha sha1 sha256 sha512 md5 crc hash digest commit etag integrity uuid guid id ids trace rev revision blob fixture fingerprint "
-    "version icon image logo cert certificate public anchor signature build lock thumbprint endpoint".split()
+    "checksum sha sha1 sha256 sha512 md5 crc hash digest commit etag integrity uuid guid id ids rev revision fingerprint "
+    "version icon image logo cert certificate public anchor thumbprint endpoint".split()
 )
 PLACEHOLDER = re.compile(
     r"(?i)^(?:(.)\1{3,}|<.*>|\[.*\]|\$.*|\{\{.*|%\(.*|%\w+%|#\{.*|@\w+@|__\w+__|.*\*{3,}.*|.*\.{3,}.*|.*…"
@@ -141,14 +141,17 @@ def credential_value(v: str) -> bool:
     """Whether a value under a telling name is the credential itself, not a placeholder, reference, name, id or number."""
     if len(v) < 6 or len(v) > 4000 or PLACEHOLDER.match(v) or NOT_VALUE.match(v) or UUID.match(v) or HOST.match(v) or " " in v.strip():
         return False
+    if ISSUERS.fullmatch(v):
+        return True
     digit, letter = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
     if not letter:
         return False
     if digit:
         return not re.fullmatch(r"[A-Za-z]+[-_/]v?\d{1,2}", v) and not re.fullmatch(r"[a-z_]+\(.*", v)
     special = any(c in "!@#%*?&$^~+=" for c in v)
-    switches = sum(a.islower() != b.islower() for a, b in zip(v, v[1:]) if a.isalpha() and b.isalpha())
-    return special and len(v) >= 8 and bool(re.fullmatch(r"\S+", v)) or len(v) >= 16 and switches >= 5 and "_" not in v and "-" not in v
+    core = re.sub(r"^[a-z]{2,5}[._-]", "", v)  # tokens of many issuers begin with a short name
+    switches = sum(a.islower() != b.islower() for a, b in zip(core, core[1:]) if a.isalpha() and b.isalpha())
+    return special and len(v) >= 8 or len(core) >= 16 and switches >= 5 and "_" not in core and "-" not in core
 
 
 def passwordish(v: str) -> bool:
