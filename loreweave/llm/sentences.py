@@ -184,6 +184,13 @@ def _full_stop_ends(text: str, unit: int, at: int, nxt: int, german: list[bool],
     return True
 
 
+def _glued(text: str, unit: int, at: int, nxt: int) -> bool:
+    """Whether a new sentence follows an end mark without the space between: a word or a file name before, a capitalized word after."""
+    word = WORD_BEFORE.search(text, max(unit, at - 32), at).group()
+    plain = LETTERS.match(word) is not None or re.fullmatch(r"[\w/-]+(?:\.[\w-]+)*\.[a-z]{1,4}", word) is not None
+    return len(word) > 1 and plain and GLUED.match(text, nxt) is not None
+
+
 def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     unit, german, block = start, [], (start, end)
     pairs = _pairs(text, start, end)
@@ -245,19 +252,19 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
                 before = text[unit:o].rstrip()
                 ok = not ellipsis and before.endswith((":", "："))
             else:
-                ok = gap and bool(opens)
+                ok = bool(opens) and (gap or GLUED.match(text, nxt) is not None)
         elif _wide(follows) or opens is None:
             if ellipsis:
                 ok = gap and not _wide(follows)
             elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
                 ok = True
             elif mark == ".":
-                ok = gap and _full_stop_ends(text, unit, a, nxt, german, block)
+                ok = (gap or text[a - 1].isalpha() and not text[a - 1].isascii() and not _wide(follows)) and _full_stop_ends(text, unit, a, nxt, german, block)
             else:
                 ok = gap or _wide(follows)
         elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
             ok = not (ellipsis and not gap)
-        elif not gap:
+        elif not gap and not _glued(text, unit, a, nxt):
             ok = False
         elif not opens:
             ok = False
@@ -272,6 +279,8 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield unit, end
 
 
+GLUED = re.compile(r"[\"«„“¿¡(]?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]*[ ,\n]|[\"«„“¿¡]\w")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 PAIR_CLOSERS = frozenset(")）]］}】»”」』》〉\"'’")
 
 

@@ -20,6 +20,7 @@ CASES = [
     ("راجع د. فلمورا الجدول. كتبت: «فشل. لم يلاحظ.» لماذا؟ لم يتغير شيء.", ["راجع د. فلمورا الجدول.", "كتبت: «فشل. لم يلاحظ.»", "لماذا؟", "لم يتغير شيء."]),
     ("ห้ามเปลี่ยนชื่อครับ ตั้งแต่รุ่น v1.2 คิวงานเขียน 9 แถว เหลืออีก 5 ไฟล์", ["ห้ามเปลี่ยนชื่อครับ", "ตั้งแต่รุ่น v1.2 คิวงานเขียน 9 แถว", "เหลืออีก 5 ไฟล์"]),
     ("# Head. Two ##\n\n- one. Two\n- three\n  goes on\n1. a\n2. b\n\npara on\ntwo lines. More\n\n```\ncode. Here\n```\nend", ["Head. Two", "one.", "Two", "three\n  goes on", "a", "b", "para on\ntwo lines.", "More", "end"]),
+    ("It takes 5 s per page.Then it stops. Node.js and a.Java are one.So is e.g. this. Really?He asked.", ["It takes 5 s per page.", "Then it stops.", "Node.js and a.Java are one.", "So is e.g. this.", "Really?", "He asked."]),
     ("", []), (" \n\t\n", []), ("```\nopen fence. Never closed", []), ("...", ["..."]),
 ]
 
