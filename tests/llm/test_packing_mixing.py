@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,9 +26,19 @@ def test_hilbert_neighbours():
 
 
 def test_cut_between_characters():
-    offsets = [(0, 1), (1, 2), (1, 2), (1, 2), (2, 3)]
-    assert tokens.cut(offsets, 2, 3) == [(0, 1, 1), (1, 2, 3), (2, 3, 1)]
-    assert tokens.cut(offsets, 3, 3)[0] == (0, 1, 1)
+    whole = np.array([True, False, False, True, True])  # the second character has three tokens
+    assert tokens.cut(np.arange(1, 6), whole, 2) == [(0, 1), (1, 4), (4, 5)]
+    assert tokens.cut(np.arange(1, 6), whole, 4) == [(0, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("text", ["plain words " * 50, "สวัสดี 目录 é" * 40, "x" * 500, "🙂" * 90])
+def test_parts_are_the_text_again(text):
+    coder, sizes = tokens.load_ranks(tokens.tokenizer_path(), tokens.PATTERN)
+    ids = np.asarray(coder.encode_ordinary(text), dtype=np.int64)
+    parts = tokens.char_parts(text, ids, sizes, [7, 20])
+    for limit in (7, 20):
+        mine = [p for p in parts if p[0] == limit]
+        assert "".join(text[p[2] : p[3]] for p in mine) == text and sum(p[4] for p in mine) == len(ids) and max(p[4] for p in mine) <= limit
 
 
 def test_packs(spark, docs):
