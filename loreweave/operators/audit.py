@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import body, front_matter, header_field, page_slug, plain_path, stem, token_estimate
-from ..session import sized_broadcast, table
+from ..functions.text import body, front_matter, header_field, page_slug, plain_path, slugify, stem, token_estimate
+from ..session import running_sum, sized_broadcast, table
 
 TODAY = "2026-11-01"
 FILE_MENTION = r"\b([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h|md|yaml))\b"
@@ -145,7 +145,50 @@ def content_revisions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("revision"), F.sha2(F.concat(head, F.lit("\n---\n"), F.col("body")), 256).alias("content_revision"))
 
 
+# Sections that pages of a type should have.
+EXPECTED = {"concept": ["summary", "decision"], "entity": ["summary", "next steps"], "decision": ["decision", "why now?"], "source": ["summary"]}
+
+
+def section_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Sections a page of its type should have and has not."""
+    p = pages(spark, d)
+    have = p.select("id", "type", F.transform(F.regexp_extract_all("body", F.lit(r"(?m)^#{1,6}[ \t]+([^\r\n]*?)[ \t]*$"), 1), lambda h: F.lower(F.trim(h))).alias("have"))
+    want = F.create_map(*[x for k, v in EXPECTED.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
+    missing = F.array_except(F.try_element_at(want, F.col("type")), F.col("have"))
+    return have.select("id", "type", F.explode(missing).alias("missing"))
+
+
+def page_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as slugs: plain, cut to 20 characters and stripped again, and whether the file has that name."""
+    p = pages(spark, d)
+    return p.select("id", slugify(F.col("title")).alias("slug"), slugify(F.col("title"), 20, "page").alias("short"), (slugify(F.col("title")) == F.col("stem")).alias("is_stem"))
+
+
+def graph_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of the link graph as one list for a viewer, with stable ids."""
+    m = mentions(pages(spark, d)).groupBy("slug", "target").agg(F.count("*").alias("weight"))
+    page = pages(spark, d).select(F.concat(F.lit("p:"), "slug").alias("id"), F.lit("page").alias("kind")).distinct()
+    file = m.select(F.concat(F.lit("f:"), "target").alias("id"), F.lit("file").alias("kind")).distinct()
+    nodes = page.unionByName(file).select("id", "kind", F.lit("").alias("source"), F.lit("").alias("target"), F.lit(0).cast("bigint").alias("weight"))
+    source, target = F.concat(F.lit("p:"), "slug"), F.concat(F.lit("f:"), "target")
+    edges = m.select(F.md5(F.concat_ws(">", source, target)).alias("id"), F.lit("mention").alias("kind"), source.alias("source"), target.alias("target"), "weight")
+    return nodes.unionByName(edges)
+
+
+def context_pages(spark: SparkSession, d: str, budget: int = 4000) -> DataFrame:
+    """Pages that fit a project's budget of tokens, newest first; the first one that doesn't fit ends the list."""
+    p = pages(spark, d).select("id", "project", token_estimate(F.col("content")).alias("tokens"), (-F.datediff(F.coalesce("created", F.lit("1970-01-01").cast("date")), F.lit("1970-01-01").cast("date"))).alias("age_order"))
+    return running_sum(p, "project", ["age_order", "id"], "tokens", "used").where(f"used <= {budget}").select("id", "project", "tokens", F.col("used").cast("bigint").alias("used"))
+
+
+def delete_preview(spark: SparkSession, d: str) -> DataFrame:
+    """For the pages of every project the file whose removal would break most links, and how many pages name it."""
+    m = mentions(pages(spark, d)).join(_files(spark, d).select("target").distinct(), "target", "left_semi").groupBy("project", "target").agg(F.countDistinct("id").alias("pages"), F.count("*").alias("links"))
+    return m.groupBy("project").agg(F.min_by(F.struct("target", "pages", "links"), F.struct(-F.col("links"), F.col("target"))).alias("b")).select("project", "b.target", "b.pages", "b.links")
+
+
 QUERIES = {
+    "section_warnings": section_warnings, "page_slugs": page_slugs, "graph_elements": graph_elements, "context_pages": context_pages, "delete_preview": delete_preview,
     "page_headers": page_headers, "page_sections": page_sections, "link_status": link_status, "broken_links": broken_links, "backlinks": backlinks, "orphans": orphans, "wiki_stats": wiki_stats,
     "lint_issues": lint_issues, "lint_summary": lint_summary, "wiki_tree": wiki_tree, "rename_preview": rename_preview, "content_revisions": content_revisions,
 }
@@ -173,7 +216,17 @@ _LINT = rf"""(select id, 'front_matter' as "check", 'error' as severity, detail
   union all select id, 'duplicate_stem', 'error', stem from (select id, stem, count(*) over (partition by project, stem) as n from {_PAGES}) where n > 1
   union all select id, 'broken_links', 'warning', count(*)::varchar from {_BROKEN} group by id)"""
 
+_SLUG = r"regexp_replace(substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, {0}), '-+$', '')"
+_WANT = "map {" + ", ".join(f"'{k}': {v}" for k, v in EXPECTED.items()).replace("[", "[").replace('"', "'") + "}"
+
 SQL = {
+    "section_warnings": rf"""select id, type, missing from (select id, type, have, unnest(({_WANT})[type]) as missing from (select id, type, list_transform(regexp_extract_all(body, '(?m)^#{{1,6}}[ \t]+([^\r\n]*?)[ \t]*$', 1), lambda h: lower(trim(h))) as have from {_PAGES})) where not list_contains(have, missing)""",
+    "page_slugs": f"select id, coalesce(nullif({_SLUG.format(60)}, ''), 'note') as slug, coalesce(nullif({_SLUG.format(20)}, ''), 'page') as short, coalesce(nullif({_SLUG.format(60)}, ''), 'note') = stem as is_stem from {_PAGES}",
+    "graph_elements": f"""with m as (select slug, target, count(*)::bigint as weight from {_MENTIONS} group by all) select distinct 'p:' || slug as id, 'page' as kind, '' as source, '' as target, 0::bigint as weight from {_PAGES}
+      union all select distinct 'f:' || target, 'file', '', '', 0 from m union all select md5('p:' || slug || '>f:' || target), 'mention', 'p:' || slug, 'f:' || target, weight from m""",
+    "context_pages": f"""select id, project, tokens, used from (select id, project, floor(length(content) / 3.5)::bigint as tokens, (sum(floor(length(content) / 3.5)::bigint) over (partition by project order by coalesce(created, date '1970-01-01') desc, id rows unbounded preceding))::bigint as used from {_PAGES}) where used <= 4000""",
+    "delete_preview": f"""select project, target, pages, links from (select project, target, count(distinct id)::bigint as pages, count(*)::bigint as links, row_number() over (partition by project order by count(*) desc, target) as r
+      from {_MENTIONS} where target in (select target from {_FILES}) group by project, target) where r = 1""",
     "page_headers": rf"""select id, slug, title, type, created, array_to_string(list_transform(string_split(regexp_replace(tags, '^\[|\]$', '', 'g'), ','), lambda t: trim(t)), '|') as tag_list, floor(length(content) / 3.5)::bigint as tokens from {_PAGES}""",
     "page_sections": _SECTIONS,
     "link_status": f"""select target, count(*)::bigint as pages, count(*) filter (status = 'own')::bigint as own, count(*) filter (status = 'other')::bigint as other, count(*) filter (status = 'broken')::bigint as broken

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
 from ..session import first_by, table
+from ..sources.pages import BUILD, HIDDEN, SENSITIVE, discovery_reason
 
 CUT = "2026-06-01"
 
@@ -142,7 +143,49 @@ def embed_batches(spark: SparkSession, d: str, most_rows: int = 16, most_chars:
     return ordered.select("project", F.explode(F.aggregate("xs", empty, step)).alias("b")).select("project", F.col("b.first").alias("first_id"), F.col("b.rows").cast("bigint").alias("rows"), F.col("b.chars").cast("bigint").alias("chars"))
 
 
+def page_index_state(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each page's embedding is ready, stale (modified since), building, failed or missing, by its latest job."""
+    p = chunks(spark, d, "kind", "file_path", "last_modified").where("kind = 'wiki'").groupBy(plain_path(F.col("file_path")).alias("path")).agg(F.max("last_modified").alias("modified"))
+    last = jobs(spark, d).groupBy("path").agg(F.max_by(F.struct("state", "updated"), F.struct("created", "id")).alias("j"))
+    both = p.join(last, "path", "left")
+    stale = F.col("j.updated") < F.unix_micros(F.col("modified").cast("timestamp")) / 1_000_000
+    state = (
+        F.when(F.col("j").isNull(), "missing").when(F.col("j.state") == "failed", "failed").when(F.col("j.state").isin("pending", "running", "retry"), "building")
+        .when(F.coalesce(stale, F.lit(False)), "stale").otherwise("ready")
+    )
+    return both.select("path", state.alias("state"))
+
+
+def job_retention(spark: SparkSession, d: str, days: int = 90) -> DataFrame:
+    """Finished jobs older than ``days`` before the newest one that a clean-up removes, but the last of each page."""
+    j = jobs(spark, d)
+    last = j.groupBy("path").agg(F.max("id").alias("id"))
+    newest = j.agg(F.max("updated").alias("newest"))  # one row
+    old = j.join(F.broadcast(newest)).where(F.col("state").isin("done", "failed", "superseded") & (F.col("updated") < F.col("newest") - days * 86400.0))
+    return old.join(last, "id", "left_anti").select("id", "path", "state")
+
+
+def changed_since(spark: SparkSession, d: str, marker: str = "2026-09-01") -> DataFrame:
+    """Records a run after the marker has to look at, by project and kind."""
+    c = table(spark, d, "chunks").where(F.col("indexed_at") > F.lit(marker).cast("timestamp_ntz"))
+    return c.groupBy("project", "kind").agg(F.countDistinct("id").alias("records"), F.max("indexed_at").alias("next_marker"))
+
+
+def discovery(spark: SparkSession, d: str, most: int = 20_000) -> DataFrame:
+    """Why files would not be indexed, the first rule that holds, and how many files."""
+    files = chunks(spark, d, "project", "file_path", "content").groupBy("project", plain_path(F.col("file_path")).alias("path")).agg(F.sum(F.length("content")).alias("size"))
+    return files.groupBy(F.coalesce(discovery_reason("path", "size", most), F.lit("indexed")).alias("reason")).agg(F.count("*").alias("files"))
+
+
+def first_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Names defined more than once in a project: the definition that wins (wiki before code, then path, then record) and how many it hides."""
+    c = chunks(spark, d, "project", "kind", "file_path", "func_name").where("func_name is not null and func_name <> ''").withColumn("path", plain_path(F.col("file_path")))
+    g = c.groupBy("project", "func_name").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "path"), F.struct(F.when(F.col("kind") == "wiki", 0).otherwise(1), "path", "id")).alias("b"))
+    return g.where("n > 1").select("project", "func_name", F.col("b.id").alias("id"), F.col("b.path").alias("path"), (F.col("n") - 1).alias("hidden"))
+
+
 QUERIES = {
+    "page_index_state": page_index_state, "job_retention": job_retention, "changed_since": changed_since, "discovery": discovery, "first_definitions": first_definitions,
     "manifest_diff": manifest_diff, "index_refresh": index_refresh, "window_chunks": window_chunks, "index_stats": index_stats, "lines_by_ending": lines_by_ending, "record_lookup": record_lookup,
     "embed_text_stats": embed_text_stats, "evidence_status": evidence_status, "job_counts": job_counts, "failed_pages": failed_pages, "job_queue": job_queue, "job_finish": job_finish, "embed_batches": embed_batches,
 }
@@ -156,6 +199,14 @@ _NEW = f"select id, project, {_P} as path, content_sha from {_C} where id % 11 <
 _MAN = "select project, path, string_agg(s, ',' order by s) as hash from (select project, path, id || coalesce(':' || content_sha, '') as s from ({0})) group by all"
 
 SQL = {
+    "page_index_state": f"""select path, case when state is null then 'missing' when state = 'failed' then 'failed' when state in ('pending', 'running', 'retry') then 'building' when updated < epoch_us(modified)::double / 1000000 then 'stale' else 'ready' end as state
+      from (select {_P} as path, max(last_modified) as modified from {_C} where kind = 'wiki' group by 1) left join (select distinct on (path) path, state, updated from {_J} order by path, created desc, id desc) using (path)""",
+    "job_retention": f"select id, path, state from {_J} where state in ('done', 'failed', 'superseded') and updated < (select max(updated) from wiki_jobs) - 90 * 86400.0 and id not in (select max(id) from wiki_jobs group by path)",
+    "changed_since": "select project, kind, count(distinct id)::bigint as records, max(indexed_at) as next_marker from chunks where indexed_at > timestamp '2026-09-01' group by all",
+    "discovery": f"""select coalesce(case when regexp_matches(path, '{SENSITIVE}') then 'sensitive' when regexp_matches(path, '{HIDDEN}') then 'hidden' when regexp_matches(path, '{BUILD}') then 'generated' when size > 20000 then 'too_large' when size = 0 then 'empty' end, 'indexed') as reason, count(*)::bigint as files
+      from (select project, {_P} as path, sum(length(content)) as size from {_C} group by all) group by 1""",
+    "first_definitions": f"""select project, func_name, id, path, n - 1 as hidden from (select project, func_name, id, path, (count(*) over (partition by project, func_name))::bigint as n, row_number() over (partition by project, func_name order by case when kind = 'wiki' then 0 else 1 end, path, id) as r
+      from (select *, {_P} as path from {_C} where func_name is not null and func_name <> '')) where n > 1 and r = 1""",
     "manifest_diff": f"""select project, case when o.hash is null then 'added' when n.hash is null then 'deleted' when o.hash = n.hash then 'unchanged' else 'changed' end as state, count(*)::bigint as files
       from ({_MAN.format(_OLD)}) o full join ({_MAN.format(_NEW)}) n using (project, path) group by all""",
     "index_refresh": f"""with s as (select project, path from ({_MAN.format(_OLD)}) o join ({_MAN.format(_NEW)}) n using (project, path, hash)) select id, project, 'kept' as origin from ({_OLD}) where (project, path) in (select (project, path) from s)

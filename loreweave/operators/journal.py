@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duration_text
-from ..session import first_by, table
+from ..session import first_by, running_sum, table
 
 TODAY = "2026-11-01"
 # Tools that write, and words that make a short journal worth keeping.
@@ -68,16 +68,15 @@ def compact_report(spark: SparkSession, d: str) -> DataFrame:
 def action_budget(spark: SparkSession, d: str, budget: int = 40) -> DataFrame:
     """The first actions of a run per project, in order of id, as far as the budget goes."""
     acts = sessions(spark, d).withColumn("action", F.substring_index(_why(), ":", 1)).withColumn("is_action", (F.col("action") != "keep").cast("int")).select("id", "project", "action", "is_action")
-    w = Window.partitionBy("project").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return acts.withColumn("used", F.sum("is_action").over(w)).where(f"is_action = 1 and used <= {budget}").select("id", "project", "action", F.col("used").cast("bigint").alias("used"))
+    return running_sum(acts, "project", ["id"], "is_action", "used").where(f"is_action = 1 and used <= {budget}").select("id", "project", "action", F.col("used").cast("bigint").alias("used"))
 
 
 def retention_cap(spark: SparkSession, d: str, cap: int = 1) -> DataFrame:
     """Archive rows beyond the cap of each project: the oldest without a summary go first."""
     s = sessions(spark, d).where("archived").withColumn("bare", F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0).select("id", "project", "session_day", "bare")
     totals = s.groupBy("project").agg((F.count("*") - cap).alias("over")).where("over > 0")
-    rank = F.row_number().over(Window.partitionBy("project").orderBy("session_day", "id"))
-    return s.where("bare").withColumn("k", rank).join(totals, "project").where("k <= over").select("id", "project", "session_day")
+    placed = running_sum(s.where("bare").withColumn("one", F.lit(1)), "project", ["session_day", "id"], "one", "k")
+    return placed.join(totals, "project").where("k <= over").select("id", "project", "session_day")
 
 
 def session_list(spark: SparkSession, d: str, limit: int = 50) -> DataFrame:
@@ -191,7 +190,23 @@ def journal_merge(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pending_summaries(spark: SparkSession, d: str, hours: int = 24 * 30, top: int = 3) -> DataFrame:
+    """Per project the newest journals worth a summary that have none yet, ended within the last hours."""
+    bare = F.length(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?s)<!--.*?-->", ""))) == 0
+    recent = F.col("ended") >= F.lit(TODAY).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")
+    s = sessions(spark, d).where(recent & bare & ~F.col("archived") & (F.coalesce("messages_user", F.lit(0)) >= 2)).select("id", "project", "ended")
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("ended"), "id"))
+    return s.withColumn("place", rank.cast("bigint")).where(f"place <= {top}")
+
+
+def retention(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
+    """What the archive purge removes: archived journals without a summary that are older than ``days``."""
+    bare = F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0
+    return sessions(spark, d).where(F.col("archived") & bare & (_age() >= days)).select("id", "project", _age().cast("bigint").alias("age_days"))
+
+
 QUERIES = {
+    "pending_summaries": pending_summaries, "retention": retention,
     "session_flags": session_flags, "compact_actions": compact_actions, "compact_report": compact_report, "action_budget": action_budget, "retention_cap": retention_cap, "session_list": session_list,
     "sessions_index": sessions_index, "event_stats": event_stats, "tool_usage": tool_usage, "transcript_status": transcript_status, "timeline": timeline, "timeline_counts": timeline_counts,
     "triage_days": triage_days, "triage_clusters": triage_clusters, "journal_merge": journal_merge,
@@ -210,6 +225,9 @@ _EV = "(select * replace (message.role as role, message.content as content) from
 _WORDS = r"list_distinct(flatten(list(regexp_extract_all(lower(array_to_string(prompts, ' ')), '[\p{L}\p{N}_]{4,}'))))"
 
 SQL = {
+    "pending_summaries": f"""select id, project, ended, place from (select id, project, ended, row_number() over (partition by project order by ended desc, id)::bigint as place from {_S}
+      where ended >= timestamp '{TODAY}' - interval 720 hour and length(trim(regexp_replace(coalesce(summary, ''), '(?s)<!--.*?-->', '', 'g'))) = 0 and not archived and coalesce(messages_user, 0) >= 2) where place <= 3""",
+    "retention": f"select id, project, {_AGE}::bigint as age_days from {_S} where archived and length(trim(coalesce(summary, ''))) = 0 and {_AGE} >= 180",
     "session_flags": f"""select id, {_PROG} as programmatic, {_WORTH} as worth, case when duration_s is null or duration_s < 0 then '0s' when duration_s < 60 then duration_s || 's'
       when duration_s < 3600 then (duration_s // 60) || 'm ' || (duration_s % 60) || 's' else (duration_s // 3600) || 'h ' || (duration_s % 3600 // 60) || 'm' end as duration from {_S}""",
     "compact_actions": f"select id, action, why, age_days from {_ACT}",

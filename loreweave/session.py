@@ -47,6 +47,17 @@ def range_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = N
     return df.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id()).checkpoint()
 
 
+def running_sum(df: DataFrame, part: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` by ``order`` within ``part``, the row itself included, without one task per ``part``."""
+    placed = range_blocks(df, [part, *order])
+    w = Window.partitionBy(part, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("_upto", F.sum(value).over(w))
+    sums = placed.groupBy(part, "_block").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(part, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    return local.join(offsets, [part, "_block"]).withColumn(out, F.col("_off") + F.col("_upto")).drop("_off", "_upto", "_block")
+
+
 def nth(df: DataFrame, column: str, index: Column, *, ties: Sequence[str] = ()) -> DataFrame:
     """The value at a 0-based index of the ascending order, as a one-row frame, without sorting everything in one task.
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as T
-from loreweave.operators import audit, events, graph, index, journal, roadmap, search, vectors
-from loreweave.session import first_by, nth
+from loreweave.operators import audit, code, events, graph, index, journal, roadmap, search, vectors
+from loreweave.session import first_by, nth, running_sum
 
 
 def one(spark, column, **values):
@@ -172,3 +172,27 @@ def test_first_by_keeps_one_row(spark):
 def test_states(spark):
     df = spark.createDataFrame([("Done ",), ("wip",), ("odd",), (None,)], "status string")
     assert [r.x for r in df.select(roadmap.plain_status(F.col("status")).alias("x")).collect()] == ["done", "in-progress", "odd", None]
+
+
+def test_python_facts():
+    source = "import os\nfrom a import b as c\n@dec\ndef f():\n    class K:\n        def m(self):\n            return g(os.x())\n"
+    got = code.python_facts(source)
+    assert ("import", "a.b", "", 2, 2) in got and ("function", "f", "", 3, 7) in got and ("class", "K", "f", 5, 7) in got and ("call", "g", "f.K.m", 7, 7) in got
+    assert code.python_facts("def broken(") == [] and code.python_facts("\0") == [] and code.python_facts("") == []
+
+
+def test_diffs(spark):
+    df = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, None, "x"), (3, "same", "same")], "k int, a string, b string")
+    got = {r.k: r.diff for r in code.diffs(df, "k", "a", "b", 25).collect()}
+    assert got[3] == "" and len(got[1]) == 25 and got[2].startswith("--- before")
+
+
+def test_running_sum_with_a_hot_key(spark):
+    rng = random.Random(6)
+    rows = [(i, "hot" if rng.random() < 0.8 else f"k{rng.randrange(4)}", rng.randrange(50), rng.randrange(9)) for i in range(1500)]
+    got = {r.i: r.s for r in running_sum(spark.createDataFrame(rows, "i long, k string, o int, v int"), "k", ["o", "i"], "v", "s").collect()}
+    sums, want = {}, {}
+    for i, k, o, v in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        sums[k] = sums.get(k, 0) + v
+        want[i] = sums[k]
+    assert got == want
