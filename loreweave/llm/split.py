@@ -200,7 +200,7 @@ def _code_units(text: str, lines: list[str], family: str) -> list[tuple[int, str
                 pending, open_attribute = pending or n, True
             continue
         m = unit.match(body)
-        if m and not (family == "c" and body.endswith(";")):
+        if m and not (family == "c" and body.endswith(";") and "{" not in body):
             units.append((pending or n, _named(m)))
         pending, open_attribute = 0, False
     return units

@@ -12,7 +12,7 @@ CASES = {
     "typescript": ("a.ts", "import x from 'x';\n/** doc */\n@Inject()\nexport class A {\n  m() {}\n}\n\nexport const f = async (a: A) => {\n  const g = () => 1;\n};\ninterface I {\n}\nconst n = 5;\nconst t = `\nfunction no() {\n}`;\ntype U = string;\nenum E { A }\n", [2, 8, 11, 17, 18]),
     "rust": ("a.rs", "use a::b;\n#[derive(Debug)]\n/// doc\npub struct S {\n}\n\nimpl S {\n    fn m() {}\n}\nfn f<'a>(x: &'a str) -> char { '{' }\nmod tests {\n    fn t() {}\n}\n", [2, 7, 10, 11]),
     "java": ("A.java", "import a;\n/**\n * doc\n */\n@Immutable\npublic final class A extends B {\n    void m() { String s = \"}\"; }\n}\n\nenum E {\n}\n// class No {\n\ninterface I {}\n", [2, 10, 14]),
-    "c": ("a.c", "#include <a.h>\n#define X 1\nint proto(int a);\n\n/* doc */\nstatic int f(const char *s) {\n    if (s) { return 1; }\n}\nstruct s {\n    int a;\n};\nint g(void)\n{\n}\n", [5, 9, 12]),
+    "c": ("a.c", "#include <a.h>\n#define X 1\nint proto(int a);\n\n/* doc */\nstatic int f(const char *s) {\n    if (s) { return 1; }\n}\nstruct s {\n    int a;\n};\nint g(void)\n{\n}\nenum e { A, B };\nstruct s v = { 1 };\n", [5, 9, 12, 15]),
     "ruby": ("a.rb", "require 'a'\n=begin\ndef no\n=end\n# doc\ndef f(a)\n  x = <<~T\ndef text\n  T\nend\n\nmodule M\n  class C\n  end\nend\n", [2, 12]),
     "bash": ("a.sh", "#!/bin/bash\nset -e\nf() {\n  x=1\n}\ncat <<EOF\ng() {\nEOF\n# doc\nfunction h {\n}\n", [3, 9]),
 }
