@@ -23,7 +23,8 @@ from .common import spread
 # End marks of the scripts (Unicode Sentence_Terminal, common part).
 WIDE_ENDS = "。！？｡．"
 OTHER_ENDS = "।॥؟۔።፧။၊។៕։᠃᠉᱾᱿꓿꘎꤯"
-ENDS = re.compile(f"(?:[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}]\\s?(?=[!?！？…])|[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}])+")
+# An end mark before a small letter, digit or slash stands inside a name, number or address.
+ENDS = re.compile(f"(?:[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}]\\s?(?=[!?！？…])|[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}])+(?:(?<![.?!])|(?![a-z0-9_/=&]))")
 SPACED_SCRIPT = re.compile(r"(?<=[฀-໿])\s+(?=[฀-໿])")
 PAIR_MARK = re.compile(r"[\"“”„«»「」『』《》〈〉()（）\[\]［］{}【】]")
 # Opening marks with their closing marks.
@@ -282,6 +283,7 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
 GLUED = re.compile(r"[\"«„“¿¡(]?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]*[ ,\n]|[\"«„“¿¡]\w")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 PAIR_CLOSERS = frozenset(")）]］}】»”」』》〉\"'’")
+AFTER_MARK = "".join(PAIR_CLOSERS) + "   "
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
