@@ -91,25 +91,30 @@ def sessions_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def message_events(spark: SparkSession, d: str) -> DataFrame:
-    """Message rows, repeated rows once: the last received of each session, file and line."""
-    t = table(spark, d, "transcript").select("row_id", "session_id", "transcript_path", "line_no", "event_type", "entrypoint", F.col("message.role").alias("role"), F.col("message.content").alias("content"), "received_at")
+    """Message rows, repeated rows once: the last received of each session, file and line.
+
+    Of the content only the tools it calls are kept, so that no text goes through the shuffle.
+    """
+    content = F.coalesce(F.col("message.content"), F.lit(""))
+    calls = F.size(F.regexp_extract_all(content, F.lit('"type": "(tool_use)"'), 1))
+    tools = F.regexp_extract_all(content, F.lit('"type": "tool_use", "name": "([^"]+)"'), 1)
+    t = table(spark, d, "transcript").select("row_id", "session_id", "transcript_path", "line_no", "event_type", "entrypoint", calls.alias("calls"), tools.alias("tools"), "received_at")
     return first_by(t, ["session_id", "transcript_path", "line_no"], -F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)), -F.col("row_id"))
 
 
 def event_stats(spark: SparkSession, d: str) -> DataFrame:
     """Per session: rows, user and assistant rows, files, first entry point by line, tool calls."""
     e = message_events(spark, d)
-    calls = F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit('"type": "(tool_use)"'), 1))
     return e.groupBy("session_id").agg(
         F.count("*").alias("rows"), F.count_if(F.col("event_type") == "user").alias("user_rows"), F.count_if(F.col("event_type") == "assistant").alias("assistant_rows"),
-        F.countDistinct("transcript_path").alias("files"), F.min_by("entrypoint", F.when(F.col("entrypoint").isNotNull(), F.struct("transcript_path", "line_no"))).alias("entrypoint"), F.sum(calls).cast("bigint").alias("tool_calls"),
+        F.countDistinct("transcript_path").alias("files"), F.min_by("entrypoint", F.when(F.col("entrypoint").isNotNull(), F.struct("transcript_path", "line_no"))).alias("entrypoint"), F.sum("calls").alias("tool_calls"),
     )
 
 
 def tool_usage(spark: SparkSession, d: str, top: int = 3) -> DataFrame:
     """The most used tools of each session."""
     e = message_events(spark, d)
-    used = e.select("session_id", F.explode(F.regexp_extract_all("content", F.lit('"type": "tool_use", "name": "([^"]+)"'), 1)).alias("tool")).groupBy("session_id", "tool").agg(F.count("*").alias("uses"))
+    used = e.select("session_id", F.explode("tools").alias("tool")).groupBy("session_id", "tool").agg(F.count("*").alias("uses"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("uses"), "tool"))
     return used.withColumn("place", rank.cast("bigint")).where(f"place <= {top}")
 

@@ -35,3 +35,11 @@ def test_same_rows(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    if Path("/root/testdata/sf0.001").exists():
+        assert e.entry(spark).columns == ["doc_id", "source", "score"] and e.entry(spark).count() == 10
+    assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
