@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body, front_matter, header_field, page_slug, plain_path, slugify, stem, token_estimate
@@ -187,6 +187,29 @@ def delete_preview(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("project").agg(F.min_by(F.struct("target", "pages", "links"), F.struct(-F.col("links"), F.col("target"))).alias("b")).select("project", "b.target", "b.pages", "b.links")
 
 
+VERIFIED = "array<struct<by:string,at:string,content_revision:string,origin:string>>"
+
+
+def content_revision(text: Column) -> Column:
+    """Revision of a page without the header fields that tools and reviews write."""
+    head = front_matter(text)
+    bare = F.regexp_replace(head, r"(?m)^(verified|generated|updated):[^\n]*(\n[ \t]+[^\n]*)*\n?", "")
+    whole = F.concat(F.regexp_replace(bare, r"\n\z", ""), F.lit("\n---\n"), F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---(\r?\n|\z)", ""))
+    return F.concat(F.lit("sha256:"), F.sha2(F.when(head == "", text).otherwise(whole), 256))
+
+
+def trust_tier(text: Column) -> Column:
+    """How far a page's present content was checked: by a person, by a process, in an older state only, in an old notation, or not at all."""
+    said = F.trim(F.regexp_extract(front_matter(text), r"(?m)^verified:([^\n]*)", 1))
+    events = F.coalesce(F.from_json(said, VERIFIED), F.array().cast(VERIFIED))
+    now = F.filter(events, lambda e: e["content_revision"] == content_revision(text))
+    person = F.exists(now, lambda e: F.coalesce(e["by"].startswith("human:") & (e["origin"] == "local-cli"), F.lit(False)))
+    return (
+        F.when(said.isin("", "[]"), "unverified").when(person, "human-reviewed").when(F.size(now) > 0, "machine-confirmed")
+        .when(F.exists(events, lambda e: e["content_revision"].isNotNull()), "stale").otherwise("legacy")
+    )
+
+
 QUERIES = {
     "section_warnings": section_warnings, "page_slugs": page_slugs, "graph_elements": graph_elements, "context_pages": context_pages, "delete_preview": delete_preview,
     "page_headers": page_headers, "page_sections": page_sections, "link_status": link_status, "broken_links": broken_links, "backlinks": backlinks, "orphans": orphans, "wiki_stats": wiki_stats,

@@ -9,9 +9,17 @@ from ..functions.text import duration_text
 from ..session import first_by, running_sum, table
 
 TODAY = "2026-11-01"
-# Tools that write, and words that make a short journal worth keeping.
-WRITE_TOOLS = ("Write", "Edit", "NotebookEdit", "wiki_upsert", "roadmap_add")
-SIGNALS = ("decid", "split", "rename", "test", "migrat", "why", "perché")
+# Tools that write, parts of names of such tools, and words that make a short journal worth keeping.
+WRITE_TOOLS = (
+    "Write", "Edit", "MultiEdit", "NotebookEdit", "write_to_file", "replace_file_content", "wiki.upsert_entity", "wiki.upsert_concept", "wiki.upsert_source", "wiki.upsert_analysis",
+    "wiki.update_overview", "wiki.log_append", "roadmap.add", "roadmap.update", "roadmap.complete", "skill.save", "skill.patch",
+)
+WRITE_PARTS = ("__Write", "__Edit", "wiki_upsert_", "wiki_update_overview", "wiki_log_append", "roadmap_add", "roadmap_update", "roadmap_complete", "skill_save", "skill_patch")
+SIGNALS = (
+    "decisione", "decision", "split", "design", "breaking", "ship", "release", "migra", "migrat", "refactor", "architett", "architecture", "roadmap", "piano", "deploy", "bump", "security", "sicurezza",
+)
+# Days after which journals of a kind leave, and after which the archive forgets those without a summary.
+SHORT_DAYS, DISTILLED_DAYS, WORTH_DAYS, PURGE_DAYS = 14, 14, 30, 180
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -21,10 +29,10 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def programmatic_reason() -> Column:
     """Why a session was no person's: the first rule that holds, or null."""
-    entry, reason = F.coalesce(F.col("entrypoint"), F.lit("")), F.coalesce(F.col("end_reason"), F.lit(""))
+    entry, reason = F.lower(F.coalesce(F.col("entrypoint"), F.lit(""))), F.lower(F.coalesce(F.col("end_reason"), F.lit("")))
     n, secs = F.coalesce(F.col("messages_user"), F.lit(0)), F.coalesce(F.col("duration_s"), F.lit(0))
     return (
-        F.when(entry.startswith("sdk"), F.concat(F.lit("entrypoint:"), entry)).when(n == 0, "no-user-messages")
+        F.when(entry.startswith("sdk"), F.concat(F.lit("entrypoint:"), entry)).when(n <= 0, "no-user-messages")
         .when((n == 1) & (secs < 30) & reason.isin("other", ""), "one-shot<30s")
     )
 
@@ -32,7 +40,7 @@ def programmatic_reason() -> Column:
 def worth() -> Column:
     """Whether a journal is worth a page: enough messages and time, and many messages, a writing tool or a signal word."""
     n, secs = F.coalesce(F.col("messages_user"), F.lit(0)), F.coalesce(F.col("duration_s"), F.lit(0))
-    wrote = F.exists(F.coalesce("tools", F.array().cast("array<string>")), lambda t: F.coalesce(t.isin(*WRITE_TOOLS), F.lit(False)))
+    wrote = F.exists(F.coalesce("tools", F.array().cast("array<string>")), lambda t: F.coalesce(t.isin(*WRITE_TOOLS) | t.rlike("|".join(WRITE_PARTS)), F.lit(False)))
     said = F.lower(F.array_join(F.coalesce("prompts", F.array().cast("array<string>")), " "))
     signal = said.rlike("|".join(SIGNALS))
     return (n >= 3) & (secs >= 300) & ((n >= 8) | wrote | signal)
@@ -47,11 +55,13 @@ def _age() -> Column:
 
 
 def _why() -> Column:
-    has_summary = F.length(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?s)<!--.*?-->", ""))) > 0
+    """Action and reason of the compaction; the first rule that holds wins."""
+    short = (F.coalesce("messages_user", F.lit(0)) < 3) | (F.coalesce("duration_s", F.lit(0)) < 300)
     return (
-        F.when(F.col("archived"), "keep:already archived").when(programmatic_reason().isNotNull(), F.concat(F.lit("machine:"), programmatic_reason()))
-        .when(F.col("distilled") & (_age() > 14), "archive:distilled").when(~worth() & (_age() > 7), "archive:short").when(worth() & (_age() > 90) & ~has_summary, "archive:stale without summary")
-        .otherwise("keep:active")
+        F.when(F.col("archived"), "keep:already-archived").when(programmatic_reason().isNotNull(), F.concat(F.lit("machine:"), programmatic_reason()))
+        .when(F.col("distilled"), F.when(_age() >= DISTILLED_DAYS, "archive:distilled").otherwise("keep:distilled, recent"))
+        .when(short, F.when(_age() >= SHORT_DAYS, "archive:short").otherwise("keep:short, recent"))
+        .when(_age() >= WORTH_DAYS, "archive:worth stale").otherwise("keep:worth")
     )
 
 
@@ -71,12 +81,15 @@ def action_budget(spark: SparkSession, d: str, budget: int = 40) -> DataFrame:
     return running_sum(acts, "project", ["id"], "is_action", "used").where(f"is_action = 1 and used <= {budget}").select("id", "project", "action", F.col("used").cast("bigint").alias("used"))
 
 
-def retention_cap(spark: SparkSession, d: str, cap: int = 1) -> DataFrame:
-    """Archive rows beyond the cap of each project: the oldest without a summary go first."""
-    s = sessions(spark, d).where("archived").withColumn("bare", F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0).select("id", "project", "session_day", "bare")
-    totals = s.groupBy("project").agg((F.count("*") - cap).alias("over")).where("over > 0")
-    placed = running_sum(s.where("bare").withColumn("one", F.lit(1)), "project", ["session_day", "id"], "one", "k")
-    return placed.join(totals, "project").where("k <= over").select("id", "project", "session_day")
+def archive_purge(spark: SparkSession, d: str, cap: int = 2) -> DataFrame:
+    """What the archive of each project forgets: rows without a summary beyond the age, then, as long as more than ``cap`` remain, the oldest without one."""
+    bare = F.length(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?s)<!--.*?-->", ""))) == 0
+    s = sessions(spark, d).where("archived").select("id", "project", "session_day", bare.alias("bare"), _age().alias("age"))
+    old = s.where(F.col("bare") & (F.col("age") >= PURGE_DAYS)).select("id", "project", F.lit("age").alias("why"))
+    rest = s.where(~(F.col("bare") & (F.coalesce("age", F.lit(0)) >= PURGE_DAYS)))
+    over = rest.groupBy("project").agg((F.count("*") - cap).alias("over")).where("over > 0")
+    placed = running_sum(rest.where("bare").withColumn("one", F.lit(1)), "project", ["session_day", "id"], "one", "k")
+    return old.unionByName(placed.join(over, "project").where("k <= over").select("id", "project", F.lit("cap").alias("why")))
 
 
 def session_list(spark: SparkSession, d: str, limit: int = 50) -> DataFrame:
@@ -204,27 +217,32 @@ def pending_summaries(spark: SparkSession, d: str, hours: int = 24 * 30, top: in
     return s.withColumn("place", rank.cast("bigint")).where(f"place <= {top}")
 
 
-def retention(spark: SparkSession, d: str, days: int = 180) -> DataFrame:
-    """What the archive purge removes: archived journals without a summary that are older than ``days``."""
-    bare = F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0
-    return sessions(spark, d).where(F.col("archived") & bare & (_age() >= days)).select("id", "project", _age().cast("bigint").alias("age_days"))
+def attached_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls between two spoken messages of the assistant, counted with the message that follows; what follows none goes with a last one of its own."""
+    said = F.coalesce(F.col("message.content").rlike('"type": "text"') | ~F.col("message.content").rlike(r"^\s*\["), F.lit(False))
+    speaks = (F.coalesce(F.col("event_type"), F.lit("")) == "assistant") & said
+    calls = F.size(F.regexp_extract_all(F.coalesce(F.col("message.content"), F.lit("")), F.lit('"type": "(tool_use)"'), 1))
+    t = table(spark, d, "transcript").select("row_id", "session_id", "transcript_path", "line_no", "received_at", speaks.cast("int").alias("speaks"), calls.alias("calls"))
+    e = first_by(t, ["session_id", "transcript_path", "line_no"], -F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)), -F.col("row_id"))
+    counted = running_sum(e.select("session_id", "transcript_path", "line_no", "speaks", "calls"), "session_id", ["transcript_path", "line_no"], "speaks", "n")
+    return counted.groupBy("session_id", (F.col("n") - F.col("speaks")).alias("message_no")).agg(F.sum("calls").alias("tools"), F.max("speaks").cast("bigint").alias("spoken")).where("tools > 0 or spoken > 0")
 
 
 QUERIES = {
-    "pending_summaries": pending_summaries, "retention": retention,
-    "session_flags": session_flags, "compact_actions": compact_actions, "compact_report": compact_report, "action_budget": action_budget, "retention_cap": retention_cap, "session_list": session_list,
+    "pending_summaries": pending_summaries, "attached_tools": attached_tools,
+    "session_flags": session_flags, "compact_actions": compact_actions, "compact_report": compact_report, "action_budget": action_budget, "archive_purge": archive_purge, "session_list": session_list,
     "sessions_index": sessions_index, "event_stats": event_stats, "tool_usage": tool_usage, "transcript_status": transcript_status, "timeline": timeline, "timeline_counts": timeline_counts,
     "triage_days": triage_days, "triage_clusters": triage_clusters, "journal_merge": journal_merge,
 }
 
 _S = "(select distinct on (id) * from sessions)"
 _T = "(select distinct on (id) * from tasks)"
-_PROG = "case when starts_with(coalesce(entrypoint, ''), 'sdk') then 'entrypoint:' || entrypoint when coalesce(messages_user, 0) = 0 then 'no-user-messages' when messages_user = 1 and coalesce(duration_s, 0) < 30 and coalesce(end_reason, '') in ('other', '') then 'one-shot<30s' end"
-_WORTH = f"""(coalesce(messages_user, 0) >= 3 and coalesce(duration_s, 0) >= 300 and (messages_user >= 8 or coalesce(list_has_any(tools, {list(WRITE_TOOLS)}), false)
+_PROG = "case when starts_with(lower(coalesce(entrypoint, '')), 'sdk') then 'entrypoint:' || lower(entrypoint) when coalesce(messages_user, 0) <= 0 then 'no-user-messages' when messages_user = 1 and coalesce(duration_s, 0) < 30 and lower(coalesce(end_reason, '')) in ('other', '') then 'one-shot<30s' end"
+_WORTH = f"""(coalesce(messages_user, 0) >= 3 and coalesce(duration_s, 0) >= 300 and (messages_user >= 8 or coalesce(list_has_any(tools, {list(WRITE_TOOLS)}) or regexp_matches(array_to_string(tools, ' '), '{"|".join(WRITE_PARTS)}'), false)
   or regexp_matches(coalesce(lower(array_to_string(prompts, ' ')), ''), '{"|".join(SIGNALS)}')))"""
 _AGE = f"(date '{TODAY}' - coalesce(session_day, started::date))"
-_WHY = f"""case when archived then 'keep:already archived' when {_PROG} is not null then 'machine:' || {_PROG} when distilled and {_AGE} > 14 then 'archive:distilled' when not {_WORTH} and {_AGE} > 7 then 'archive:short'
-  when {_WORTH} and {_AGE} > 90 and length(trim(regexp_replace(coalesce(summary, ''), '(?s)<!--.*?-->', '', 'g'))) = 0 then 'archive:stale without summary' else 'keep:active' end"""
+_WHY = f"""case when archived then 'keep:already-archived' when {_PROG} is not null then 'machine:' || {_PROG} when distilled then case when {_AGE} >= {DISTILLED_DAYS} then 'archive:distilled' else 'keep:distilled, recent' end
+  when coalesce(messages_user, 0) < 3 or coalesce(duration_s, 0) < 300 then case when {_AGE} >= {SHORT_DAYS} then 'archive:short' else 'keep:short, recent' end when {_AGE} >= {WORTH_DAYS} then 'archive:worth stale' else 'keep:worth' end"""
 _ACT = rf"(select id, project, split_part({_WHY}, ':', 1) as action, regexp_replace({_WHY}, '^[a-z]+:', '') as why, {_AGE}::bigint as age_days from {_S})"
 _EV = "(select * replace (message.role as role, message.content as content) from (select *, null::varchar as role, null::varchar as content from transcript qualify row_number() over (partition by session_id, transcript_path, line_no order by received_at desc nulls last, row_id desc) = 1))"
 _WORDS = r"list_distinct(flatten(list(regexp_extract_all(lower(array_to_string(prompts, ' ')), '[\p{L}\p{N}_]{4,}'))))"
@@ -232,14 +250,17 @@ _WORDS = r"list_distinct(flatten(list(regexp_extract_all(lower(array_to_string(p
 SQL = {
     "pending_summaries": f"""select id, project, ended, place from (select id, project, ended, row_number() over (partition by project order by ended desc, id)::bigint as place from {_S}
       where ended >= timestamp '{TODAY}' - interval 720 hour and length(trim(regexp_replace(coalesce(summary, ''), '(?s)<!--.*?-->', '', 'g'))) = 0 and not archived and coalesce(messages_user, 0) >= 2) where place <= 3""",
-    "retention": f"select id, project, {_AGE}::bigint as age_days from {_S} where archived and length(trim(coalesce(summary, ''))) = 0 and {_AGE} >= 180",
+    "attached_tools": rf"""select session_id, message_no, tools, spoken from (select session_id, (n - speaks)::bigint as message_no, sum(calls)::bigint as tools, max(speaks)::bigint as spoken
+      from (select *, sum(speaks) over (partition by session_id order by transcript_path, line_no rows unbounded preceding) as n from (select session_id, transcript_path, line_no, len(regexp_extract_all(coalesce(content, ''), '"type": "tool_use"')) as calls,
+        (coalesce(event_type, '') = 'assistant' and coalesce(regexp_matches(content, '"type": "text"') or not regexp_matches(content, '^\s*\['), false))::int as speaks from {_EV})) group by all) where tools > 0 or spoken > 0""",
     "session_flags": f"""select id, {_PROG} as programmatic, {_WORTH} as worth, case when duration_s is null or duration_s < 0 then '0s' when duration_s < 60 then duration_s || 's'
       when duration_s < 3600 then (duration_s // 60) || 'm ' || (duration_s % 60) || 's' else (duration_s // 3600) || 'h ' || (duration_s % 3600 // 60) || 'm' end as duration from {_S}""",
     "compact_actions": f"select id, action, why, age_days from {_ACT}",
     "compact_report": f"select action, regexp_extract(why, '^([^,(]+)', 1) as reason, count(*)::bigint as sessions, max(age_days)::bigint as oldest from {_ACT} group by all",
     "action_budget": f"""select id, project, action, used from (select id, project, action, (sum((action <> 'keep')::int) over (partition by project order by id))::bigint as used from {_ACT}) where action <> 'keep' and used <= 40""",
-    "retention_cap": f"""select id, project, session_day from (select id, project, session_day, row_number() over (partition by project order by session_day, id) as k, n - 1 as over from (select *, count(*) over (partition by project) as n from {_S} where archived)
-      where length(trim(coalesce(summary, ''))) = 0) where k <= over""",
+    "archive_purge": f"""with a as (select id, project, session_day, length(trim(regexp_replace(coalesce(summary, ''), '(?s)<!--.*?-->', '', 'g'))) = 0 as bare, {_AGE} as age from {_S} where archived), r as (select * from a where not (bare and coalesce(age, 0) >= {PURGE_DAYS}))
+      select id, project, 'age' as why from a where bare and age >= {PURGE_DAYS} union all select id, project, 'cap' from (select *, row_number() over (partition by project order by session_day, id) as k from r where bare)
+      join (select project, count(*) - 2 as over from r group by project) using (project) where k <= over""",
     "session_list": f"select id, project, session_day, messages_user from {_S} where not archived order by session_day desc, id desc limit 50",
     "sessions_index": f"select project, session_day, count(*) filter (not archived)::bigint as active, count(*) filter (archived)::bigint as in_archive, coalesce(string_agg(id, ' ' order by id) filter (not archived), '') as ids from {_S} group by all",
     "event_stats": f"""select session_id, count(*)::bigint as rows, count(*) filter (event_type = 'user')::bigint as user_rows, count(*) filter (event_type = 'assistant')::bigint as assistant_rows, count(distinct transcript_path)::bigint as files,

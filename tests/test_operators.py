@@ -196,3 +196,17 @@ def test_running_sum_with_a_hot_key(spark):
         sums[k] = sums.get(k, 0) + v
         want[i] = sums[k]
     assert got == want
+
+
+def test_trust_tiers(spark):
+    page = "---\ntitle: T\nupdated: 2026-01-01\n{}---\nbody"
+    plain = page.format("")
+    revision = one(spark, audit.content_revision(F.col("t")), t=plain)
+    assert revision == one(spark, audit.content_revision(F.col("t")), t=plain.replace("2026-01-01", "2026-02-02"))
+    assert revision != one(spark, audit.content_revision(F.col("t")), t=plain.replace("body", "other"))
+    event = lambda by, rev, origin: page.format('verified: [{"by": "%s", "at": "x", "content_revision": "%s", "origin": "%s"}]\n' % (by, rev, origin))
+    for text, tier in [
+        (plain, "unverified"), (event("human:ada", revision, "local-cli"), "human-reviewed"), (event("human:ada", revision, "mcp"), "machine-confirmed"), (event("process:x", revision, "mcp"), "machine-confirmed"),
+        (event("human:ada", "sha256:old", "local-cli"), "stale"), (page.format("verified: { by: someone }\n"), "legacy"), ("no header", "unverified"),
+    ]:
+        assert one(spark, audit.trust_tier(F.col("t")), t=text) == tier, text
