@@ -161,24 +161,25 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
     content = F.when(F.size(content) > 0, content).otherwise(F.col("words"))
     letters = F.array_join(F.array_sort(F.split(joined, "")), "")
     keys = F.when(F.size("words") <= 6, F.concat(content, F.array(F.concat(F.lit("="), letters)))).otherwise(content)
-    posted = classes.select("cid", "g", "in_train", "in_held", F.explode(keys).alias("word")).withColumn("shingle", F.explode(_shingles(F.col("word"))))
-    train = posted.where("in_train").select("g", "shingle", F.col("cid").alias("train")).dropDuplicates()
-    lengths = train.groupBy("g", "shingle").agg(F.count("*").alias("n"))
-    held = posted.where("in_held").select("g", "shingle", "word", F.col("cid").alias("held"))
-    cost = held.join(lengths, ["g", "shingle"]).groupBy("g", "held", "word").agg(F.sum("n").alias("cost"), F.collect_set("shingle").alias("shingles"))
+    # A posting is two numbers: the hash of group and shingle, and the class. Equal groups are checked again with the words.
+    words = classes.select("cid", "g", "in_train", "in_held", F.explode(keys).alias("word"))
+    posted = words.select("cid", "in_train", "in_held", "word", F.explode(F.transform(_shingles(F.col("word")), lambda x: F.xxhash64("g", x))).alias("key"))
+    train = posted.where("in_train").select("key", F.col("cid").alias("train")).dropDuplicates()
+    lengths = train.groupBy("key").agg(F.count("*").alias("n"))
+    held = posted.where("in_held").select("key", F.xxhash64("word").alias("word"), F.col("word").startswith("=").alias("whole"), F.col("cid").alias("held"))
+    cost = held.join(lengths, "key").groupBy("held", "word", "whole").agg(F.sum("n").alias("cost"), F.collect_set("key").alias("keys"))
     rank = F.row_number().over(Window.partitionBy("held").orderBy("cost", "word"))
-    whole = F.col("word").startswith("=")
-    prefix = cost.withColumn("k", rank).where((F.col("k") <= PREFIX) | whole).select("g", "held", F.explode("shingles").alias("shingle"))
-    found = prefix.join(train, ["g", "shingle"]).select("train", "held").dropDuplicates()
+    prefix = cost.withColumn("k", rank).where((F.col("k") <= PREFIX) | F.col("whole")).select("held", F.explode("keys").alias("key"))
+    found = prefix.join(train, "key").select("train", "held").dropDuplicates()
 
     counts = classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     known = (
         classes.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(counts.where(f"n >= {KNOWN_RECORDS}"), "word").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
     )
-    told = classes.select("cid", "words").join(known, "cid", "left")
-    a = told.select(F.col("cid").alias("train"), F.col("words").alias("a"), F.col("known").alias("ka"))
-    b = told.select(F.col("cid").alias("held"), F.col("words").alias("b"), F.col("known").alias("kb"))
-    spell = found.where("train <> held").join(a, "train").join(b, "held").where("abs(size(a) - size(b)) <= 10")
+    told = classes.select("cid", "g", "words").join(known, "cid", "left")
+    a = told.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("known").alias("ka"))
+    b = told.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("known").alias("kb"))
+    spell = found.where("train <> held").join(a, "train").join(b, "held").where("ga = gb and abs(size(a) - size(b)) <= 10").drop("ga", "gb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
