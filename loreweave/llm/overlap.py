@@ -14,15 +14,18 @@ null id or an unknown split are in no pair; repeated rows (same id) count once,
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import latest
+from .tokens import tokenizer_path
 
 # Polite and filling words that may stand around a question.
 FILLERS = frozenset(
@@ -31,7 +34,9 @@ FILLERS = frozenset(
     "domanda veloce curious know need want to let us".split()
 )
 PREFIX = 2
-KNOWN_RECORDS, KNOWN_RATIO = 8, 50
+# How far the counts of two words may be apart: of words of the public vocabulary, and where one is not in it; a word
+# that is not in it must stand in one of so many questions to be a word at all.
+KNOWN_RATIO, STRANGE_RATIO, STRANGE_SHARE = 50, 12, 1000
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 WORD = re.compile(r"[^\W_]+")
 
@@ -76,15 +81,40 @@ def edits(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
+@cache
+def vocabulary() -> frozenset[str]:
+    """Whole lower-case words of the public byte-level vocabulary, in canonical form: words known whatever the table holds."""
+    tokens = (base64.b64decode(line.split()[0]) for line in open(tokenizer_path(), "rb") if line.strip())
+    return frozenset(singular(t[1:].decode()) for t in tokens if re.fullmatch(rb" [a-z]{3,}", t))
+
+
+def two_words(a: str, b: str, known: dict[str, int]) -> bool:
+    """Whether two near words are different words and not one with a slip, by measures that don't grow with the table.
+
+    An ending -er (flush, flusher) makes another word, no slip does. Other pairs go by relative frequency: words of the
+    public vocabulary are different unless one is so rare beside the other that it must be a slip; a word that is not in
+    it needs a second record and a higher share. ``known`` has passed ``_told``.
+    """
+    short, long = sorted((a, b), key=len)
+    if long == short + "er":
+        return True
+    x, y = sorted((known.get(a, 0), known.get(b, 0)))
+    if a in vocabulary() and b in vocabulary():
+        return 0 < x and y < KNOWN_RATIO * x
+    return 1 < x and y < STRANGE_RATIO * x
+
+
+def _told(counts: dict[str, int], total: int) -> dict[str, int]:
+    """The counts that tell something: of vocabulary words, and of other words that a fixed share of all questions has."""
+    return {w: n for w, n in counts.items() if n * STRANGE_SHARE >= total or w in vocabulary()}
+
+
 def _slip(a: str, b: str, known: dict[str, int]) -> bool:
-    """Whether two different words are one word and a slip of it: not two words that both are well known."""
+    """Whether two different words are one word and a slip of it."""
     if min(len(a), len(b)) < 3 or a.isdigit() != b.isdigit() or a.isdigit():
         return False
-    x, y = known.get(a, 0), known.get(b, 0)
-    if min(x, y) >= KNOWN_RECORDS and max(x, y) < KNOWN_RATIO * min(x, y):
-        return False
     allowed = 2 if max(len(a), len(b)) >= 7 else 1
-    return edits(a, b, allowed) <= allowed
+    return edits(a, b, allowed) <= allowed and not two_words(a, b, known)
 
 
 def same_question(a: list[str], b: list[str], known: dict[str, int]) -> bool:
@@ -174,17 +204,18 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
 
     counts = classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     known = (
-        classes.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(counts.where(f"n >= {KNOWN_RECORDS}"), "word").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
+        classes.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(counts, "word").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
     )
+    total = classes.agg(F.count("*").alias("total"))  # one row
     told = classes.select("cid", "g", "words").join(known, "cid", "left")
     a = told.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("known").alias("ka"))
     b = told.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("known").alias("kb"))
-    spell = found.where("train <> held").join(a, "train").join(b, "held").where("ga = gb and abs(size(a) - size(b)) <= 10").drop("ga", "gb")
+    spell = found.where("train <> held").join(a, "train").join(b, "held").where("ga = gb and abs(size(a) - size(b)) <= 10").drop("ga", "gb").join(F.broadcast(total))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [
-                same_question(list(x), list(y), dict(kx or ()) | dict(ky or ())) for x, y, kx, ky in zip(pdf["a"], pdf["b"], pdf["ka"], pdf["kb"])
+                same_question(list(x), list(y), _told(dict(kx or ()) | dict(ky or ()), n)) for x, y, kx, ky, n in zip(pdf["a"], pdf["b"], pdf["ka"], pdf["kb"], pdf["total"])
             ]
             yield pdf.loc[keep, ["train", "held"]]
 

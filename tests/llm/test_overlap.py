@@ -31,6 +31,16 @@ def test_known_words_are_no_slips_of_each_other():
     assert O.same_question(a, b, {}) and not O.same_question(a, b, {"grade": 40, "trade": 30})
 
 
+@pytest.mark.parametrize("size", [1, 10, 100])
+def test_same_verdict_at_every_size(size):
+    counts = {"stable": 9, "stale": 5, "shared": 18, "shard": 2, "span": 6, "spawn": 5, "cursor": 57, "flush": 40, "flusher": 1}
+    for a, b in (("stable", "stale"), ("shared", "shard"), ("span", "spawn"), ("flush", "flusher")):
+        assert not O.same_question(O.canonical(f"where is the {a}"), O.canonical(f"where is the {b}"), {w: n * size for w, n in counts.items()})
+    assert "cusor" not in O._told({"cusor": 4 * size}, 5000 * size) and "thaw" in O._told({"thaw": 5 * size}, 400 * size)
+    slips = {w: n * size for w, n in counts.items()} | {"cusor": size}
+    assert O.same_question(O.canonical("where is the cursor"), O.canonical("where is the cusor"), slips)
+
+
 SCHEMA = "id string, project string, query string, split string, source string, relevant array<struct<path:string,start_line:int,end_line:int>>, added_at timestamp_ntz, words int"
 
 
