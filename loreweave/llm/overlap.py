@@ -1,10 +1,11 @@
 """Problem 2: evaluation queries that also stand, exactly or nearly, in the training split.
 
-An exact prefix-filter bipartite join. A shingle is one canonical word with its one-letter
-deletions, so that words a slip of the keyboard apart share a shingle. Training records post
-all their shingles inside their group (project and set of judged files); each evaluation
-record is indexed under its rarest words only, by the actual length of the posting lists.
-Candidates pass a length filter and are then verified word by word.
+An exact prefix-filter bipartite join. A shingle is one canonical word with its deletions of
+one letter, or of two from seven letters on, so that words the verifier takes for one share a
+shingle. Training records post all their shingles inside their group (project and set of
+judged files); each evaluation record is looked up under its rarest required word only, by the
+actual length of the posting lists. Candidates pass a length filter on required words and are
+then verified word by word.
 
 Records that are equal after canonical spelling form one class; classes are joined, then
 expanded to the record pairs the result asks for. Records with a null or wordless query, a
@@ -15,14 +16,17 @@ null id or an unknown split are in no pair; repeated rows (same id) count once,
 from __future__ import annotations
 
 import base64
+import hashlib
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .common import latest
 from .tokens import tokenizer_path
@@ -33,7 +37,10 @@ FILLERS = frozenset(
     "me just actually by the way a an i wonder wondering per favore ciao grazie salve scusa bitte hallo danke por favor hola gracias s il vous plait bonjour merci again now so ok okay "
     "domanda veloce curious know need want to let us".split()
 )
-PREFIX = 2
+# Every word of a held-out record but spare ones must be matched: probing any one of them finds all its partners.
+PREFIX = 1
+# Letters from which on a word is posted in segments instead of with its deletions.
+LONG = 20
 # How far the counts of two words may be apart: of words of the public vocabulary, and where one is not in it; a word
 # that is not in it must stand in one of so many questions to be a word at all.
 KNOWN_RATIO, STRANGE_RATIO, STRANGE_SHARE = 50, 12, 1000
@@ -131,7 +138,7 @@ def same_question(a: list[str], b: list[str], known: dict[str, int]) -> bool:
             right.remove(near)
     rest = left + right
     content = [w for w in a if w not in FILLER_STEMS]
-    if all(w in FILLER_STEMS or any(len(w) > 4 and edits(w, f, 1) <= 1 for f in FILLER_STEMS if len(f) > 4) for w in rest):
+    if all(spare(w) for w in rest):
         return bool(content) or not rest
     # one name in one word on one side, in several on the other
     one, other = "".join(a).replace("ie", "y"), "".join(b).replace("ie", "y")
@@ -141,6 +148,12 @@ def same_question(a: list[str], b: list[str], known: dict[str, int]) -> bool:
 FILLER_STEMS = frozenset(singular(w) for w in FILLERS)
 
 
+@lru_cache(100_000)
+def spare(word: str) -> bool:
+    """Whether a word may stand on one side alone: a filling word or a slip of one."""
+    return word in FILLER_STEMS or len(word) > 4 and any(edits(word, f, 1) <= 1 for f in FILLER_STEMS if len(f) > 4)
+
+
 def _split(column: Column) -> Column:
     s = F.lower(F.regexp_replace(column, r"[\s\p{Z}_-]+", ""))
     return F.when(s.rlike("^train"), "training").when(s.rlike("^(dev|valid|val$)"), "development").when(s.rlike("^(eval|test)"), "evaluation")
@@ -173,32 +186,79 @@ def records(dataset: DataFrame) -> DataFrame:
     )
 
 
-def _shingles(word: Column) -> Column:
-    """A word and its one-letter deletions."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word) >= 4, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
+def _hash(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@lru_cache(100_000)
+def shingles(word: str, probe: bool) -> list[int]:
+    """Hashed keys of a word: of any two words that may be a slip of each other, one posts a key that the other probes.
+
+    Words share a deletion of one letter, from seven letters on of two. Very long words, which would have too many, are
+    posted in five segments, of which two slips leave one whole, and probe with the segments of all lengths in reach.
+    """
+    keys = {word}
+    if word[:1] == "=":
+        return [_hash(word)]
+    if 3 <= len(word) <= LONG + 2:
+        most = 2 if len(word) >= 7 else 1
+        keys |= {"".join(c) for k in range(1, most + 1) for c in itertools.combinations(word, len(word) - k)}
+    if len(word) > LONG:
+        for n in range(len(word) - 2, len(word) + 3) if probe else (len(word),):
+            for i in range(5):
+                start, end = n * i // 5, n * (i + 1) // 5
+                for d in range(-2, 3) if probe else (0,):
+                    if start + d >= 0 and end + d <= len(word):
+                        keys.add(f"{n}/{i}/{word[start + d : end + d]}")
+    return [_hash(k) for k in keys]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _posts(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: shingles(w, False))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _probes(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: shingles(w, True))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _required(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [w for w in ws if not spare(w)])
 
 
 def overlapping_classes(rows: DataFrame) -> DataFrame:
-    """Pairs of classes (``train``, ``held``) that ask the same question, by the prefix-filter join."""
+    """Pairs of classes (``train``, ``held``) that ask the same question, by the prefix-filter join.
+
+    Every required word of a held-out record must be matched, so its one cheapest is probed (a word that nobody posted
+    costs nothing and finds nothing). A record of spare words alone probes all of them and meets those of spare words alone.
+    """
     classes = rows.groupBy("cid", "g").agg(
         F.first("words").alias("words"), F.bool_or(F.col("side") == "training").alias("in_train"), F.bool_or(F.col("side") != "training").alias("in_held")
     )
-    fillers = F.array(*[F.lit(w) for w in sorted(FILLER_STEMS)])
+    both = classes.groupBy("g").agg(F.bool_or("in_train").alias("t"), F.bool_or("in_held").alias("h")).where("t and h").select("g")
+    met = classes.join(both, "g", "left_semi").withColumn("need", _required("words"))
     joined = F.replace(F.array_join("words", ""), F.lit("ie"), F.lit("y"))
     # A name written as one word meets the same name in several: short queries are posted whole, too.
-    content = F.array_distinct(F.filter("words", lambda w: ~F.array_contains(fillers, w)))
-    content = F.when(F.size(content) > 0, content).otherwise(F.col("words"))
-    letters = F.array_join(F.array_sort(F.split(joined, "")), "")
-    keys = F.when(F.size("words") <= 6, F.concat(content, F.array(F.concat(F.lit("="), letters)))).otherwise(content)
+    letters = F.concat(F.lit("="), F.array_join(F.array_sort(F.split(joined, "")), ""))
+    whole = F.when(F.size("words") <= 6, F.array(letters)).otherwise(F.array())
+    none = F.when(F.size("need") == 0, F.array(F.lit("=="))).otherwise(F.array())
     # A posting is two numbers: the hash of group and shingle, and the class. Equal groups are checked again with the words.
-    words = classes.select("cid", "g", "in_train", "in_held", F.explode(keys).alias("word"))
-    posted = words.select("cid", "in_train", "in_held", "word", F.explode(F.transform(_shingles(F.col("word")), lambda x: F.xxhash64("g", x))).alias("key"))
-    train = posted.where("in_train").select("key", F.col("cid").alias("train")).dropDuplicates()
+    key = lambda hashed: F.transform(hashed, lambda x: F.xxhash64("g", x))
+    train = (
+        met.where("in_train").select("cid", "g", F.explode(F.array_distinct(F.concat("words", whole, none))).alias("word"))
+        .select("g", F.col("cid").alias("train"), _posts("word").alias("x")).select("train", F.explode(key(F.col("x"))).alias("key")).dropDuplicates()
+    )
     lengths = train.groupBy("key").agg(F.count("*").alias("n"))
-    held = posted.where("in_held").select("key", F.xxhash64("word").alias("word"), F.col("word").startswith("=").alias("whole"), F.col("cid").alias("held"))
-    cost = held.join(lengths, "key").groupBy("held", "word", "whole").agg(F.sum("n").alias("cost"), F.collect_set("key").alias("keys"))
-    rank = F.row_number().over(Window.partitionBy("held").orderBy("cost", "word"))
+    least = F.when(F.size("need") > 0, F.col("need")).otherwise(F.col("words"))
+    held = (
+        met.where("in_held").select("cid", "g", (F.size("need") == 0).alias("all"), F.explode(F.array_distinct(F.concat(least, whole, none))).alias("word"))
+        .select("g", F.col("cid").alias("held"), "word", (F.col("all") | F.col("word").startswith("=")).alias("whole"), _probes("word").alias("x"))
+        .select("held", F.xxhash64("word").alias("word"), "whole", F.explode(key(F.col("x"))).alias("key"))
+    )
+    cost = held.join(lengths, "key", "left").groupBy("held", "word", "whole").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"), F.collect_set(F.when(F.col("n").isNotNull(), F.col("key"))).alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("held", "whole").orderBy("cost", "word"))
     prefix = cost.withColumn("k", rank).where((F.col("k") <= PREFIX) | F.col("whole")).select("held", F.explode("keys").alias("key"))
     found = prefix.join(train, "key").select("train", "held").dropDuplicates()
 
@@ -207,10 +267,12 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
         classes.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(counts, "word").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
     )
     total = classes.agg(F.count("*").alias("total"))  # one row
-    told = classes.select("cid", "g", "words").join(known, "cid", "left")
-    a = told.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("known").alias("ka"))
-    b = told.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("known").alias("kb"))
-    spell = found.where("train <> held").join(a, "train").join(b, "held").where("ga = gb and abs(size(a) - size(b)) <= 10").drop("ga", "gb").join(F.broadcast(total))
+    told = met.select("cid", "g", "words", F.size("need").alias("need")).join(known, "cid", "left")
+    a = told.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("known").alias("ka"), F.col("need").alias("na"))
+    b = told.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("known").alias("kb"), F.col("need").alias("nb"))
+    # required words are matched one to one; a short query may also be the same name in other words
+    fits = "ga = gb and (na <= size(b) and nb <= size(a) or greatest(size(a), size(b)) <= 6)"
+    spell = found.where("train <> held").join(a, "train").join(b, "held").where(fits).drop("ga", "gb", "na", "nb").join(F.broadcast(total))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

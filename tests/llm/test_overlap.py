@@ -71,3 +71,29 @@ def test_join_against_all_pairs(spark):
     report = O.overlap_report(df)
     assert report.agg({"overlapping": "sum"}).first()[0] == len({k for p in want for k in p if side[k] == "H"})
     assert O.overlapping_records(df.limit(0)).count() == 0
+
+
+def test_shingles_cover_every_slip():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.choice([3, 4, 5, 6, 7, 8, 19, 21, 22, 23, 24, 40])))
+        b = a
+        for _ in range(rng.choice([1, 2])):
+            k = rng.randrange(len(b))
+            b = [b[:k] + b[k + 1 :], b[:k] + "x" + b[k:], b[:k] + "x" + b[k + 1 :], b[:k] + b[k + 1 : k + 2] + b[k : k + 1] + b[k + 2 :]][rng.randrange(4)]
+        if O._slip(a, b, {}):
+            assert set(O.shingles(a, False)) & set(O.shingles(b, True)) and set(O.shingles(b, False)) & set(O.shingles(a, True)), (a, b)
+
+
+def test_join_finds_two_slips_and_long_fillings(spark):
+    long = "please hi hello hey thanks can you kindly tell me just now so where is the lease"
+    pairs = [
+        ("where is authentication middleware kept", "where is athenticaton mddlewar kept"), ("initialization", "intializaton"), ("how big is the box", "how big is the bix"), ("where is the lease", long),
+        ("internationalizationhandlerfactory", "internatonalizationhandlrfactory"), ("pleaze", "please thanks"),
+    ]
+    rows = [(f"t{i}", f"p{i}", a, "train", None, [], None, 1) for i, (a, _) in enumerate(pairs)] + [(f"v{i}", f"p{i}", b, "dev", None, [], None, 1) for i, (_, b) in enumerate(pairs)]
+    rows += [("u0", "p0", "authentication middleware of another", "train", None, [], None, 1)] + [(f"w{i}", "p0", f"where is {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3} kept", "train", None, [], None, 1) for i in range(58)]
+    turned = [(r[0], r[1] + "x", r[2], {"train": "dev", "dev": "train"}[r[3]], *r[4:]) for r in rows if r[0] != "t5" and r[0] != "v5"]
+    for some, n in ((rows, 6), (turned, 5)):
+        got = {(r.id_a, r.id_b) for r in O.overlapping_records(spark.createDataFrame(some, SCHEMA)).collect()}
+        assert got == {(f"t{i}", f"v{i}") for i in range(n)}
