@@ -1,8 +1,8 @@
 """Problem 3: files that nobody here wrote by hand.
 
 Three sources of evidence, by file: (1) marks: comments and paths that tools and vendored
-copies leave; (2) an inverted index of rare line hashes, from which the exact containment
-of a file in files of other projects follows, so that an edited copy of third-party source
+copies leave; (2) an inverted index of line hashes, from which the exact containment of a file
+in files of other projects follows, however often a line stands, so that an edited copy of third-party source
 is found without any mark; (3) token composition: minified scripts and data kept as source.
 
 Configuration files are never cases. Null content counts as empty, rows with a null
@@ -125,25 +125,56 @@ def file_lines(chunks: DataFrame, min_chars: int = 24) -> DataFrame:
     )
 
 
-def containment(chunks: DataFrame, max_files: int = 20, least: float = 0.6, min_lines: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs of files of different projects with the share of the first one's lines that stand in the second.
+def line_classes(chunks: DataFrame) -> DataFrame:
+    """Every file with lines: ``p``, ``f``, its distinct line hashes ``hs`` and the class ``c`` of all files with the same ones."""
+    files = file_lines(chunks).groupBy("p", "f").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    return files.withColumn("c", F.xxhash64("hs")).checkpoint()
 
-    Only rare lines (2 to ``max_files`` files, more than one project) are joined, so a line that
-    stands everywhere makes no pair; the share still counts against all lines of the file.
+
+def contained_classes(files: DataFrame, least: float = 0.6, min_lines: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """Pairs of classes (``c``, ``other``), each with itself too, with the share of the first one's lines that stand in the second.
+
+    An exact prefix-filter join without a cap on how often a line stands: equal files are one class, and a class probes only its rarest
+    lines, one more than it may miss. A line that stands everywhere is probed only by files that have little else.
     """
-    postings = file_lines(chunks)
-    rare = (
-        postings.groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("p").alias("a"), F.max("p").alias("b"))
-        .where(f"n between 2 and {max_files} and a <> b")
-        .select("h")
-        .checkpoint()
+    classes = files.groupBy("c").agg(F.first("hs").alias("hs")).withColumn("lines", F.size("hs")).checkpoint()
+    posted = classes.select("c", "lines", F.explode("hs").alias("h"))
+    shared = posted.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").checkpoint()
+    small = shared.count() <= broadcast_rows  # sixteen bytes a row: at most 8 MB are broadcast
+    kept = posted.join(F.broadcast(shared) if small else shared, "h")
+    ordered = kept.where(f"lines >= {min_lines}").groupBy("c", "lines").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("x"))
+    probes = F.expr(f"cast(greatest(size(x) - ceil({least} * lines) + 1, 0) as int)")
+    # lines of no other class come first in the order and find nothing: lines - size(x) of them
+    probe = ordered.select("c", "lines", F.explode(F.slice("x", F.lit(1), probes)).alias("y")).select("c", "lines", F.col("y.h").alias("h"))
+    target = kept.select("h", F.col("c").alias("other"), F.col("lines").alias("other_lines"))
+    found = probe.join(target, "h").where(f"c <> other and other_lines >= {least} * lines").select("c", "other").distinct()
+    there = classes.select(F.col("c").alias("other"), F.col("hs").alias("other_hs"))
+    both = found.join(classes, "c").join(there, "other").select("c", "other", "lines", F.size(F.array_intersect("hs", "other_hs")).alias("shared"))
+    itself = classes.where(f"lines >= {min_lines}").select("c", F.col("c").alias("other"), F.lit(1.0).alias("share"))
+    return both.where(f"shared >= {least} * lines").select("c", "other", (F.col("shared") / F.col("lines")).alias("share")).unionByName(itself)
+
+
+def containment(chunks: DataFrame, least: float = 0.6, min_lines: int = 5) -> DataFrame:
+    """Pairs of files of different projects with the share of the first one's distinctive lines that stand in the second."""
+    files = line_classes(chunks)
+    pairs = contained_classes(files, least, min_lines)
+    others = files.select(F.col("c").alias("other_c"), F.col("f").alias("other"), F.col("p").alias("other_p"))
+    return pairs.withColumnRenamed("other", "other_c").join(files.select("c", "f", "p"), "c").join(others, "other_c").where("p <> other_p").select("f", "other", "other_p", "share")
+
+
+def copied_files(chunks: DataFrame, vendored: DataFrame) -> DataFrame:
+    """Files (``f``) of which another project has a copy that is ``vendored`` (by ``f``), or two other projects have one.
+
+    Classes are joined, never pairs of files: a file copied a thousand times is one class with a row for each project.
+    """
+    files = line_classes(chunks)
+    known = vendored.select("f", F.lit(True).alias("known")).distinct()
+    held = files.select("f", "p", "c").join(known, "f", "left").groupBy(F.col("c").alias("other"), "p").agg(F.max("known").alias("known"))
+    seen = contained_classes(files).join(held, "other").groupBy("c").agg(
+        F.countDistinct("p").alias("projects"), F.min(F.when(F.col("known"), F.col("p"))).alias("a"), F.max(F.when(F.col("known"), F.col("p"))).alias("b")
     )
-    small = rare.count() <= broadcast_rows  # eight bytes a row: at most 4 MB are broadcast
-    kept = postings.join(F.broadcast(rare) if small else rare, "h").dropDuplicates(["h", "f"])
-    pairs = kept.alias("x").join(kept.alias("y"), "h").where("x.f <> y.f and x.p <> y.p").groupBy(F.col("x.f").alias("f"), F.col("y.f").alias("other"), F.col("y.p").alias("other_p")).agg(F.count("*").alias("shared"))
-    sizes = postings.join(pairs.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.countDistinct("h").alias("lines"))
-    return pairs.join(sizes, "f").where(f"lines >= {min_lines} and shared >= {least} * lines").withColumn("share", F.col("shared") / F.col("lines"))
+    # a class is paired with itself, so a file's own project is among the counted ones
+    return files.select("f", "p", "c").join(seen, "c").where("projects >= 3 or a <> p or b <> p").select("f")
 
 
 def not_handwritten(chunks: DataFrame, data_share: float = 0.6, minified_share: float = 0.6, data_chars: int = 200) -> DataFrame:
@@ -158,15 +189,7 @@ def not_handwritten(chunks: DataFrame, data_share: float = 0.6, minified_share:
         .when((F.col("data") >= data_share * F.col("chars")) & (F.col("data") >= data_chars), "data")
     )
     files = files.withColumn("reason", marked).withColumn("config", path.rlike(CONFIG_PATH)).withColumn("f", F.xxhash64("project", "file_path"))
-    copies = containment(chunks)
-    known = files.where("reason = 'vendored'").select(F.col("f").alias("other"), F.lit(True).alias("known"))
-    copied = (
-        copies.join(known, "other", "left")
-        .groupBy("f")
-        .agg(F.bool_or("known").alias("of_known"), F.countDistinct("other_p").alias("projects"))
-        .where("of_known or projects >= 2")
-        .select("f", F.lit("vendored").alias("copy"))
-    )
+    copied = copied_files(chunks, files.where("reason = 'vendored'").select("f")).select("f", F.lit("vendored").alias("copy"))
     return (
         files.join(copied, "f", "left")
         .withColumn("reason", F.coalesce("reason", F.when(~F.col("config"), F.col("copy"))))

@@ -39,3 +39,14 @@ def test_files(spark):
     assert H.not_handwritten(df.limit(0)).count() == 0
     pair = {(r.share) for r in H.containment(df).collect()}
     assert len(pair) == 1 and abs(pair.pop() - 39 / 40) < 0.03
+
+
+def test_copies_in_many_files(spark):
+    library = "\n".join(f"    value_{i} = compute_something_from(rows, {i})" for i in range(30))
+    edited = library.replace("value_7 ", "another_7 ")
+    rows = [(i, "code", f"p{i % 30}", f"src/copy_{i}.py", edited if i % 5 == 0 else library, 0) for i in range(60)]
+    rows += [(100 + i, "code", f"p{i}", f"src/own_{i}.py", "\n".join(library.split("\n")[:4] + [f"    own_{i}_{k} = compute_nothing_at_all()" for k in range(20)]), 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, project string, file_path string, content string, f int")
+    got = {(r.project, r.file_path) for r in H.not_handwritten(df).collect()}
+    assert got == {(r[2], r[3]) for r in rows[:60]}
+    assert H.containment(df).count() == 60 * 58
