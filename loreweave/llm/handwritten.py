@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import spread
 
 COMMENT = r"^[ \t]{0,3}(?:#|//|/\*|\*|--|;|<!--|\"\"\"|'''|%)[^\n]{0,400}?"
-HINT = re.compile(r"(?i)generat|génér|gener[ai]|erzeugt|overwritten|emitted by|produced by|created|regenerate|vendored|upstream|bundled|contributors")
+HINT = re.compile(r"(?i)generat|génér|gener[ai]|erzeugt|overwritten|emitted by|produced by|created|regenerate|vendored|upstream|bundled|contributors|copied|authors|modificare|automatically|written|lost when")
 # Phrases by which tools mark their output.
 GENERATED = re.compile(
     COMMENT

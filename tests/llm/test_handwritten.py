@@ -50,3 +50,9 @@ def test_copies_in_many_files(spark):
     got = {(r.project, r.file_path) for r in H.not_handwritten(df).collect()}
     assert got == {(r[2], r[3]) for r in rows[:60]}
     assert H.containment(df).count() == 60 * 58
+
+
+def test_hint_lets_every_mark_through():
+    for text in ("# copied from lib/x.py at v1", "// left-pad 1.2.0 (c) 2020 the pad authors", "# non modificare a mano", "# automatically built", "# automatically written", "# this was written by gen from a.schema", "# changes will be lost when the schema is built"):
+        found = next(H._features(iter([H.pd.DataFrame({"project": ["p"], "file_path": ["a"], "id": [1], "content": [text]})])))
+        assert found["generated"][0] or found["vendored"][0], text
