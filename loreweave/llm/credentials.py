@@ -46,6 +46,9 @@ ISSUERS = re.compile(
 )
 BEGIN_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END_KEY = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+BASE64 = re.compile(r"[A-Za-z0-9+/=]+")
+KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): ")
+ESCAPED_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=]{16,})+")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zñç]+|\d+")
 
 # Words of names that hold credentials.
@@ -285,8 +288,53 @@ def _continued(lines: list[str], n: int, keeps: bool) -> tuple[int, list[tuple[i
     return parts[0][0], parts
 
 
+def _key_line(line: str, least: int) -> bool:
+    """Whether a line can stand in the body of a key: base64 in pieces of ``least`` characters and more but for the last, a header or nothing."""
+    t = re.sub(r"\\[nr]|[\"'`,;\\]", " ", line).strip(" \t\r.()#*>|&-")
+    pieces = [w for w in t.split() if w not in ("+", "//", "*")]
+    if KEY_HEADER.match(t):
+        return True
+    return all(BASE64.fullmatch(w) for w in pieces) and all(len(w) >= least for w in pieces[:-1]) and (least == 0 or not pieces or len(pieces[-1]) >= least or pieces[-1].endswith("="))
+
+
+def _key_end(text: str, at: int) -> tuple[int, int]:
+    """End of the body of a key that begins at ``at``, and of its END mark; without one, the end of the last line of a body."""
+    stop, begin = END_KEY.search(text, at), BEGIN_KEY.search(text, at)
+    if stop and not (begin and begin.start() < stop.start()):
+        body = text[at : stop.start()]
+        long = sum(len(w) for w in BASE64.findall(body.replace("\\n", " ")) if len(w) >= 16)
+        if all(_key_line(x, 0) for x in body.split("\n")) or long >= 0.6 * len(re.sub(r"\s", "", body)):
+            return stop.start(), stop.end()
+    end = at
+    for n, line in enumerate(text[at:].split("\n")):
+        if not _key_line(line, 16):
+            # code may follow on the line of the mark itself, as in one-line JSON
+            m = ESCAPED_BODY.match(line) if n == 0 else None
+            return (end + m.end(), end + m.end()) if m else (max(end - 1, at), max(end - 1, at))
+        end += len(line) + 1
+    return len(text), len(text)
+
+
+def _keys(text: str) -> tuple[list[tuple[int, int, int]], str]:
+    """Private keys: (place of the BEGIN mark, start and end of the body), and the text with marks and bodies of keys as spaces."""
+    if "PRIVATE KEY" not in text:
+        return [], text
+    found, parts, at = [], [], 0
+    while key := BEGIN_KEY.search(text, at):
+        end, rest = _key_end(text, key.end())
+        body = re.sub(r"\\n|\s|[\"'`+,]", "", text[key.end() : end])
+        if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 20 and not PLACEHOLDER.match(body[:60]):
+            found.append((key.start(), key.end(), end))
+        else:
+            rest = key.end()
+        parts += [text[at : key.start()], re.sub(r"[^\r\n]", " ", text[key.start() : rest])]
+        at = rest
+    return found, "".join([*parts, text[at:]])
+
+
 def find_spans(text: str, path: str | None, kind: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """Credentials of one text: (line number from 1, start, end) in characters; a private key gives its whole body."""
+    keys, text = _keys(text)
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -298,21 +346,9 @@ def find_spans(text: str, path: str | None, kind: str | None, automaton: ahocora
         {bisect_right(starts, end) - 1 for end, _ in automaton.iter(low)} | {bisect_right(starts, m.start("v")) - 1 for m in REMARK.finditer(text)}
     )
     config, prose = bool(CONFIG_FILE.search(path)) or not path, kind == "wiki"
-    out: list[tuple[int, int, int]] = []
-    done = -1
+    out = [(bisect_right(starts, begin), a, b) for begin, a, b in keys]
     for n in hits:
-        if n <= done:
-            continue
         line, at = lines[n], starts[n]
-        key = BEGIN_KEY.search(line)
-        if key:
-            stop = END_KEY.search(text, at + key.end())
-            end = stop.start() if stop else len(text)
-            body = re.sub(r"\\n|\s|[\"'`+,]", "", text[at + key.end() : end])
-            if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 20 and not PLACEHOLDER.match(body[:60]):
-                out.append((n + 1, at + key.end(), end))
-                done = bisect_right(starts, end) - 1 if stop else len(lines)
-            continue
         spans = [(at + a, at + b) for a, b in _line_finds(line, config, keeps, prose)]
         more = _continued(lines, n, keeps)
         if more:
