@@ -103,7 +103,7 @@ SETTER = re.compile(r"\bset\w*(?:Password|Token|Secret|ApiKey|Passphrase)\(\s*([
 SAID = re.compile(
     r"(?i)\b(?:passwords?|pw|passphrase|passwort|kennwort|login|log-in|credentials?|parola chiave|parola d'ordine|contraseñas?|clave|mots? de passe|senha|access code|api key|secret|pwd|token)\b|密码|口令|パスワード|пароль"
 )
-USER_SLASH = re.compile(r"^\s*[-*+]\s*`?(?P<user>[A-Za-z][\w.-]*)`?\s*/\s*`?(?P<v>[^\s`/]+?)`?\.?\s*$")
+USER_SLASH = re.compile(r"^\s*[-*+]\s*`?(?P<user>[A-Za-z][\w.-]*)`?\s*/\s*`?(?P<v>[^\s`/]+?)`?\.?\s*$", re.M)
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|\"\"\")")
 REMARK = re.compile(r"^[ \t]*(?:#|//|--|;|/\*|\*|<!--)[^\n:=]{2,80}:[ \t]+`?(?P<v>[^\s`:]{6,80})`?[ \t]*(?:\*/|-->)?\r?$", re.M)
 CONTINUED = re.compile(r"^[\s\"'`)]*(?:\+|\\|\.\.|\.|&|\|\|)?\s*$")
@@ -115,7 +115,8 @@ CONFIG_FILE = re.compile(r"(?i)\.(?:ya?ml|ini|cfg|conf|env|properties|toml|json|
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word in KEYWORDS:
+    # besides, the rules' own words: names that hold credentials, what is said in prose, and calls
+    for word in {*KEYWORDS, *SECRET_WORDS, "key", "pw", "access code", "口令", "mots de passe", "log-in", "signin", "sign_in", "connect"}:
         if word:
             found.add_word(word, True)
     found.make_automaton()
@@ -343,7 +344,7 @@ def find_spans(text: str, path: str | None, kind: str | None, automaton: ahocora
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     lines = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
     hits = range(len(lines)) if keeps else sorted(
-        {bisect_right(starts, end) - 1 for end, _ in automaton.iter(low)} | {bisect_right(starts, m.start("v")) - 1 for m in REMARK.finditer(text)}
+        {bisect_right(starts, end) - 1 for end, _ in automaton.iter(low)} | {bisect_right(starts, m.start("v")) - 1 for rx in (REMARK, USER_SLASH) for m in rx.finditer(text)}
     )
     config, prose = bool(CONFIG_FILE.search(path)) or not path, kind == "wiki"
     out = [(bisect_right(starts, begin), a, b) for begin, a, b in keys]

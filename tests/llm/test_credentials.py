@@ -72,3 +72,14 @@ def test_lines_after_and_beside_a_key():
     line = f'{{"private_key": "{begin}\\n{body}\\n{end}\\n", "client_secret": "NhYt1lCaztrW0wkPO", "other": "{begin}\\n{body[::-1]}\\n{end}\\n"}}'
     spans = C.find_spans(line, "a.json", "code", AUTOMATON)
     assert len(spans) == 3 and not any(x in C.blank(line, spans) for x in (body, "NhYt1lCaztrW0wkPO", body[::-1]))
+
+
+@pytest.mark.parametrize(
+    ("line", "path", "kind"),
+    [
+        ('psw = "q8Zr2LmN5xVt7BwC"', "a.py", "code"), ("The access code is Orchid537?", "w.md", "wiki"), ("口令 Orchid537?", "w.md", "wiki"), ("pw for the box Orchid537?", "w.md", "wiki"),
+        ("connect('svc_app', 'maple_Quartz2018')", "a.py", "code"), ("sign_in('svc_app', 'maple_Quartz2018')", "a.rb", "code"), ("- svc_app / Orchid537?", "w.md", "wiki"),
+    ],
+)
+def test_lines_of_every_rule_are_read(line, path, kind):
+    assert {s[0] for s in C.find_spans("x\n" + line, path, kind, AUTOMATON)} == {2}
