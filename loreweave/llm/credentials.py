@@ -4,7 +4,8 @@ A keyword automaton marks the lines worth reading; issuer formats, named assignm
 headers, addresses, connection strings and prose are then matched on those lines only, and
 every value is validated by its structure (token alphabets, JWT headers, Basic pairs, key
 bodies). Matches are replaced by placeholders of the same length and alphabet, so the
-surrounding code keeps its shape.
+surrounding code keeps its shape: every character but white space, escapes and base64 padding
+gives way to a fixed one of its class and script that the match does not hold itself.
 
 Null or empty content gives no finds and comes back as it was; rows with a null id are
 kept by ``redact`` and left out of ``find``. Texts are read whole, lines of any length.
@@ -16,8 +17,10 @@ import base64
 import binascii
 import json
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -143,13 +146,13 @@ def _mixed(v: str) -> bool:
 
 def credential_value(v: str) -> bool:
     """Whether a value under a telling name is the credential itself, not a placeholder, reference, name, id or number."""
-    if len(v) < 6 or len(v) > 4000 or PLACEHOLDER.match(v) or NOT_VALUE.match(v) or UUID.match(v) or HOST.match(v) or " " in v.strip():
+    if len(v) < 6 or PLACEHOLDER.match(v) or NOT_VALUE.match(v) or UUID.match(v) or HOST.match(v) or " " in v.strip():
         return False
     if ISSUERS.fullmatch(v):
         return True
     digit, letter = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
     if not letter:
-        return False
+        return not digit and len(v) >= 8 and len(set(v)) >= 4 and all(c in "!@#%*?&$^~+=" for c in v)
     if digit:
         return not re.fullmatch(r"[A-Za-z]+[-_/]v?\d{1,2}", v) and not re.fullmatch(r"[a-z_]+\(.*", v)
     special = any(c in "!@#%*?&$^~+=" for c in v)
@@ -252,41 +255,41 @@ def _line_finds(line: str, config: bool, keeps: bool, prose: bool) -> Iterator[t
                     yield w.start(), w.start() + len(v)
 
 
-def _continued(lines: list[str], n: int, keeps: bool) -> tuple[int, list[tuple[int, int, int]]] | None:
-    """A value that begins or goes on beyond the line of its name: first line, then (line, start, end) of each part."""
+def _continued(lines: list[str], n: int, keeps: bool) -> tuple[int, tuple[int, list[tuple[int, int, int]]] | None]:
+    """A value that begins or goes on beyond the line of its name: the line where reading ended, and (first line, (line, start, end) of each part)."""
     line = lines[n]
     m = None
     for m in ASSIGN.finditer(line):
         pass
     if m is None or not secret_name(m["name"]):
-        return None
+        return n, None
     parts: list[tuple[int, int, int]] = []
     if m["quoted"] is not None:
         if not CONTINUED.match(line[m.end() :]) or not m["quoted"]:
-            return None
+            return n, None
         parts.append((n, *m.span("quoted")))
     elif m["bare"] is None:
         if line[m.end() :].strip() not in ("", "(", "|", ">", "|-", ">-", "\\", "["):
-            return None
+            return n, None
     elif m["bare"] not in ("(", "|", ">", "|-", ">-", "\\", "[", "{") or line[m.end() :].strip():
-        return None
+        return n, None
     k = n + 1
-    while k < len(lines) and k <= n + 60:
+    while k < len(lines):
         s = NEXT_STRING.match(lines[k])
         b = NEXT_BARE.match(lines[k]) if not s and (not parts or parts[0][0] != n) and m["quoted"] is None else None
         if s:
             parts.append((k, *s.span("v")))
             if ")" in s["rest"] or ";" in s["rest"] or "," in s["rest"]:
                 break
-        elif b and ":" not in b["v"] and b["v"] not in ("(", "|", ">"):
+        elif b and ":" not in b["v"] and b["v"] not in ("(", "|", ">") and not ((name := ASSIGN.match(b["v"])) and secret_name(name["name"])):
             parts.append((k, *b.span("v")))
         else:
             break
         k += 1
     value = "".join(lines[k][a:b] for k, a, b in parts)
     if len(parts) + (parts[:1] != [] and parts[0][0] != n) < 2 or not credential_value(value):
-        return None
-    return parts[0][0], parts
+        return k, None
+    return k, (parts[0][0], parts)
 
 
 def _key_line(line: str, least: int) -> bool:
@@ -348,10 +351,13 @@ def find_spans(text: str, path: str | None, kind: str | None, automaton: ahocora
     )
     config, prose = bool(CONFIG_FILE.search(path)) or not path, kind == "wiki"
     out = [(bisect_right(starts, begin), a, b) for begin, a, b in keys]
+    upto = 0  # lines below are parts of a value already read; none of them names another
     for n in hits:
         line, at = lines[n], starts[n]
         spans = [(at + a, at + b) for a, b in _line_finds(line, config, keeps, prose)]
-        more = _continued(lines, n, keeps)
+        more = None
+        if n >= upto:
+            upto, more = _continued(lines, n, keeps)
         if more:
             out.append((more[0] + 1, starts[more[1][0][0]] + more[1][0][1], starts[more[1][0][0]] + more[1][0][2]))
             out.extend((0, starts[k] + a, starts[k] + b) for k, a, b in more[1][1:])
@@ -360,18 +366,84 @@ def find_spans(text: str, path: str | None, kind: str | None, automaton: ahocora
     return out
 
 
-SHAPE = str.maketrans(
-    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "x" * 26 + "X" * 26 + "0" * 10
+ESCAPE = re.compile(r"(\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\.?)", re.S)
+KEY_RUN = re.compile(r"[A-Za-z0-9+/]{4,}|[A-Za-z0-9]+")
+# Placeholders by alphabet (lower, upper, digits, signs), the first that the match does not hold is taken.
+ALPHABETS = (
+    (re.compile(r"(?=.*\d)[0-9a-f]{8,}"), ("abcdef", "", "0123456789", "")),
+    (re.compile(r"(?=.*\d)[0-9A-F]{8,}"), ("", "ABCDEF", "0123456789", "")),
+    (re.compile(r"(?=.*[2-7])[A-Z2-7]{8,}=*"), ("", "XYZWVUTSRQPONMLKJIHGFEDCBA", "234567", "")),
+    (re.compile(r"(?=.*[0-9A-Z])[A-Za-z0-9+/]{12,}={0,2}"), ("xyzwvutsrqponmlkjihgfedcba", "XYZWVUTSRQPONMLKJIHGFEDCBA", "0123456789", "xyzwvutsrqponmlkjihgfedcba")),
 )
+ANY = ("xyzwvutsrqponmlkjihgfedcba", "XYZWVUTSRQPONMLKJIHGFEDCBA", "0123456789", "_-.~")
+
+
+@lru_cache(4096)
+def _stand_ins(script: str, category: str) -> str:
+    """The first characters of a script and category beyond ASCII."""
+    found = []
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script:
+            found.append(c)
+            if len(found) == 16:
+                break
+    return "".join(found)
+
+
+def placeholder(value: str, alphabet: str | None = None) -> str:
+    """As many characters of the same alphabet: hex stays hex, base32 base32, base64 base64, other letters stay in their script and case.
+
+    White space, escapes, and the padding of base32 and base64 stay; of all else nothing stays in its place but where a match
+    holds all characters of a class (long keys), whose placeholder then is the first one.
+    """
+    lower, upper, digits, signs = next((x for rx, x in ALPHABETS if rx.fullmatch(value)), ANY) if alphabet is None else ALPHABETS[3][1]
+    padded = signs != ANY[3]
+    held = set(value)
+    pick = lambda some, spare: next((c for c in some if c not in held), some[0]) if some else spare
+    small, sign = pick(lower, "x"), pick(signs, "_")
+    # where a match holds all digits, a letter of its alphabet takes their place
+    by_class = {"l": small, "u": pick(upper, "X"), "d": digits[0] if held.issuperset(digits + lower + upper) else pick(digits + lower + upper, "0")}
+
+    def one(c: str) -> str:
+        if c.isspace() or c == "=" and padded:
+            return c
+        if c.isascii():
+            return by_class["d" if c.isdigit() else "u" if c.isupper() else "l"] if c.isalnum() else sign
+        kind = unicodedata.category(c)
+        if kind[0] not in "LMN":
+            return sign
+        others = _stand_ins(unicodedata.name(c, "").split(" ")[0], kind)
+        return next((x for x in others if x not in held), others[0] if others and others[0] != c else by_class["u" if c.isupper() else "d" if c.isdigit() else "l"])
+
+    return "".join(one(c) for c in value)
+
+
+def _escaped(part: str, change: Callable[[str], str]) -> str:
+    """A text with all but its escapes changed; what an escape stands for becomes an x."""
+    out = []
+    for k, piece in enumerate(ESCAPE.split(part)):
+        if k % 2 == 0:
+            out.append(change(piece))
+        elif piece[1:2] in ("u", "x") and len(piece) > 2:
+            out.append(piece[:2] + "78".rjust(len(piece) - 2, "0"))
+        else:
+            out.append(piece)
+    return "".join(out)
 
 
 def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span replaced by a placeholder of its length and alphabet; signs and line ends stay."""
+    """The text with each span replaced by a placeholder of its length and alphabet; escapes and line ends stay.
+
+    In the body of a private key, which may be a string cut into lines of code, only its letters, digits and base64 runs are replaced.
+    """
     at, out = 0, []
     for _, a, b in sorted(spans, key=lambda s: s[1:]):
         if b > at:
             a = max(a, at)
-            out += [text[at:a], text[a:b].replace("\\n", "\0").translate(SHAPE).replace("\0", "\\n")]
+            key = BEGIN_KEY.search(text, max(0, a - 64), a) is not None and text[a - 5 : a] == "-----"
+            change = (lambda x: KEY_RUN.sub(lambda m: placeholder(m.group(), "base64"), x)) if key else placeholder
+            out += [text[at:a], _escaped(text[a:b], change)]
             at = b
     return "".join([*out, text[at:]])
 
