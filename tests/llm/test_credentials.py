@@ -90,7 +90,7 @@ def test_frames(spark):
     assert sorted(map(tuple, C.find_credentials(df).select("id", "line_no").collect())) == [(1, 1), (4, 2)]
     got = C.redact_credentials(df)
     assert got.count() == 6 and sorted(got.columns) == sorted(df.columns)
-    assert got.where("id = 1").first().content == 'api_key = "x0Xx0XxX0xXx0XxX"'
+    assert got.where("id = 1").first().content == 'api_key = "y0Xy0XyX0yXy0XyX"'
     assert C.find_credentials(df.limit(0)).count() == 0
 
 
