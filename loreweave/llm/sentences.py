@@ -1,13 +1,16 @@
 """Problem 8: sentence units of multilingual Markdown.
 
-Character-property rules find the end marks of every script; abbreviations, initials,
-ordinals, quotations and brackets then suppress the marks that end nothing. Scripts
-without an end mark (Thai, Lao) end a unit at the space its writers set between two
+The standard sentence-break rules over the character properties of all scripts find the end
+marks: terminators (STerm), full stops (ATerm), closing marks (Close), and continuations
+(SContinue) after which nothing ends. Abbreviations of the paragraph's language, initials,
+ordinals, quotations and brackets then suppress the marks that end nothing. A paragraph's
+language follows from its function words, else from the record's ``lang``, else it is unknown.
+Scripts without an end mark (Thai, Lao) end a unit at the space its writers set between two
 letters of the script.
 
 Null, empty and blank texts give no rows. Texts of any length are scanned whole, block
-by block; extra columns of the input are ignored, repeated ids are cut once per row and
-then reduced to distinct units.
+by block; extra columns of the input are ignored, a null or missing ``lang`` is unknown;
+repeated ids are cut once per row and then reduced to distinct units.
 """
 
 from __future__ import annotations
@@ -16,15 +19,32 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import spread
 
-# End marks of the scripts (Unicode Sentence_Terminal, common part).
+
+# Every assigned character with one of the properties lies in the first two planes.
+BREAKING = regex.findall(r"[\p{SB=STerm}\p{SB=ATerm}\p{SB=Close}\p{SB=SContinue}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)])))
+
+
+def _having(value: str) -> str:
+    """All characters with a value of the sentence-break property, as text."""
+    return "".join(c for c in BREAKING if regex.match(rf"\p{{SB={value}}}", c))
+
+
+# An ellipsis stands with the end marks here: whether it ends a unit depends on what follows.
+TERMINATORS = _having("STerm")
+STOPS = _having("ATerm")
+CLOSE = _having("Close")
+CONTINUE = _having("SContinue")
 WIDE_ENDS = "。！？｡．"
-OTHER_ENDS = "।॥؟۔።፧။၊។៕։᠃᠉᱾᱿꓿꘎꤯"
-# An end mark before a small letter, digit or slash stands inside a name, number or address.
-ENDS = re.compile(f"(?:[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}]\\s?(?=[!?！？…])|[.!?…‼⁇⁈⁉{WIDE_ENDS}{OTHER_ENDS}])+(?:(?<![.?!])|(?![a-z0-9_/=&]))")
+OTHER_ENDS = "".join(c for c in TERMINATORS + STOPS if c not in ".!?‼⁇⁈⁉‽" + WIDE_ENDS)
+MARKS = re.escape(TERMINATORS + STOPS) + "…‥"
+# An end mark before a small letter, digit or slash stands inside a name, number or address (SB6, SB7, SB8); marks in a row are one (SB8a).
+ENDS = re.compile(f"(?:[{MARKS}]\\s?(?=[!?！？…])|[{MARKS}])+(?:(?<![.?!])|(?![a-z0-9_/=&]))")
 SPACED_SCRIPT = re.compile(r"(?<=[฀-໿])\s+(?=[฀-໿])")
 PAIR_MARK = re.compile(r"[\"“”„«»「」『』《》〈〉()（）\[\]［］{}【】]")
 # Opening marks with their closing marks.
@@ -34,34 +54,52 @@ PAIRS = {
 }
 BRACKETS = set("(（[［{【")
 
-# Abbreviations that never end a sentence, whatever follows.
-NEVER = frozenset(
-    # English
-    "mr mrs ms dr prof eng st rev gen col capt lt sgt hon gov sen rep vs e.g i.e cf viz approx esp resp incl dept est a.k.a "
-    # Italian
-    "sig sigg dott avv ing geom rag arch on cfr ca es p.es ad.es soc v "
-    # German
-    "z.b d.h u.a bzw vgl hr hrn fr frl dipl dipl.-ing ggf evtl sog inkl zzgl geb "
-    # French
-    "mm mme mlle me pr ex env "
-    # Spanish
-    "sra srta dra lic ud uds ej aprox ee véase "
-    # Hindi and Arabic titles
-    "डॉ श्री प्रो पं د أ م".split()
-)
+# Abbreviations, by language, that never end a sentence, whatever follows.
+SUPPRESSED = {
+    "en": "mr mrs ms messrs dr prof eng st rev gen col capt lt sgt hon gov sen rep vs e.g i.e viz approx esp resp incl dept est a.k.a cf",
+    "it": "sig sigg sig.ra dott dott.ssa avv ing geom rag arch on prof cfr ca es p.es ad.es soc v dr",
+    "de": "z.b d.h u.a bzw vgl hr hrn fr frl dipl dipl.-ing ggf evtl sog inkl zzgl geb ca dr prof resp approx v",
+    "fr": "m mm mme mlle me dr pr prof ex env cf resp approx",
+    "es": "sra srta dr dra prof lic ing ud uds ej aprox ee véase cf av gral",
+    "hi": "डॉ श्री प्रो पं",
+    "ar": "د أ م",
+}
+SUPPRESSED = {lang: frozenset(words.split()) for lang, words in SUPPRESSED.items()}
+# Those that are words, or mark nothing, in another language, and are suppressed in their own only.
+OWN_ONLY = frozenset("on est env es v rep sen gen col me ex pr arch eng rev hon fr st m ing av lic gov incl dept esp capt hr geb rag ud".split())
+# Titles that stand before a name, so with a capital; in small letters they are words.
+TITLES = frozenset("gen col capt lt sgt hon gov sen rep rev eng st prof on arch".split())
+ANYWHERE = frozenset().union(*SUPPRESSED.values()) - OWN_ONLY
+# Words by which a paragraph shows its language.
+FUNCTION_WORDS = {
+    "en": "the is are was were and of to in it that this with for from not they he she we you be has have had then after before when which who at by an as but or if its run set",
+    "it": "il lo la gli le un una di del della dei delle che non è sono per con da dal dalla nel nella si ha hanno al alla ai come anche più questo questa ma se poi e i o in ogni viene",
+    "de": "der die das und nicht wird ist sind ein eine einer im in den dem des mit von zu auf für hat noch seit auch es er sie nach bei aus wie oder wenn wurde werden schreibt endet fehlen als am",
+    "fr": "le la les un une des du de et est sont dans que qui ne pas pour par avec sur il elle au aux ce cette a ont plus comme ou mais si puis son sa ensuite en se",
+    "es": "el la los las un una de del y es son que no en por para con se al lo su sus como más pero si ya este esta ha han muy cuando o a fue sin",
+}
+FUNCTION_WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+LATIN_WORD = re.compile(r"[^\W\d_]+")
+# Spellings of the languages that the marks depend on.
+LANGS = {
+    "en": "en eng english", "it": "it ita italian italiano", "de": "de deu ger german deutsch", "fr": "fr fra fre french français francais", "es": "es spa spanish español espanol castellano",
+    "hi": "hi hin hindi", "ar": "ar ara arabic",
+}
+LANGS = {name: lang for lang, names in LANGS.items() for name in names.split()}
 # Abbreviations that stand before a number; before anything else they may end a sentence.
 BEFORE_NUMBER = frozenset(
     "no nos nr n num núm p pp pag pagg pág págs art artt fig figs sec sect cap capp chap ch vol abs kap s max min avg ver eq tab abb bd ref par".split()
 )
 # Abbreviations that end a sentence when a new one follows.
 MAY_END = frozenset("etc ecc usw inc ltd co corp jr sr a.m p.m u.s u.k u.s.a s.p.a s.r.l s.a al uu bros gmbh".split())
+# Longer runs are neither abbreviation nor word nor file name (no file system has longer names).
+LONGEST = 255
 
 FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|$)")
 BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦][ \t]+|(\d{1,9})[.)][ \t]+)")
 RULE = re.compile(r"[ \t]*(?:-[ \t]*){3,}$|[ \t]*(?:\*[ \t]*){3,}$|[ \t]*(?:_[ \t]*){3,}$|[ \t]*=+[ \t]*$")
 QUOTE_PREFIX = re.compile(r"[ \t]{0,3}>[ \t]?")
-GERMAN = re.compile(r"\b(?:der|die|das|und|nicht|wird|hat|noch|ist|sind|seit|schreibt|endet|fehlen)\b")
 FILE_NAME = re.compile(r"[\w-]+(?:[./\\][\w-]+)+|\w+_\w+")
 WORD_BEFORE = re.compile(r"[^\s(（\[«„“\"'’]*$")
 INITIAL = re.compile(r"[^\W\d_]$")
@@ -162,11 +200,38 @@ def _starts_sentence(text: str, at: int) -> bool | None:
     return None if ch.isalpha() else ch in "-–—.`*_#@$'‘"
 
 
-def _full_stop_ends(text: str, unit: int, at: int, nxt: int, german: list[bool], block: tuple[int, int]) -> bool:
-    word = WORD_BEFORE.search(text, max(unit, at - 32), at).group().strip(".").lower()
-    raw = text[at - len(word) : at] if word else ""
+def language_of(text: str, start: int, end: int, said: str | None) -> str | None:
+    """The language of a paragraph: by its function words, ties and none by what the record says (null where that tells nothing)."""
+    counts = dict.fromkeys(FUNCTION_WORDS, 0)
+    for m in LATIN_WORD.finditer(text, start, end):
+        word = m.group().lower()
+        for lang, words in FUNCTION_WORDS.items():
+            if word in words:
+                counts[lang] += 1
+    most = max(counts.values())
+    best = [lang for lang, n in counts.items() if n == most]
+    return best[0] if most and len(best) == 1 else said if not most or said in best else best[0]
+
+
+def _word_before(text: str, unit: int, at: int) -> str:
+    """What stands before ``at`` without white space; nothing where it is longer than a name can be."""
+    word = WORD_BEFORE.search(text, max(unit, at - LONGEST - 1), at).group()
+    return word if len(word) <= LONGEST else ""
+
+
+def _abbreviated(word: str, raw: str, lang: str | None) -> bool:
+    if word not in ANYWHERE and word not in SUPPRESSED.get(lang, ()):
+        return False
+    return word not in TITLES or raw[:1].isupper()
+
+
+def _full_stop_ends(text: str, unit: int, at: int, nxt: int, lang: list[str | None], block: tuple[int, int]) -> bool:
+    raw = _word_before(text, unit, at).strip(".")
+    word = raw.lower()
     follows = text[nxt]
-    if word in NEVER:
+    if len(lang) == 1:
+        lang.append(language_of(text, *block, lang[0]))
+    if _abbreviated(word, raw, lang[1]):
         return False
     if word in BEFORE_NUMBER and (follows.isdigit() or follows == "."):
         return False
@@ -178,22 +243,18 @@ def _full_stop_ends(text: str, unit: int, at: int, nxt: int, german: list[bool],
         return not (raw.isupper() or raw.islower() or not raw.isascii())
     if re.fullmatch(r"(?:[a-z]\.)+[a-z]", word):
         return False
-    if word.isdigit() and len(word) <= 2 and follows.isalpha():
-        if not german:
-            german.append(len(GERMAN.findall(text, *block)) >= 1)
-        return not german[0]
-    return True
+    return not (word.isdigit() and len(word) <= 2 and follows.isalpha() and lang[1] == "de")
 
 
 def _glued(text: str, unit: int, at: int, nxt: int) -> bool:
     """Whether a new sentence follows an end mark without the space between: a word or a file name before, a capitalized word after."""
-    word = WORD_BEFORE.search(text, max(unit, at - 32), at).group()
+    word = _word_before(text, unit, at)
     plain = LETTERS.match(word) is not None or re.fullmatch(r"[\w/-]+(?:\.[\w-]+)*\.[a-z]{1,4}", word) is not None
     return len(word) > 1 and plain and GLUED.match(text, nxt) is not None
 
 
-def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    unit, german, block = start, [], (start, end)
+def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[int, int]]:
+    unit, lang, block = start, [said], (start, end)
     pairs = _pairs(text, start, end)
     events = [(m.start(), m.end(), None) for m in ENDS.finditer(text, start, end)]
     if pairs:
@@ -235,7 +296,7 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             unit = nxt
             continue
         gap, follows = nxt > b, text[nxt]
-        if follows in ",;:，、；：)）]］}】»”」』》〉":
+        if follows in NEVER_AFTER:
             continue
         mark = text[a:b].rstrip("".join(PAIR_CLOSERS) + "   ")
         if pair:
@@ -260,7 +321,7 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
                 ok = True
             elif mark == ".":
-                ok = (gap or text[a - 1].isalpha() and not text[a - 1].isascii() and not _wide(follows)) and _full_stop_ends(text, unit, a, nxt, german, block)
+                ok = (gap or text[a - 1].isalpha() and not text[a - 1].isascii() and not _wide(follows)) and _full_stop_ends(text, unit, a, nxt, lang, block)
             else:
                 ok = gap or _wide(follows)
         elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
@@ -270,7 +331,7 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         elif not opens:
             ok = False
         elif mark == ".":
-            ok = _full_stop_ends(text, unit, a, nxt, german, block)
+            ok = _full_stop_ends(text, unit, a, nxt, lang, block)
         else:
             ok = True
         if ok:
@@ -282,12 +343,14 @@ def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
 
 GLUED = re.compile(r"[\"«„“¿¡(]?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]*[ ,\n]|[\"«„“¿¡]\w")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
-PAIR_CLOSERS = frozenset(")）]］}】»”」』》〉\"'’")
-AFTER_MARK = "".join(PAIR_CLOSERS) + "   "
+# Closing marks and quotes; » is one only by its place, as are dashes no continuation: both may open what follows.
+PAIR_CLOSERS = frozenset(c for c in CLOSE if regex.match(r"[\p{Pe}\p{Pf}]", c)) | frozenset("\"'")
+NEVER_AFTER = frozenset(c for c in CONTINUE if not regex.match(r"\p{Pd}", c)) | (PAIR_CLOSERS - frozenset("\"'’"))
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Offsets of the sentence units of one text, end exclusive."""
+def sentence_spans(text: str, lang: str | None = None) -> list[tuple[int, int]]:
+    """Offsets of the sentence units of one text, end exclusive; ``lang`` as the record spells it."""
+    said = LANGS.get(re.split(r"[-_.@ ]", lang.strip().lower())[0]) if lang else None
     out = []
     for start, end in _blocks(text):
         heading = start < 0
@@ -302,7 +365,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         if heading:
             out.append((start, end))
         else:
-            for s, e in _cut(text, start, end):
+            for s, e in _cut(text, start, end, said):
                 while e > s and text[e - 1].isspace():
                     e -= 1
                 if e > s:
@@ -310,7 +373,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_text: bool = True) -> DataFrame:
     """One row per sentence unit: id, ``sentence_no`` from 1, ``start_pos``, ``end_pos`` and, if asked, the sentence."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, sentence_no int, start_pos int, end_pos int" + ", sentence string" * with_text
@@ -318,10 +381,10 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, nos, starts, ends, said = [], [], [], [], []
-            for key, text in zip(pdf[id_col], pdf[text_col]):
+            for key, text, lang in zip(pdf[id_col], pdf[text_col], pdf["_lang"]):
                 if not text:
                     continue
-                for no, (s, e) in enumerate(sentence_spans(text), 1):
+                for no, (s, e) in enumerate(sentence_spans(text, lang), 1):
                     ids.append(key)
                     nos.append(no)
                     starts.append(s)
@@ -332,5 +395,6 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if ids:
                 yield pd.DataFrame(cols | ({"sentence": said} if with_text else {}))
 
-    slim = docs.select(id_col, text_col).where(f"{text_col} is not null and {id_col} is not null")
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    slim = docs.select(id_col, text_col, lang.cast("string").alias("_lang")).where(f"{text_col} is not null and {id_col} is not null")
     return spread(slim, id_col).mapInPandas(cut, schema)

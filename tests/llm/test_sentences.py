@@ -32,6 +32,18 @@ def test_units(text, units):
     assert [crlf[a:b].replace("\r\n", "\n") for a, b in sentence_spans(crlf)] == units
 
 
+@pytest.mark.parametrize(
+    ("text", "lang", "units"),
+    [
+        ("The light is on. Turn it off.", "en", 2), ("That is what it depends on. The rest follows.", "en", 2), ("Set the env. Then run it.", None, 2), ("We rely on the rep. They agreed.", "it", 2), ("Il est. Ensuite il part.", "fr", 2),
+        ("L'On. Rossi parla.", "it", 1), ("L'On. Rossi parla.", "Italiano", 1), ("Rep. Roe and Sen. Doe spoke. They left.", "en", 2), ("La voie est ouverte par le Dr. Roe. Elle part.", "fr", 2), ("Dr. Roe prüft das am 3. Mai. Es gilt.", None, 2), ("Seen 3. May.", "en", 2),
+        ("ܐ܀ ܒ", None, 2), ("ꦲ꧉ ꦲ꧉", None, 2), ("ꯀ꯫ ꯀ", None, 2), ("ꨀ꩝ ꨀ", None, 2), ("Really‽ Yes﹒ No", "en", 3), ("Ընդ։ Այո", None, 2), ("X" * 300 + ". Then.", "en", 2), ("See " + "a" * 300 + ".Then it", "en", 1),
+    ],
+)
+def test_language_and_properties(text, lang, units):
+    assert len(sentence_spans(text, lang)) == units
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_any_text_gives_ordered_units(seed):
     rng = random.Random(seed)
@@ -49,5 +61,7 @@ def test_long_text_in_linear_time():
 
 def test_frames(spark):
     df = spark.createDataFrame([(1, "One. Two.", 5), (1, "One. Two.", 5), (2, None, 5), (None, "x", 5), (3, "", 5)], "doc_id bigint, text string, start_pos int")
+    titled = spark.createDataFrame([(1, "L'On. Rossi.", "it"), (2, "L'On. Rossi.", "en"), (3, "L'On. Rossi.", None)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r["count"] for r in split_sentences(titled).groupBy("doc_id").count().collect()} == {1: 1, 2: 2, 3: 2}
     assert sorted(set(map(tuple, split_sentences(df).collect()))) == [(1, 1, 0, 4, "One."), (1, 2, 5, 9, "Two.")]
     assert split_sentences(df.limit(0)).count() == 0
