@@ -16,10 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Make sure there is a checkpoint folder: the one the session names, a temporary one only where none is named."""
+    """Make sure there is a checkpoint folder: the one the session names; a temporary one only in a local session, as in tests.
+
+    On a cluster without one this raises: a folder of one machine would not be there for the others.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
