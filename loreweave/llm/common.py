@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import checkpoints, first_by, range_blocks, table  # noqa: F401
+from ..session import running_sum as inclusive_sum
 
 
 def task_count(spark: SparkSession) -> int:
@@ -28,22 +27,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the first by ``order``. Pre-aggregates before the shuffle, so a hot key is no hot task."""
-    rest = [c for c in df.columns if c not in keys]
-    packed = df.select(*keys, F.struct(*order).alias("_o"), F.struct(*rest).alias("_r"))
-    best = packed.groupBy(*keys).agg(F.min_by("_r", "_o").alias("_r"))
-    return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
-
-
-def checkpoints(spark: SparkSession) -> None:
-    """Make sure there is a checkpoint folder: the one the session names; where it names none, as in tests, one of its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+    """One row per key: the first by ``order``."""
+    return first_by(df, keys, *order)
 
 
 def blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
@@ -59,24 +44,9 @@ def blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -
 
 def fixed_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
     """``blocks`` written to the checkpoint folder, so that all readers see the same cuts."""
-    checkpoints(df.sparkSession)
-    return blocks(df, order, n).checkpoint()
-
+    return range_blocks(df, order, n)
 
-def running_sum(df: DataFrame, part: str, order: Sequence[str], value: str, out: str, n: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``value`` by ``order`` within ``part``, without one task per ``part``.
 
-    Range blocks hold bounded slices of a hot ``part``; a window inside (part, block) gives local
-    sums, and the offsets come from one small row per (part, block).
-    """
-    placed = fixed_blocks(df, [F.col(part), *[F.col(c) for c in order]], n)
-    inside = Window.partitionBy(part, "_block").orderBy(*order)
-    local = placed.withColumn("_upto", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = local.groupBy(part, "_block").agg(F.max("_upto").alias("_sum"))
-    before = Window.partitionBy(part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(part, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    return (
-        local.join(offsets, [part, "_block"])
-        .withColumn(out, F.col("_off") + F.col("_upto") - F.col(value))
-        .drop("_off", "_upto", "_block")
-    )
+def running_sum(df: DataFrame, part: str, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exclusive running sum of ``value`` by ``order`` within ``part``, without one task per ``part``."""
+    return inclusive_sum(df, part, order, value, out).withColumn(out, F.col(out) - F.col(value))

@@ -35,7 +35,7 @@ def budgets(sources: DataFrame, targets: DataFrame, total_tokens: int | None = N
         reach = F.min(F.when(F.col("scaled") > 0, F.col("most") / F.col("scaled"))).over(every)
         return b.withColumn("budget", F.floor(F.least(F.coalesce(reach, F.lit(0.0)) * F.col("scaled") + 1e-6, F.col("most"))).cast("bigint"))
     b = b.withColumn("got", F.lit(0.0))
-    for _ in range(8):  # each round fills at least one capped source or ends
+    for _ in range(t.count()):  # a row per source; each round fills at least one capped source or ends
         lack = F.lit(float(total_tokens)) - F.sum("got").over(every)
         open_share = F.when(F.col("got") < F.col("most"), F.col("scaled")).otherwise(0.0)
         b = b.withColumn("_l", lack).withColumn("_o", open_share).withColumn("_s", F.sum("_o").over(every))

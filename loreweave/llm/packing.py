@@ -5,6 +5,9 @@ range blocks of that order, and packed with their neighbours: a window of the cu
 time, its largest items first, each into the fullest open pack that still takes it. A text
 is cut only if it alone exceeds the capacity.
 
+Packs that a block leaves with room are opened again: their items are packed once more in
+fewer, larger blocks of the curve, level by level, until one block is left.
+
 Null texts and texts without tokens are in no pack; repeated rows (same id) count once.
 Each item is in exactly one pack of every capacity.
 """
@@ -13,20 +16,23 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import task_count
 from .tokens import token_sizes, tokenizer_path
 
-#: Items of the curve that are packed together, and packs kept open from window to window.
-WINDOW, OPEN = 4096, 4096
-#: Items a range block should hold, so that what its last packs leave over is little against the whole.
-BLOCK_ITEMS = 50_000
+#: Items of the curve that are packed together, and packs kept open from window to window: a small part of a block.
+WINDOW, OPEN = 1024, 256
+#: Items a range block holds at most, blocks whose rests are packed together, and the fill from which a pack is no rest.
+BLOCK_ITEMS, MERGED, FULL = 50_000, 8, 0.995
 
 COLUMNS = ["pack_name", "capacity_tokens", "pack_id", "item_no", "doc_id", "part_no", "start_pos", "end_pos", "n_tokens"]
 SCHEMA = "pack_name string, capacity_tokens int, pack_id string, item_no int, doc_id bigint, part_no int, start_pos int, end_pos int, n_tokens int"
+INNER = ["doc_id", "part_no", "start_pos", "end_pos", "n_tokens", "curve"]
 
 
 class _Packer:
@@ -64,14 +70,15 @@ class _Packer:
         out = []
         for pack in packs:
             name = f"{self.name}-{pack[0][0]}-{pack[0][1]}"
-            out.extend((self.name, self.capacity, name, no, *item) for no, item in enumerate(pack, 1))
-        return pd.DataFrame(out, columns=COLUMNS)
+            loose = sum(item[4] for item in pack) < FULL * self.capacity
+            out.extend((self.name, self.capacity, name, no, *item, loose) for no, item in enumerate(pack, 1))
+        return pd.DataFrame(out, columns=[*COLUMNS[:4], *INNER, "loose"])
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     packer, waiting = None, []
     for pdf in batches:
-        for name, capacity, *item in pdf[["pack_name", "capacity_tokens", "doc_id", "part_no", "start_pos", "end_pos", "n_tokens"]].itertuples(index=False, name=None):
+        for name, capacity, *item in pdf[["pack_name", "capacity_tokens", *INNER]].itertuples(index=False, name=None):
             if packer is None or (packer.name, packer.capacity) != (name, capacity):
                 if packer is not None:
                     yield packer.rows(packer.window(waiting))
@@ -86,7 +93,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield packer.rows(packer.rest())
 
 
-def pack_documents(docs: DataFrame, packs: DataFrame, tokenizer: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def pack_documents(docs: DataFrame, packs: DataFrame, tokenizer: str | None = None, block_items: int = BLOCK_ITEMS, blocks: int | None = None) -> DataFrame:
     """Every item of every capacity with its pack. ``packs`` is the small table of capacities (a row each)."""
     sizes = [(r["pack_name"], int(r["capacity_tokens"])) for r in packs.select("pack_name", "capacity_tokens").distinct().orderBy("pack_name").toLocalIterator() if r["capacity_tokens"]]
     if not sizes:
@@ -102,10 +109,18 @@ def pack_documents(docs: DataFrame, packs: DataFrame, tokenizer: str | None = No
         "pack_name", "capacity_tokens", "curve", "doc_id",
         F.explode(F.when(F.col("n_tokens") > F.col("capacity_tokens"), F.filter("parts", lambda p: p["capacity"] == F.col("capacity_tokens"))).otherwise(whole)).alias("p"),
     ).select("pack_name", "capacity_tokens", "curve", "doc_id", "p.part_no", "p.start_pos", "p.end_pos", "p.n_tokens")
-    n = max(1, -(-measured.count() * len(sizes) // block_items))
     order = ["pack_name", "curve", "doc_id", "part_no"]
-    placed = items.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_pack, SCHEMA)
-    return placed
+    schema = f"{SCHEMA}, curve bigint, loose boolean"
+    n = max(blocks or task_count(docs.sparkSession), -(-measured.count() * len(sizes) // block_items))
+    rest, done = items, []
+    while True:
+        placed = rest.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_pack, schema)
+        if n == 1:
+            break
+        placed = placed.checkpoint()  # read twice: packs that are full, and the rests
+        done.append(placed.where("not loose"))
+        rest, n = placed.where("loose"), -(-n // MERGED)
+    return reduce(DataFrame.unionByName, [*done, placed]).select(*COLUMNS)
 
 
 def pack_report(packed: DataFrame) -> DataFrame:
