@@ -1,11 +1,15 @@
 """Problem 4: conversations from message rows.
 
-The rows are an event log: rows of the same session, file and line are versions of one event
-and fold to the last one received; system rows, tool traffic and command markup leave no
-turn. What is left is ordered by instant and line, and whole sessions are validated.
+The rows are an event log: rows of the same session, file and line are versions of one event.
+The first creates it, a later one edits it or, sent again unchanged, is a retry, and one without
+words (null, blank, "(no content)") deletes its turn; the version received last stands. System
+rows, tool traffic and command markup leave no turn. What is left is ordered by instant and
+line, and whole sessions are validated.
 
-A hot session is never one task: its rows are cut into range blocks along the order of the
-conversation, each block is summed up, and only the few sums of a session meet.
+Each row is read where it lies: only what its words come to (speaker, instant, turn or none,
+damage) is folded and ordered, and the texts of kept turns join at the end. A hot session is
+never one task: its turns are cut into range blocks along the order of the conversation, each
+block is summed up, and only the few sums of a session meet.
 
 Null session ids are left out. Null or unreadable times take the instant of the line before
 in the same file, where there is one; null roles follow the event type.
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, fixed_blocks
+from .common import checkpoints, fixed_blocks
 
 # Spellings of the two speakers.
 USER_ROLES = ("user", "human", "customer", "utente")
@@ -34,19 +38,11 @@ def instant(column: Column) -> Column:
     return F.when(s.rlike(r"^\d{9,17}$"), epoch).otherwise(F.unix_micros(F.try_to_timestamp(F.regexp_replace(s, r"^(\d{4}-\d\d-\d\d) ", "$1T"))))
 
 
-def events(transcript: DataFrame) -> DataFrame:
-    """One row per session, file and line: the version received last."""
-    t = transcript.where("session_id is not null").select(
+def read_rows(transcript: DataFrame) -> DataFrame:
+    """Every row with the words of its speaker (``text``), whether they are a turn, and whether its array of blocks is damaged."""
+    rows = transcript.where("session_id is not null").select(
         "row_id", "session_id", "transcript_path", "line_no", "event_type", "event_time", F.col("message.role").alias("role"), F.col("message.content").alias("content"), "received_at"
     )
-    rest = ["row_id", "event_type", "event_time", "role", "content"]
-    order = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), F.col("row_id").alias("i"))
-    packed = t.groupBy("session_id", "transcript_path", "line_no").agg(F.max_by(F.struct(*rest), order).alias("e"))
-    return packed.select("session_id", "transcript_path", "line_no", *[F.col("e")[c].alias(c) for c in rest])
-
-
-def turns(folded: DataFrame) -> DataFrame:
-    """Messages with the words of a speaker, and rows whose array of blocks is damaged (``damaged``)."""
     content = F.col("content")
     is_array = content.rlike(r"^\s*\[\s*(\{|\]|$)")
     valid = F.try_parse_json(content).isNotNull()
@@ -60,7 +56,7 @@ def turns(folded: DataFrame) -> DataFrame:
         F.when(F.lower(F.trim("event_type")).isin("user", "assistant"), F.lower(F.trim("event_type"))),
     )
     return (
-        folded.withColumn("damaged", F.coalesce(is_array & ~valid, F.lit(False)))
+        rows.withColumn("damaged", F.coalesce(is_array & ~valid, F.lit(False)))
         .withColumn("text", bare)
         .withColumn("speaker", F.when(F.coalesce(F.lower(F.trim("event_type")) == "system", F.lit(False)) & F.col("role").isNull(), "system").otherwise(speaker))
         .withColumn("at", instant(F.col("event_time")))
@@ -72,11 +68,21 @@ def turns(folded: DataFrame) -> DataFrame:
     )
 
 
-def _placed(spoken: DataFrame, fixed: bool = False) -> DataFrame:
-    """Turns in range blocks along (session, instant, line), each with the speaker after it in its block."""
-    turns_ = spoken.where("is_turn").select("session_id", "transcript_path", "line_no", "speaker", "text", "at")
-    order = [F.col(c) for c in ("session_id", "at", "line_no", "transcript_path")]
-    placed = fixed_blocks(turns_, order) if fixed else blocks(turns_.drop("text"), order)
+LINE = ["session_id", "transcript_path", "line_no"]
+
+
+def events(transcript: DataFrame) -> DataFrame:
+    """One row per session, file and line, without its text: the version received last, written once for all readers."""
+    order = F.struct(F.coalesce("received_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), F.col("row_id").alias("i"))
+    rest = ["row_id", "speaker", "at", "is_turn", "damaged"]
+    folded = read_rows(transcript).groupBy(*LINE).agg(F.max_by(F.struct(*rest), order).alias("e"))
+    checkpoints(transcript.sparkSession)
+    return folded.select(*LINE, *[F.col("e")[c].alias(c) for c in rest]).checkpoint()
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Turns in range blocks along (session, instant, line), each with its place and the speaker after it in its block."""
+    placed = fixed_blocks(rows.where("is_turn").select(*LINE, "row_id", "speaker", "at"), ["session_id", "at", "line_no", "transcript_path"])
     inside = Window.partitionBy("session_id", "_block").orderBy("at", "line_no", "transcript_path")
     return placed.withColumn("pos", F.row_number().over(inside)).withColumn("next", F.lead("speaker").over(inside))
 
@@ -107,16 +113,13 @@ def fill_instants(rows: DataFrame) -> DataFrame:
     return rows.join(filled, [*file, "line_no"], "left").withColumn("at", F.coalesce("at", "filled")).drop("filled")
 
 
-def session_states(transcript: DataFrame) -> DataFrame:
-    """Every session with its number of turns and the reasons to drop it (an empty array: keep it)."""
-    rows = turns(events(transcript))
+def _states(rows: DataFrame, placed: DataFrame) -> DataFrame:
     whole = rows.groupBy("session_id", "transcript_path").agg(
         F.max("line_no").alias("last"), F.count("line_no").alias("lines"), F.min("line_no").alias("first"), F.bool_or("damaged").alias("damaged")
     )
     files = whole.groupBy("session_id").agg(
         F.bool_or("damaged").alias("damaged"), F.bool_or(F.expr("last is null or lines < last or first < 1")).alias("gap")
     )
-    placed = _placed(fill_instants(rows))
     sums = placed.groupBy("session_id", "_block").agg(
         F.count("*").alias("n"),
         F.min_by("speaker", "pos").alias("first"),
@@ -142,6 +145,12 @@ def session_states(transcript: DataFrame) -> DataFrame:
     return files.join(talk, "session_id", "left").select("session_id", F.coalesce("turns", F.lit(0)).alias("turns"), reasons.alias("reasons"))
 
 
+def session_states(transcript: DataFrame) -> DataFrame:
+    """Every session with its number of turns and the reasons to drop it (an empty array: keep it)."""
+    rows = events(transcript)
+    return _states(rows, _placed(fill_instants(rows)))
+
+
 def dropped_sessions(transcript: DataFrame) -> DataFrame:
     return session_states(transcript).where(F.size("reasons") > 0)
 
@@ -151,13 +160,17 @@ def conversations(transcript: DataFrame) -> DataFrame:
 
     One row per turn, not one array per session, so that a session of any size can be written.
     """
-    rows = turns(events(transcript))
-    placed = _placed(fill_instants(rows), fixed=True)
+    rows = events(transcript)
+    placed = _placed(fill_instants(rows))
     sums = placed.groupBy("session_id", "_block").agg(F.max("pos").alias("n"))
     before = Window.partitionBy("session_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("session_id", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    kept = session_states(transcript).where(F.size("reasons") == 0).select("session_id")
-    return (
-        placed.join(offsets, ["session_id", "_block"]).join(kept, "session_id", "left_semi")
-        .select("session_id", (F.col("off") + F.col("pos")).alias("turn_no"), F.col("speaker").alias("role"), F.col("text").alias("content"), "at")
-    )
+    kept = _states(rows, placed).where(F.size("reasons") == 0).select("session_id")
+    turns = placed.join(offsets, ["session_id", "_block"]).join(kept, "session_id", "left_semi").withColumn("turn_no", F.col("off") + F.col("pos"))
+    # a row id is one row's, but repeated copies of that row may be there: they hold the same words
+    words = read_rows(transcript).where("is_turn").select(*[F.col(c).alias(f"_{c}") for c in ("row_id", *LINE)], "text")
+    same = F.lit(True)
+    for c in ("row_id", *LINE):
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    said = turns.join(words, same).select("session_id", "turn_no", F.col("speaker").alias("role"), F.col("text").alias("content"), "at")
+    return said.dropDuplicates(["session_id", "turn_no"])
