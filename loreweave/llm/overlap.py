@@ -1,11 +1,13 @@
 """Problem 2: evaluation queries that also stand, exactly or nearly, in the training split.
 
-An exact prefix-filter bipartite join. A shingle is one canonical word with its deletions of
-one letter, or of two from seven letters on, so that words the verifier takes for one share a
-shingle. Training records post all their shingles inside their group (project and set of
-judged files); each evaluation record is looked up under its rarest required word only, by the
-actual length of the posting lists. Candidates pass a length filter on required words and are
-then verified word by word.
+An exact prefix-filter bipartite join. First the distinct words of the table meet once, over
+shingles (a word with its deletions of one letter, or of two from seven letters on): which words
+are slips of each other is a property of the vocabulary, not of records. Words are then ordered
+by rarity, a word's count with those of its slips. Every required word of a record must be
+matched, so a held-out record is looked up under its rarest required word and the slips of that
+word, inside its group (project and set of judged files). A training record posts its words by
+position: those that have slips, and of the others only its first, since all before it must be
+matched by slips. Candidates pass a length filter on required words and are verified word by word.
 
 Records that are equal after canonical spelling form one class; classes are joined, then
 expanded to the record pairs the result asks for. Records with a null or wordless query, a
@@ -24,11 +26,12 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from .common import latest
+from ..session import sized_broadcast
+from .common import checkpoints, latest
 from .tokens import tokenizer_path
 
 # Polite and filling words that may stand around a question.
@@ -37,8 +40,6 @@ FILLERS = frozenset(
     "me just actually by the way a an i wonder wondering per favore ciao grazie salve scusa bitte hallo danke por favor hola gracias s il vous plait bonjour merci again now so ok okay "
     "domanda veloce curious know need want to let us".split()
 )
-# Every word of a held-out record but spare ones must be matched: probing any one of them finds all its partners.
-PREFIX = 1
 # Letters from which on a word is posted in segments instead of with its deletions.
 LONG = 20
 # How far the counts of two words may be apart: of words of the public vocabulary, and where one is not in it; a word
@@ -124,18 +125,22 @@ def _slip(a: str, b: str, known: dict[str, int]) -> bool:
     return edits(a, b, allowed) <= allowed and not two_words(a, b, known)
 
 
-def same_question(a: list[str], b: list[str], known: dict[str, int]) -> bool:
-    """Whether two canonical word lists are the same words but for slips and filling words."""
+def same_question(a: list[str], b: list[str], known: dict[str, int], near: dict[str, set[str]] | None = None) -> bool:
+    """Whether two canonical word lists are the same words but for slips and filling words.
+
+    Slips of the words of ``b`` are those that ``near`` lists, where it is given, else they follow from the counts in ``known``.
+    """
+    slip = (lambda w, v: w in near.get(v, ())) if near is not None else (lambda w, v: _slip(w, v, known))
     left, right = list(a), list(b)
     for w in a:
         if w in right:
             left.remove(w)
             right.remove(w)
     for w in list(left):
-        near = min((v for v in right if _slip(w, v, known)), key=lambda v: edits(w, v, 2), default=None)
-        if near is not None:
+        match = min((v for v in right if slip(w, v)), key=lambda v: edits(w, v, 2), default=None)
+        if match is not None:
             left.remove(w)
-            right.remove(near)
+            right.remove(match)
     rest = left + right
     content = [w for w in a if w not in FILLER_STEMS]
     if all(spare(w) for w in rest):
@@ -160,30 +165,24 @@ def _split(column: Column) -> Column:
 
 
 def records(dataset: DataFrame) -> DataFrame:
-    """Distinct records with plain split, source, group (project and judged files) and canonical words."""
+    """Distinct records with plain split, source, group (project and judged files) and canonical words, written once for all readers."""
     path = lambda r: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(r["path"], r"\\", "/")), "/(\\./)*/*", "/"), r"^(\./)+", "")
     files = F.array_sort(F.array_distinct(F.filter(F.transform("relevant", path), lambda p: p.isNotNull() & (p != ""))))
-    once = latest(
-        dataset.where("id is not null").select("id", "project", "query", "split", "source", "relevant", "added_at"),
-        ["id"],
-        [F.coalesce(-F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)).alias("t"), F.xxhash64("query", "split").alias("h")],
-    )
 
     @F.pandas_udf("array<string>")
     def words(queries: pd.Series) -> pd.Series:
         return queries.map(canonical)
 
-    return (
-        once.withColumn("side", _split(F.col("split")))
-        .where("side is not null")
-        .select(
-            "id", "side", F.lower(F.trim("source")).alias("source"),
-            F.sha2(F.concat_ws("\u0000", F.coalesce("project", F.lit("\u0001")), F.array_join(F.coalesce(files, F.array()), "\u0000")), 256).alias("g"),
-            words("query").alias("words"),
-        )
-        .where(F.size("words") > 0)
-        .withColumn("cid", F.xxhash64("g", F.array_join("words", " ")))
+    # repeated rows meet with what is needed of them only
+    slim = dataset.where("id is not null").select(
+        "id", _split(F.col("split")).alias("side"), F.lower(F.trim("source")).alias("source"),
+        F.unhex(F.md5(F.concat_ws("\u0000", F.coalesce("project", F.lit("\u0001")), F.array_join(F.coalesce(files, F.array()), "\u0000")))).alias("g"),
+        words("query").alias("words"),
+        F.struct(F.coalesce(-F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)).alias("t"), F.xxhash64("query", "split").alias("h")).alias("order"),
     )
+    once = latest(slim, ["id"], [F.col("order")]).where("side is not null and size(words) > 0")
+    checkpoints(dataset.sparkSession)
+    return once.select("id", "side", "source", "g", "words", F.xxhash64("g", F.array_join("words", " ")).alias("cid")).checkpoint()
 
 
 def _hash(key: str) -> int:
@@ -213,72 +212,80 @@ def shingles(word: str, probe: bool) -> list[int]:
     return [_hash(k) for k in keys]
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _posts(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: shingles(w, False))
+FACTS = StructType([StructField("spare", BooleanType()), StructField("telling", BooleanType()), StructField("posts", ArrayType(LongType())), StructField("probes", ArrayType(LongType()))])
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _probes(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: shingles(w, True))
+@F.pandas_udf(FACTS)
+def _word_facts(words: pd.Series, counts: pd.Series, totals: pd.Series) -> pd.DataFrame:
+    rows = [
+        (spare(w), w in _told({w: n}, total), *((shingles(w, False), shingles(w, True)) if len(w) >= 3 and not w.isdigit() else ([], [])))
+        for w, n, total in zip(words, counts, totals)
+    ]
+    return pd.DataFrame(rows, columns=["spare", "telling", "posts", "probes"])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _required(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [w for w in ws if not spare(w)])
+@F.pandas_udf(BooleanType())
+def _is_slip(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    return pd.Series([_slip(x, y, {x: m, y: n}) for x, y, m, n in zip(a, b, na, nb)], dtype=bool)
 
 
-def overlapping_classes(rows: DataFrame) -> DataFrame:
-    """Pairs of classes (``train``, ``held``) that ask the same question, by the prefix-filter join.
+def vocabulary_facts(classes: DataFrame) -> DataFrame:
+    """Every distinct ``word`` with whether it is ``spare``, its slips (``near``) and its rarity: ``cost``, its count and those of its slips."""
+    total = classes.agg(F.count("*").alias("total"))  # one row
+    counts = classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = counts.join(F.broadcast(total)).withColumn("f", _word_facts("word", "n", "total")).select("word", "n", "f.*").checkpoint()
+    told = F.when(F.col("telling"), F.col("n")).otherwise(0)
+    posts = words.select(F.col("word").alias("b"), told.alias("nb"), F.col("n").alias("mass"), F.explode("posts").alias("key"))
+    probes = words.select(F.col("word").alias("a"), told.alias("na"), F.explode("probes").alias("key"))
+    met = probes.join(posts, "key").where("a <> b").select("a", "b", "na", "nb", "mass").distinct()
+    near = met.where(_is_slip("a", "b", "na", "nb")).groupBy(F.col("a").alias("word")).agg(F.collect_set("b").alias("near"), F.sum("mass").alias("others"))
+    return words.join(near, "word", "left").select(
+        "word", "spare", F.coalesce("near", F.array().cast("array<string>")).alias("near"), (F.col("n") + F.coalesce("others", F.lit(0))).alias("cost")
+    )
 
-    Every required word of a held-out record must be matched, so its one cheapest is probed (a word that nobody posted
-    costs nothing and finds nothing). A record of spare words alone probes all of them and meets those of spare words alone.
-    """
+
+def overlapping_classes(rows: DataFrame) -> DataFrame:
+    """Pairs of classes (``train``, ``held``) that ask the same question, by the prefix-filter join."""
     classes = rows.groupBy("cid", "g").agg(
         F.first("words").alias("words"), F.bool_or(F.col("side") == "training").alias("in_train"), F.bool_or(F.col("side") != "training").alias("in_held")
-    )
+    ).checkpoint()
     both = classes.groupBy("g").agg(F.bool_or("in_train").alias("t"), F.bool_or("in_held").alias("h")).where("t and h").select("g")
-    met = classes.join(both, "g", "left_semi").withColumn("need", _required("words"))
-    joined = F.replace(F.array_join("words", ""), F.lit("ie"), F.lit("y"))
+    met = classes.join(both, "g", "left_semi")
+    facts = sized_broadcast(vocabulary_facts(classes).checkpoint())
+    ordered = (
+        met.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(facts, "word")
+        .groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("cost", "word", "spare", "near"))).alias("x"))
+    )
+    known = met.join(ordered, "cid").withColumn("need", F.filter("x", lambda w: ~w["spare"])).checkpoint()
+
+    slipping = lambda w: F.size(w["near"]) > 0
+    firm = F.filter("need", lambda w: ~slipping(w))
     # A name written as one word meets the same name in several: short queries are posted whole, too.
+    joined = F.replace(F.array_join("words", ""), F.lit("ie"), F.lit("y"))
     letters = F.concat(F.lit("="), F.array_join(F.array_sort(F.split(joined, "")), ""))
     whole = F.when(F.size("words") <= 6, F.array(letters)).otherwise(F.array())
     none = F.when(F.size("need") == 0, F.array(F.lit("=="))).otherwise(F.array())
-    # A posting is two numbers: the hash of group and shingle, and the class. Equal groups are checked again with the words.
-    key = lambda hashed: F.transform(hashed, lambda x: F.xxhash64("g", x))
-    train = (
-        met.where("in_train").select("cid", "g", F.explode(F.array_distinct(F.concat("words", whole, none))).alias("word"))
-        .select("g", F.col("cid").alias("train"), _posts("word").alias("x")).select("train", F.explode(key(F.col("x"))).alias("key")).dropDuplicates()
-    )
-    lengths = train.groupBy("key").agg(F.count("*").alias("n"))
-    least = F.when(F.size("need") > 0, F.col("need")).otherwise(F.col("words"))
-    held = (
-        met.where("in_held").select("cid", "g", (F.size("need") == 0).alias("all"), F.explode(F.array_distinct(F.concat(least, whole, none))).alias("word"))
-        .select("g", F.col("cid").alias("held"), "word", (F.col("all") | F.col("word").startswith("=")).alias("whole"), _probes("word").alias("x"))
-        .select("held", F.xxhash64("word").alias("word"), "whole", F.explode(key(F.col("x"))).alias("key"))
-    )
-    cost = held.join(lengths, "key", "left").groupBy("held", "word", "whole").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"), F.collect_set(F.when(F.col("n").isNotNull(), F.col("key"))).alias("keys"))
-    rank = F.row_number().over(Window.partitionBy("held", "whole").orderBy("cost", "word"))
-    prefix = cost.withColumn("k", rank).where((F.col("k") <= PREFIX) | F.col("whole")).select("held", F.explode("keys").alias("key"))
-    found = prefix.join(train, "key").select("train", "held").dropDuplicates()
-
-    counts = classes.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    known = (
-        classes.select("cid", F.explode(F.array_distinct("words")).alias("word")).join(counts, "word").groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
-    )
-    total = classes.agg(F.count("*").alias("total"))  # one row
-    told = met.select("cid", "g", "words", F.size("need").alias("need")).join(known, "cid", "left")
-    a = told.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("known").alias("ka"), F.col("need").alias("na"))
-    b = told.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("known").alias("kb"), F.col("need").alias("nb"))
+    names = lambda some: F.transform(some, lambda w: w["word"])
+    posted = F.concat(names(F.filter("x", slipping)), names(F.slice(firm, 1, 1)), whole, none)
+    # the rarest required word and its slips; a record of spare words alone is looked up under all of them
+    least = F.when(F.size("need") > 0, F.slice("need", 1, 1)).otherwise(F.col("x"))
+    probed = F.concat(names(least), F.flatten(F.transform(least, lambda w: w["near"])), whole, none)
+    # A posting is two numbers: the hash of group and word, and the class. Equal groups are checked again with the words.
+    train = known.where("in_train").select(F.col("cid").alias("train"), "g", F.explode(F.array_distinct(posted)).alias("word")).select("train", F.xxhash64("g", "word").alias("key"))
+    held = known.where("in_held").select(F.col("cid").alias("held"), "g", F.explode(F.array_distinct(probed)).alias("word")).select("held", F.xxhash64("g", "word").alias("key"))
+    found = held.join(train, "key").where("train <> held").select("train", "held").distinct()
+
+    slips = F.filter("x", slipping)
+    said = known.select("cid", "g", "words", F.size("need").alias("need"), F.map_from_arrays(names(slips), F.transform(slips, lambda w: w["near"])).alias("near"))
+    a = said.select(F.col("cid").alias("train"), F.col("g").alias("ga"), F.col("words").alias("a"), F.col("need").alias("na"))
+    b = said.select(F.col("cid").alias("held"), F.col("g").alias("gb"), F.col("words").alias("b"), F.col("need").alias("nb"), "near")
     # required words are matched one to one; a short query may also be the same name in other words
     fits = "ga = gb and (na <= size(b) and nb <= size(a) or greatest(size(a), size(b)) <= 6)"
-    spell = found.where("train <> held").join(a, "train").join(b, "held").where(fits).drop("ga", "gb", "na", "nb").join(F.broadcast(total))
+    spell = found.join(a, "train").join(b, "held").where(fits).drop("ga", "gb", "na", "nb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [
-                same_question(list(x), list(y), _told(dict(kx or ()) | dict(ky or ()), n)) for x, y, kx, ky, n in zip(pdf["a"], pdf["b"], pdf["ka"], pdf["kb"], pdf["total"])
-            ]
+            keep = [same_question(list(x), list(y), {}, {w: set(v) for w, v in dict(near).items()}) for x, y, near in zip(pdf["a"], pdf["b"], pdf["near"])]
             yield pdf.loc[keep, ["train", "held"]]
 
     same = classes.where("in_train and in_held").select(F.col("cid").alias("train"), F.col("cid").alias("held"))
