@@ -1,9 +1,10 @@
 """Problem 3: files that nobody here wrote by hand.
 
-Three sources of evidence, by file: (1) marks: comments and paths that tools and vendored
-copies leave; (2) an inverted index of line hashes, from which the exact containment of a file
-in files of other projects follows, however often a line stands, so that an edited copy of third-party source
-is found without any mark; (3) token composition: minified scripts and data kept as source.
+Three sources of evidence, by file: (1) an inverted index of line hashes, from which the exact
+containment of a file in files of other projects follows, however often a line stands, so that an
+edited copy of third-party source is found without any mark; (2) marks: comments and paths that
+tools and vendored copies leave; (3) token composition: minified scripts and data kept as source.
+Each file comes with the evidence that holds for it, the first of them names the reason.
 
 Configuration files are never cases. Null content counts as empty, rows with a null
 project or path are no file and are left out, repeated rows count once.
@@ -15,11 +16,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
 from .common import spread
 
+#: Classes of equal files that the first round meets on a line.
+ANCHORS = 32
 COMMENT = r"^[ \t]{0,3}(?:#|//|/\*|\*|--|;|<!--|\"\"\"|'''|%)[^\n]{0,400}?"
 HINT = re.compile(r"(?i)generat|génér|gener[ai]|erzeugt|overwritten|emitted by|produced by|created|regenerate|vendored|upstream|bundled|contributors|copied|authors|modificare|automatically|written|lost when")
 # Phrases by which tools mark their output.
@@ -115,9 +119,9 @@ def file_features(chunks: DataFrame) -> DataFrame:
 
 
 def file_lines(chunks: DataFrame, min_chars: int = 24) -> DataFrame:
-    """The inverted index's postings: hash of each distinct, distinctive line with project and file."""
+    """The inverted index's postings: hash of each distinct line with project and file; shorter lines stand in any file."""
     lines = F.array_distinct(
-        F.transform(F.filter(F.split("content", r"\s*\n\s*"), lambda s: (F.length(s) >= min_chars) & (F.length(s) < 400)), lambda s: F.xxhash64(F.trim(s)))
+        F.transform(F.filter(F.split("content", r"\s*\n\s*"), lambda s: F.length(s) >= min_chars), lambda s: F.xxhash64(F.trim(s)))
     )
     return (
         chunks.where("kind = 'code' and project is not null and file_path is not null")
@@ -131,68 +135,96 @@ def line_classes(chunks: DataFrame) -> DataFrame:
     return files.withColumn("c", F.xxhash64("hs")).checkpoint()
 
 
-def contained_classes(files: DataFrame, least: float = 0.6, min_lines: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
-    """Pairs of classes (``c``, ``other``), each with itself too, with the share of the first one's lines that stand in the second.
+def _index(files: DataFrame, least: float, min_lines: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (``c``, ``hs``, ``lines``), the lines each probes (``h``, standing in ``n`` classes), and the postings of lines in several classes.
 
-    An exact prefix-filter join without a cap on how often a line stands: equal files are one class, and a class probes only its rarest
-    lines, one more than it may miss. A line that stands everywhere is probed only by files that have little else.
+    An exact prefix filter: a class probes only its rarest lines, one more than it may miss. A line that stands everywhere is probed only by
+    files that have little else.
     """
     classes = files.groupBy("c").agg(F.first("hs").alias("hs")).withColumn("lines", F.size("hs")).checkpoint()
     posted = classes.select("c", "lines", F.explode("hs").alias("h"))
     shared = posted.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").checkpoint()
-    small = shared.count() <= broadcast_rows  # sixteen bytes a row: at most 8 MB are broadcast
-    kept = posted.join(F.broadcast(shared) if small else shared, "h")
+    kept = posted.join(sized_broadcast(shared), "h").checkpoint()
     ordered = kept.where(f"lines >= {min_lines}").groupBy("c", "lines").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("x"))
-    probes = F.expr(f"cast(greatest(size(x) - ceil({least} * lines) + 1, 0) as int)")
     # lines of no other class come first in the order and find nothing: lines - size(x) of them
-    probe = ordered.select("c", "lines", F.explode(F.slice("x", F.lit(1), probes)).alias("y")).select("c", "lines", F.col("y.h").alias("h"))
-    target = kept.select("h", F.col("c").alias("other"), F.col("lines").alias("other_lines"))
-    found = probe.join(target, "h").where(f"c <> other and other_lines >= {least} * lines").select("c", "other").distinct()
+    probes = F.expr(f"cast(greatest(size(x) - ceil({least} * lines) + 1, 0) as int)")
+    probe = ordered.select("c", "lines", F.explode(F.slice("x", F.lit(1), probes)).alias("y")).select("c", "lines", "y.h", "y.n")
+    return classes, probe, kept.select("h", "n", F.col("c").alias("other"), F.col("lines").alias("other_lines"))
+
+
+def _shares(classes: DataFrame, probe: DataFrame, postings: DataFrame, least: float) -> DataFrame:
+    """Pairs of classes (``c``, ``other``) that met on a line, with the exact share of the first one's lines in the second, where it is ``least`` or more."""
+    met = probe.drop("n").join(postings.drop("n"), "h").where(f"c <> other and other_lines >= {least} * lines").select("c", "other").distinct()
     there = classes.select(F.col("c").alias("other"), F.col("hs").alias("other_hs"))
-    both = found.join(classes, "c").join(there, "other").select("c", "other", "lines", F.size(F.array_intersect("hs", "other_hs")).alias("shared"))
-    itself = classes.where(f"lines >= {min_lines}").select("c", F.col("c").alias("other"), F.lit(1.0).alias("share"))
-    return both.where(f"shared >= {least} * lines").select("c", "other", (F.col("shared") / F.col("lines")).alias("share")).unionByName(itself)
+    both = met.join(classes, "c").join(there, "other").select("c", "other", "lines", F.size(F.array_intersect("hs", "other_hs")).alias("shared"))
+    return both.where(f"shared >= {least} * lines").select("c", "other", (F.col("shared") / F.col("lines")).alias("share"))
 
 
 def containment(chunks: DataFrame, least: float = 0.6, min_lines: int = 5) -> DataFrame:
-    """Pairs of files of different projects with the share of the first one's distinctive lines that stand in the second."""
+    """Pairs of files of different projects with the share of the first one's distinct lines that stand in the second."""
     files = line_classes(chunks)
-    pairs = contained_classes(files, least, min_lines)
+    pairs = _shares(*_index(files, least, min_lines), least)
+    itself = files.where(F.size("hs") >= min_lines).select("c", F.col("c").alias("other"), F.lit(1.0).alias("share")).distinct()
     others = files.select(F.col("c").alias("other_c"), F.col("f").alias("other"), F.col("p").alias("other_p"))
-    return pairs.withColumnRenamed("other", "other_c").join(files.select("c", "f", "p"), "c").join(others, "other_c").where("p <> other_p").select("f", "other", "other_p", "share")
+    return pairs.unionByName(itself).withColumnRenamed("other", "other_c").join(files.select("c", "f", "p"), "c").join(others, "other_c").where("p <> other_p").select("f", "other", "other_p", "share")
 
 
-def copied_files(chunks: DataFrame, vendored: DataFrame) -> DataFrame:
+def copied_files(chunks: DataFrame, vendored: DataFrame, least: float = 0.6, min_lines: int = 5, anchors: int = ANCHORS) -> DataFrame:
     """Files (``f``) of which another project has a copy that is ``vendored`` (by ``f``), or two other projects have one.
 
-    Classes are joined, never pairs of files: a file copied a thousand times is one class with a row for each project.
+    Classes meet, never all pairs of files. Of a line in many classes, first only ``anchors`` of them are met, known copies first: a family of any
+    number of edited copies is settled there. Only the classes that this leaves open meet the rest of their lines' postings, so the
+    result is that of all pairs.
     """
     files = line_classes(chunks)
     known = vendored.select("f", F.lit(True).alias("known")).distinct()
-    held = files.select("f", "p", "c").join(known, "f", "left").groupBy(F.col("c").alias("other"), "p").agg(F.max("known").alias("known"))
-    seen = contained_classes(files).join(held, "other").groupBy("c").agg(
-        F.countDistinct("p").alias("projects"), F.min(F.when(F.col("known"), F.col("p"))).alias("a"), F.max(F.when(F.col("known"), F.col("p"))).alias("b")
-    )
-    # a class is paired with itself, so a file's own project is among the counted ones
-    return files.select("f", "p", "c").join(seen, "c").where("projects >= 3 or a <> p or b <> p").select("f")
+    held = files.select("f", "p", "c").join(known, "f", "left").groupBy(F.col("c").alias("other"), "p").agg(F.max("known").alias("known")).checkpoint()
+    classes, probe, postings = _index(files, least, min_lines)
+    probe = probe.checkpoint()
+    told = held.groupBy("other").agg(F.max("known").alias("known"))
+    popular = postings.where(F.col("n") > anchors).join(told, "other")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.col("known").desc_nulls_last(), "other"))
+    first = popular.withColumn("k", rank).where(F.col("k") <= anchors).select(postings.columns)  # a limit per line before the shuffle
+
+    def seen(pairs: DataFrame) -> DataFrame:
+        """By class: projects that have a copy, the class's own ones among them, and the first and last that have a known one."""
+        every = pairs.select("c", "other").unionByName(probed.select("c", F.col("c").alias("other")))
+        return every.join(held, "other").groupBy("c").agg(
+            F.countDistinct("p").alias("projects"), F.min(F.when(F.col("known"), F.col("p"))).alias("a"), F.max(F.when(F.col("known"), F.col("p"))).alias("b")
+        )
+
+    probed = classes.where(F.col("lines") >= min_lines).select("c")
+    near = _shares(classes, probe, postings.where(F.col("n") <= anchors).unionByName(first), least).checkpoint()
+    settled = seen(near).where("projects >= 3 or a <> b").checkpoint()
+    is_open = settled.select("c")
+    far = _shares(classes, probe.where(F.col("n") > anchors).join(is_open, "c", "left_anti"), postings.where(F.col("n") > anchors), least)
+    probed = probed.join(is_open, "c", "left_anti")
+    rest = seen(near.select("c", "other").join(is_open, "c", "left_anti").unionByName(far.select("c", "other")))
+    by_class = settled.unionByName(rest)
+    return files.select("f", "p", "c").join(by_class, "c").where("projects >= 3 or a <> p or b <> p").select("f")
 
 
 def not_handwritten(chunks: DataFrame, data_share: float = 0.6, minified_share: float = 0.6, data_chars: int = 200) -> DataFrame:
-    """``project``, ``file_path`` as stored and ``reason`` of every file that is generated, minified, vendored or data."""
-    files = file_features(chunks)
+    """``project``, ``file_path`` as stored, ``reason`` and ``evidence`` of every file that is generated, minified, vendored or data.
+
+    Evidence is an array of containment, mark, path and composition, in this order, whichever hold.
+    """
     path = F.col("file_path")
-    marked = (
-        F.when(path.rlike(CONFIG_PATH), None)
-        .when(F.col("vendored") | path.rlike(VENDOR_PATH), "vendored")
-        .when(F.col("generated") | path.rlike(GENERATED_PATH), "generated")
-        .when(path.rlike(MINIFIED_PATH) | (F.col("minified") >= minified_share * F.col("chars")) & (F.col("minified") > 0), "minified")
-        .when((F.col("data") >= data_share * F.col("chars")) & (F.col("data") >= data_chars), "data")
-    )
-    files = files.withColumn("reason", marked).withColumn("config", path.rlike(CONFIG_PATH)).withColumn("f", F.xxhash64("project", "file_path"))
-    copied = copied_files(chunks, files.where("reason = 'vendored'").select("f")).select("f", F.lit("vendored").alias("copy"))
-    return (
-        files.join(copied, "f", "left")
-        .withColumn("reason", F.coalesce("reason", F.when(~F.col("config"), F.col("copy"))))
-        .where("reason is not null")
-        .select("project", "file_path", "reason")
+    config, vendor_path, made_path, small_path = (path.rlike(x) for x in (CONFIG_PATH, VENDOR_PATH, GENERATED_PATH, MINIFIED_PATH))
+    small = (F.col("minified") >= minified_share * F.col("chars")) & (F.col("minified") > 0)
+    data = (F.col("data") >= data_share * F.col("chars")) & (F.col("data") >= data_chars)
+    files = file_features(chunks).where(~config).withColumn("f", F.xxhash64("project", "file_path")).withColumn("known", F.col("vendored") | vendor_path)
+    copied = copied_files(chunks, files.where("known").select("f")).select("f", F.lit(True).alias("copy"))
+    copy = F.coalesce("copy", F.lit(False))
+    reason = F.when(copy | F.col("known"), "vendored").when(F.col("generated") | made_path, "generated").when(small_path | small, "minified").when(data, "data")
+    evidence = F.array_compact(
+        F.array(F.when(copy, "containment"), F.when(F.col("vendored") | F.col("generated"), "mark"), F.when(vendor_path | made_path | small_path, "path"), F.when(small | data, "composition"))
     )
+    return files.join(copied, "f", "left").select("project", "file_path", reason.alias("reason"), evidence.alias("evidence")).where("reason is not null")
+
+
+def evidence_report(files: DataFrame) -> DataFrame:
+    """Per project and reason: files, and how many of them each source of evidence holds for and is the only one for."""
+    kinds = ("containment", "mark", "path", "composition")
+    by = [F.count_if(F.array_contains("evidence", k)).alias(f"by_{k}") for k in kinds] + [F.count_if(F.col("evidence") == F.array(F.lit(k))).alias(f"only_{k}") for k in kinds]
+    return files.groupBy("project", "reason").agg(F.count("*").alias("count"), *by)

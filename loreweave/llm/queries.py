@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import checkpoints, table
 from .conversations import conversations, dropped_sessions, session_states
 from .credentials import find_credentials, redact_credentials
-from .handwritten import not_handwritten
+from .handwritten import evidence_report, not_handwritten
 from .mixing import mix
 from .overlap import overlap_report, overlapping_records
 from .packing import pack_documents, pack_report
@@ -47,7 +47,7 @@ def queries() -> dict[str, Query]:
         "p2_found": _over("dataset", lambda d: overlapping_records(d).select("id_a", "id_b")),
         "p2_report": _over("dataset", overlap_report),
         "p3_found": _over("chunks", lambda c: not_handwritten(c).select("project", "file_path")),
-        "p3_reasons": _over("chunks", lambda c: not_handwritten(c).groupBy("project", "reason").count()),
+        "p3_reasons": _over("chunks", lambda c: evidence_report(not_handwritten(c))),
         "p4_found": _over("transcript", lambda t: dropped_sessions(t).select("session_id")),
         "p4_states": _over("transcript", session_states),
         "p4_conversations": _over("transcript", conversations),

@@ -7,7 +7,7 @@ to both limits. Cuts between units share nothing, cuts inside a unit share ``ove
 
 Null content gives one piece as it is; empty content one empty piece. Repeated rows (same
 id and content) count once. Line ends (LF, CRLF) stay in the pieces, so that the pieces
-without their shared lines are the content again, byte by byte.
+without their shared lines and characters are the content again, byte by byte.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-MAX_CHARS, MAX_LINES, OVERLAP = 12_000, 80, 10
+MAX_CHARS, MAX_LINES, OVERLAP, OVERLAP_CHARS = 12_000, 80, 10, 200
 
 # File endings and spellings of the languages whose units are known.
 FAMILIES = {
@@ -219,23 +219,30 @@ def oversized(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES)
     return len(text) > max_chars or text.count("\n") + (not text.endswith("\n") and text != "") > max_lines
 
 
-def _line_cuts(line: str, limit: int) -> list[int]:
-    """Columns at which one long line is cut: after a sentence, else a word, else at the limit."""
-    cuts, at = [0], 0
-    while len(line) - at > limit:
-        window = line[at : at + limit]
-        ends = [m.end() for m in SENTENCE_END.finditer(window, limit // 2)]
+def _line_cuts(line: str, limit: int, shared: int) -> list[tuple[int, int, int]]:
+    """Pieces of one long line: (start, end, characters shared with the piece before), cut after a sentence, else a word, else at the limit.
+
+    What is shared begins with a word where one begins there.
+    """
+    parts, at, before = [], 0, 0
+    while len(line) - at + before > limit:
+        room = limit - before
+        window = line[at : at + room]
+        ends = [m.end() for m in SENTENCE_END.finditer(window, room // 2)]
         cut = ends[-1] if ends else window.rfind(" ") + 1
-        at += cut if cut > limit // 4 else limit
-        cuts.append(at)
-    return cuts
+        end = at + (cut if cut > room // 4 else room)
+        parts.append((at - before, end, before))
+        begin = max(end - shared, 0)
+        word = line.find(" ", begin, end - 1) + 1
+        before, at = end - (word if 0 < word < begin + shared // 2 else begin), end
+    return [*parts, (at - before, len(line), before)]
 
 
-def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES, overlap: int = OVERLAP):
-    """Pieces of one text: (first line, last line, first column, end column or None, name, content, lines shared with the piece before)."""
+def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES, overlap: int = OVERLAP, overlap_chars: int = OVERLAP_CHARS):
+    """Pieces of one text: (first line, last line, first column, end column or None, name, content, lines and characters shared with the piece before)."""
     lines = split_lines(text)
     if not oversized(text, max_chars, max_lines):
-        return [(1, max(1, len(lines)), None, None, None, text, 0)]
+        return [(1, max(1, len(lines)), None, None, None, text, 0, 0)]
     sizes = [len(x) for x in lines]
     total = [0]
     for s in sizes:
@@ -253,9 +260,8 @@ def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_
         unit, at, before = name_at(a, b), a, 0
         while at < b:
             if sizes[at] > max_chars:
-                cuts = [*_line_cuts(lines[at], max_chars), sizes[at]]
-                for x, y in zip(cuts, cuts[1:]):
-                    out.append((at + 1, at + 1, x, y, unit, lines[at][x:y], 0))
+                for x, y, shared in _line_cuts(lines[at], max_chars, min(overlap_chars, max_chars // 4)):
+                    out.append((at + 1, at + 1, x, y, unit, lines[at][x:y], 0, shared))
                 at, before = at + 1, 0
                 continue
             end = at
@@ -271,7 +277,7 @@ def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_
                     indents = [(len(lines[k]) - len(lines[k].lstrip()), -k) for k in range(low + 1, end + 1) if k < b and lines[k].strip() and lines[k].strip()[0] not in "})]"]
                     blank = -min(indents)[1] if indents else 0
                 end = blank or end
-            out.append((at - before + 1, end, None, None, unit, "".join(lines[at - before : end]), before))
+            out.append((at - before + 1, end, None, None, unit, "".join(lines[at - before : end]), before, 0))
             before, at = min(overlap, end - at), end
 
     a = 0
@@ -282,7 +288,7 @@ def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_
             inside(a, nexts[0])
             end = nexts[0]
         else:
-            out.append((a + 1, end, None, None, name_at(a, end), "".join(lines[a:end]), 0))
+            out.append((a + 1, end, None, None, name_at(a, end), "".join(lines[a:end]), 0, 0))
         a = end
     return out
 
@@ -313,12 +319,12 @@ def split_oversized(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: in
     """All records within the limits: small ones as they are (``piece_no`` 1), oversized ones as pieces.
 
     Columns: ``id``, ``piece_no``, ``n_pieces``, ``line_start``, ``line_end``, ``col_start``, ``col_end`` (pieces
-    of one long line only), ``func_name``, ``content``, ``shared_lines``. Line numbers continue those of the record
+    of one long line only), ``func_name``, ``content``, ``shared_lines``, ``shared_chars`` (of one long line). Line numbers continue those of the record
     (from 1 where it has none, as wiki rows do).
     """
     base = chunks.select("id", "kind", "lang", "file_path", "line_start", "line_end", "func_name", "content").where("id is not null")
     big = F.coalesce(_big(base, max_chars, max_lines), F.lit(False))
-    schema = "id bigint, piece_no int, n_pieces int, line_start int, line_end int, col_start int, col_end int, func_name string, content string, shared_lines int"
+    schema = "id bigint, piece_no int, n_pieces int, line_start int, line_end int, col_start int, col_end int, func_name string, content string, shared_lines int, shared_chars int"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -326,14 +332,14 @@ def split_oversized(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: in
             for key, kind, lang, path, first, own, text in pdf[["id", "kind", "lang", "file_path", "line_start", "func_name", "content"]].itertuples(index=False, name=None):
                 parts = pieces(text, kind, lang, path, max_chars, max_lines, overlap)
                 shift = int(first) - 1 if first == first and first and first > 0 else 0
-                for no, (a, b, x, y, unit, content, shared) in enumerate(parts, 1):
-                    rows.append((key, no, len(parts), a + shift, b + shift, x, y, unit or own, content, shared))
+                for no, (a, b, x, y, unit, content, shared, chars) in enumerate(parts, 1):
+                    rows.append((key, no, len(parts), a + shift, b + shift, x, y, unit or own, content, shared, chars))
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             yield frame.astype({"col_start": "Int32", "col_end": "Int32"})
 
     once = ["id", "piece_no"]
     small = base.where(~big).select(
         "id", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), "line_start", "line_end",
-        F.lit(None).cast("int").alias("col_start"), F.lit(None).cast("int").alias("col_end"), "func_name", "content", F.lit(0).alias("shared_lines"),
+        F.lit(None).cast("int").alias("col_start"), F.lit(None).cast("int").alias("col_end"), "func_name", "content", F.lit(0).alias("shared_lines"), F.lit(0).alias("shared_chars"),
     )
     return spread(base.where(big), "id").mapInPandas(cut, schema).unionByName(small).dropDuplicates(once)

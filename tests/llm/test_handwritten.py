@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loreweave.llm import handwritten as H
 
 CODE = "\n".join(f"def collect_{i}(rows):\n    total_{i} = rows.measure(limit={i})\n    return total_{i}" for i in range(12))
@@ -56,3 +58,27 @@ def test_hint_lets_every_mark_through():
     for text in ("# copied from lib/x.py at v1", "// left-pad 1.2.0 (c) 2020 the pad authors", "# non modificare a mano", "# automatically built", "# automatically written", "# this was written by gen from a.schema", "# changes will be lost when the schema is built"):
         found = next(H._features(iter([H.pd.DataFrame({"project": ["p"], "file_path": ["a"], "id": [1], "content": [text]})])))
         assert found["generated"][0] or found["vendored"][0], text
+
+
+def test_copies_that_are_all_edited(spark):
+    base = [f"    value_{i} = compute_something_from(rows, {i})" for i in range(12)]
+    rows = [(i, "code", f"p{i % 40}", f"src/copy_{i}.py", "\n".join([*base[: i % 12], f"    edit_{i} = nothing_like_it_elsewhere()", *base[i % 12 + 1 :]]), 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, project string, file_path string, content string, f int")
+    assert H.not_handwritten(df).where("reason = 'vendored' and array_contains(evidence, 'containment')").count() == 1000
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rounds_give_what_all_pairs_give(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"    value_{i} = compute_something_from(rows, {i})" for i in range(14)]
+    rows = [(i, "code", f"p{rng.randrange(5)}", f"f{i}.py", "\n".join(rng.sample(pool, rng.randrange(5, 9)) + [f"    own_{i}_{k} = nothing_like_it()" for k in range(rng.randrange(4))]), 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, project string, file_path string, content string, f int")
+    from pyspark.sql import functions as F
+
+    ids = {r.f: r.project for r in df.select(F.xxhash64("project", "file_path").alias("f"), "project").collect()}
+    vendored = set(rng.sample(sorted(ids), 6))
+    pairs = [(r.f, r.other) for r in H.containment(df).collect()]
+    want = {f for f in ids if len({ids[o] for g, o in pairs if g == f}) >= 2 or any(o in vendored for g, o in pairs if g == f)}
+    known = spark.createDataFrame([(f,) for f in vendored], "f bigint")
+    assert {r.f for r in H.copied_files(df, known, anchors=2).collect()} == want == {r.f for r in H.copied_files(df, known).collect()}
+    assert 5 < len(want) < 90

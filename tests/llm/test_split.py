@@ -31,7 +31,7 @@ def test_headings_of_pages():
 
 
 def rebuilt(parts):
-    return "".join("".join(S.split_lines(p[5])[p[6] :]) for p in parts)
+    return "".join("".join(S.split_lines(p[5])[p[6] :])[p[7] :] for p in parts)
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -51,6 +51,14 @@ def test_pieces_are_within_limits_and_whole(seed):
         assert after[0] <= before[1] + 1 and (after[6] in (0, 10) or after[6] < 10)
 
 
+@pytest.mark.parametrize("line", ["word. " * 9000, "x" * 30_000, "y " * 20_000 + "z" * 13_000])
+def test_cuts_inside_a_line_share_its_characters(line):
+    parts = S.pieces(line, "code", None, "a.txt")
+    assert rebuilt(parts) == line and not any(S.oversized(p[5]) for p in parts)
+    assert parts[0][7] == 0 and all(100 <= p[7] <= 200 for p in parts[1:])
+    assert all(b[5].startswith(a[5][-b[7] :]) for a, b in zip(parts, parts[1:]))
+
+
 def test_cuts_inside_a_unit_share_ten_lines():
     text = "def f():\n" + "    x = 1\n" * 200 + "def g():\n    pass\n"
     parts = S.pieces(text, "code", "python", "a.py")
