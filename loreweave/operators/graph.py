@@ -10,10 +10,10 @@ from ..session import checkpoints, first_by, table
 from .audit import mentions, pages
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (the smallest node of it), by alternating large and small stars.
 
-    Each round is two joins by node; the number of rounds grows with the logarithm of the size.
+    Each round is two joins by node; the number of rounds grows with the logarithm of the size, and the last one changes nothing.
     Lineage is cut by a checkpoint a round, which the shared checkpoint folder keeps if an executor is lost.
     """
     checkpoints(edges.sparkSession)
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     nodes = pairs.select(F.col(a).alias("node")).union(pairs.select(F.col(b).alias("node"))).distinct()
     e = pairs.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
     state = None
-    for _ in range(rounds):
+    while True:  # until a round changes nothing
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
