@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest side, in rows, that a query may broadcast after counting it.
-BROADCAST_ROWS = 200_000
+#: Largest side, in rows and in bytes as text, that a query may broadcast after counting it.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,12 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it is counted to be small, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if its rows and their bytes are counted to be few, else as it is (the join then shuffles)."""
+    if not df.columns:
+        return df
+    sizes = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if sizes[0] <= limit and sizes[1] <= most_bytes else df
 
 
 def range_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
