@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import sized_broadcast
-from .common import spread
+from .common import checkpoints, spread
 
 #: Classes of equal files that the first round meets on a line.
 ANCHORS = 32
@@ -144,7 +143,7 @@ def _index(files: DataFrame, least: float, min_lines: int) -> tuple[DataFrame, D
     classes = files.groupBy("c").agg(F.first("hs").alias("hs")).withColumn("lines", F.size("hs")).checkpoint()
     posted = classes.select("c", "lines", F.explode("hs").alias("h"))
     shared = posted.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").checkpoint()
-    kept = posted.join(sized_broadcast(shared), "h").checkpoint()
+    kept = posted.join(shared, "h").checkpoint()
     ordered = kept.where(f"lines >= {min_lines}").groupBy("c", "lines").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("x"))
     # lines of no other class come first in the order and find nothing: lines - size(x) of them
     probes = F.expr(f"cast(greatest(size(x) - ceil({least} * lines) + 1, 0) as int)")
@@ -213,7 +212,8 @@ def not_handwritten(chunks: DataFrame, data_share: float = 0.6, minified_share:
     config, vendor_path, made_path, small_path = (path.rlike(x) for x in (CONFIG_PATH, VENDOR_PATH, GENERATED_PATH, MINIFIED_PATH))
     small = (F.col("minified") >= minified_share * F.col("chars")) & (F.col("minified") > 0)
     data = (F.col("data") >= data_share * F.col("chars")) & (F.col("data") >= data_chars)
-    files = file_features(chunks).where(~config).withColumn("f", F.xxhash64("project", "file_path")).withColumn("known", F.col("vendored") | vendor_path)
+    checkpoints(chunks.sparkSession)
+    files = file_features(chunks).where(~config).checkpoint().withColumn("f", F.xxhash64("project", "file_path")).withColumn("known", F.col("vendored") | vendor_path)
     copied = copied_files(chunks, files.where("known").select("f")).select("f", F.lit(True).alias("copy"))
     copy = F.coalesce("copy", F.lit(False))
     reason = F.when(copy | F.col("known"), "vendored").when(F.col("generated") | made_path, "generated").when(small_path | small, "minified").when(data, "data")
