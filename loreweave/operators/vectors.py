@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoints, nth, table
 
-#: Queries that one pass over the data takes along: at most 16 MB of 64-dimensional doubles.
-PASS_QUERIES = 32_768
+#: Rows of a block of queries and of a block of data: at most 4 and 25 MB of 64-dimensional floats, matched by one task.
+QUERY_ROWS, DATA_ROWS = 8_192, 50_000
 QUERY_EVERY = 100
 
 
@@ -23,54 +21,48 @@ def valid_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where(x.isNotNull() & (F.size(x) == dim) & ~bad & F.exists(x, lambda v: v != 0))
 
 
-def knn(data: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least: float = -2.0) -> DataFrame:
-    """The ``k`` nearest rows by cosine of every query, itself left out: ``query_id``, ``neighbour``, ``score``.
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def knn(data: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least: float = -2.0, own: str | None = None) -> DataFrame:
+    """The ``k`` nearest rows by cosine of every query, itself left out: ``query_id``, ``neighbour``, ``score``, ``rank``; ties by key.
 
-    Queries are taken along in passes of a bounded number, whatever their total; in each pass every
-    partition keeps its own k best, so what is shuffled is k rows a query and partition.
+    Blocks of queries meet blocks of data as groups of one join, so nothing passes through the driver and no task holds more than a block of
+    each; what is shuffled on is k rows a query and block. ``own`` names the queries' key where they come from another table
+    (then no row is left out). Null keys are left out.
     """
-    spark = data.sparkSession
-    slim = queries.select(key, vec)
-    total = slim.count()
-    passes = max(1, -(-total // PASS_QUERIES))
-    kind = data.schema[key].dataType.simpleString()
-    parts = []
-    for p in range(passes):
-        chosen = slim if passes == 1 else slim.where(F.pmod(F.xxhash64(key), F.lit(passes)) == p)
-        block = chosen.toPandas()  # one bounded pass of queries
-        if block.empty:
-            continue
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in block[vec]])
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        taken = spark.sparkContext.broadcast((block[key].to_numpy(), matrix))
-
-        def search(batches: Iterator[pd.DataFrame], taken=taken) -> Iterator[pd.DataFrame]:
-            ids, q = taken.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                own = pdf[key].to_numpy()
-                for at in range(0, len(ids), 4096):
-                    s = q[at : at + 4096] @ x.T
-                    s[ids[at : at + 4096, None] == own[None, :]] = -3.0
-                    m = min(k, s.shape[1])
-                    # equal scores fall to the smaller key, so the cut is the same in every partition
-                    top = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-                    row = np.arange(s.shape[0])[:, None]
-                    keep = s[row, top] >= max(least, -2.0)
-                    qi = np.broadcast_to(ids[at : at + 4096, None], top.shape)[keep]
-                    yield pd.DataFrame({"query_id": qi, "neighbour": own[top][keep], "score": s[row, top][keep]})
-
-        parts.append(data.select(key, vec).mapInPandas(search, f"query_id {kind}, neighbour {kind}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kind}, neighbour {kind}, score double")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    name = own or key
+    d, q = data.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(vec).alias("_v")), queries.where(F.col(name).isNotNull()).select(F.col(name).alias("_k"), F.col(vec).alias("_v"))
+    nq = max(1, -(-q.count() // QUERY_ROWS))
+    nd = max(1, -(-d.count() // DATA_ROWS))
+    block = lambda n, seed: F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = d.select("*", block(nd, 1).alias("_d"), every(nq).alias("_q")), q.select("*", block(nq, 2).alias("_q"), every(nd).alias("_d"))
+
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        if len(rows) and len(asked):
+            rows = rows.sort_values("_k", ignore_index=True)
+            ids, keys, x, y = asked["_k"].to_numpy(), rows["_k"].to_numpy(), _unit(rows["_v"]), _unit(asked["_v"])
+            for at in range(0, len(ids), 1024):
+                s = y[at : at + 1024] @ x.T
+                if own is None:
+                    s[ids[at : at + 1024, None] == keys[None, :]] = -3.0
+                m = min(k, s.shape[1])
+                floor = np.maximum(np.partition(s, s.shape[1] - m, axis=1)[:, -m], max(least, -2.0))
+                r, c = np.nonzero(s >= floor[:, None])  # all equal to the last one too: the smaller keys win below
+                found.append(pd.DataFrame({"query_id": ids[at + r], "neighbour": keys[c], "score": s[r, c]}))
+        if not found:
+            return pd.DataFrame({"query_id": asked["_k"][:0], "neighbour": rows["_k"][:0], "score": pd.Series(dtype=float)})
+        best = pd.concat(found).sort_values(["query_id", "score", "neighbour"], ascending=[True, False, True])
+        return best.groupby("query_id", sort=False).head(k)
+
+    schema = f"query_id {q.schema['_k'].dataType.simpleString()}, neighbour {d.schema['_k'].dataType.simpleString()}, score double"
+    near = left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour"))
-    return found.withColumn("rank", rank).where(f"rank <= {k}")
+    return near.withColumn("rank", rank).where(f"rank <= {k}")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
