@@ -16,6 +16,7 @@ repeated ids are cut once per row and then reduced to distinct units.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,9 +43,17 @@ CLOSE = _having("Close")
 CONTINUE = _having("SContinue")
 WIDE_ENDS = "。！？｡．"
 OTHER_ENDS = "".join(c for c in TERMINATORS + STOPS if c not in ".!?‼⁇⁈⁉‽" + WIDE_ENDS)
-MARKS = re.escape(TERMINATORS + STOPS) + "…‥"
-# An end mark before a small letter, digit or slash stands inside a name, number or address (SB6, SB7, SB8); marks in a row are one (SB8a).
-ENDS = re.compile(f"(?:[{MARKS}]\\s?(?=[!?！？…])|[{MARKS}])+(?:(?<![.?!])|(?![a-z0-9_/=&]))")
+
+
+def _ends(marks: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """One end mark, and a run of them: one before a small letter, digit or slash stands inside a name, number or address (SB6, SB7, SB8), marks in a row are one (SB8a)."""
+    one = f"[{re.escape(marks)}…‥]"
+    return re.compile(one), re.compile(f"(?:{one}\\s?(?=[!?！？…])|{one})+(?:(?<![.?!])|(?![a-z0-9_/=&]))")
+
+
+# The marks beyond the first plane are searched for only in texts that leave it.
+ENDS, ENDS_BEYOND = _ends("".join(c for c in TERMINATORS + STOPS if c <= "\uffff")), _ends(TERMINATORS + STOPS)
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 SPACED_SCRIPT = re.compile(r"(?<=[฀-໿])\s+(?=[฀-໿])")
 PAIR_MARK = re.compile(r"[\"“”„«»「」『』《》〈〉()（）\[\]［］{}【】]")
 # Opening marks with their closing marks.
@@ -79,6 +88,7 @@ FUNCTION_WORDS = {
     "es": "el la los las un una de del y es son que no en por para con se al lo su sus como más pero si ya este esta ha han muy cuando o a fue sin",
 }
 FUNCTION_WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+LANGS_OF = {w: [lang for lang, words in FUNCTION_WORDS.items() if w in words] for w in frozenset().union(*FUNCTION_WORDS.values())}
 LATIN_WORD = re.compile(r"[^\W\d_]+")
 # Spellings of the languages that the marks depend on.
 LANGS = {
@@ -183,6 +193,17 @@ def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return found
 
 
+def _marks(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of end marks that may end a sentence."""
+    one, run = ENDS_BEYOND if BEYOND.search(text, start, end) else ENDS
+    at = start
+    while m := one.search(text, at, end):
+        found = run.match(text, m.start(), end)
+        if found:
+            yield found.span()
+        at = found.end() if found else m.end()
+
+
 def _wide(ch: str) -> bool:
     return "぀" <= ch <= "ヿ" or "㐀" <= ch <= "鿿" or "가" <= ch <= "힯" or "豈" <= ch <= "﫿"
 
@@ -202,15 +223,12 @@ def _starts_sentence(text: str, at: int) -> bool | None:
 
 def language_of(text: str, start: int, end: int, said: str | None) -> str | None:
     """The language of a paragraph: by its function words, ties and none by what the record says (null where that tells nothing)."""
-    counts = dict.fromkeys(FUNCTION_WORDS, 0)
-    for m in LATIN_WORD.finditer(text, start, end):
-        word = m.group().lower()
-        for lang, words in FUNCTION_WORDS.items():
-            if word in words:
-                counts[lang] += 1
+    counts = Counter(lang for word in LATIN_WORD.findall(text[start:end].lower()) for lang in LANGS_OF.get(word, ()))
+    if not counts:
+        return said
     most = max(counts.values())
-    best = [lang for lang, n in counts.items() if n == most]
-    return best[0] if most and len(best) == 1 else said if not most or said in best else best[0]
+    best = [lang for lang in FUNCTION_WORDS if counts[lang] == most]
+    return best[0] if len(best) == 1 or said not in best else said
 
 
 def _word_before(text: str, unit: int, at: int) -> str:
@@ -219,19 +237,29 @@ def _word_before(text: str, unit: int, at: int) -> str:
     return word if len(word) <= LONGEST else ""
 
 
-def _abbreviated(word: str, raw: str, lang: str | None) -> bool:
-    if word not in ANYWHERE and word not in SUPPRESSED.get(lang, ()):
+class _Language:
+    """The language of a block, found out only if a mark depends on it."""
+
+    def __init__(self, text: str, start: int, end: int, said: str | None) -> None:
+        self.block, self.found, self.lang = (text, start, end, said), False, None
+
+    def __call__(self) -> str | None:
+        if not self.found:
+            self.found, self.lang = True, language_of(*self.block)
+        return self.lang
+
+
+def _abbreviated(word: str, raw: str, lang: _Language) -> bool:
+    if word not in ANYWHERE and not (word in OWN_ONLY and word in SUPPRESSED.get(lang(), ())):
         return False
     return word not in TITLES or raw[:1].isupper()
 
 
-def _full_stop_ends(text: str, unit: int, at: int, nxt: int, lang: list[str | None], block: tuple[int, int]) -> bool:
+def _full_stop_ends(text: str, unit: int, at: int, nxt: int, lang: _Language) -> bool:
     raw = _word_before(text, unit, at).strip(".")
     word = raw.lower()
     follows = text[nxt]
-    if len(lang) == 1:
-        lang.append(language_of(text, *block, lang[0]))
-    if _abbreviated(word, raw, lang[1]):
+    if _abbreviated(word, raw, lang):
         return False
     if word in BEFORE_NUMBER and (follows.isdigit() or follows == "."):
         return False
@@ -243,7 +271,7 @@ def _full_stop_ends(text: str, unit: int, at: int, nxt: int, lang: list[str | No
         return not (raw.isupper() or raw.islower() or not raw.isascii())
     if re.fullmatch(r"(?:[a-z]\.)+[a-z]", word):
         return False
-    return not (word.isdigit() and len(word) <= 2 and follows.isalpha() and lang[1] == "de")
+    return not (word.isdigit() and len(word) <= 2 and follows.isalpha() and lang() == "de")
 
 
 def _glued(text: str, unit: int, at: int, nxt: int) -> bool:
@@ -254,9 +282,9 @@ def _glued(text: str, unit: int, at: int, nxt: int) -> bool:
 
 
 def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[int, int]]:
-    unit, lang, block = start, [said], (start, end)
+    unit, lang = start, _Language(text, start, end, said)
     pairs = _pairs(text, start, end)
-    events = [(m.start(), m.end(), None) for m in ENDS.finditer(text, start, end)]
+    events = [(a, b, None) for a, b in _marks(text, start, end)]
     if pairs:
         kept, k = [], 0
         for a, b, _ in events:
@@ -268,7 +296,7 @@ def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[in
             tail = c
             while tail > o + 1 and (text[tail - 1].isspace() or text[tail - 1] in PAIR_CLOSERS):
                 tail -= 1
-            if ENDS.match(text[tail - 1]) and tail - 1 > o:
+            if tail - 1 > o and text[tail - 1] in ALL_ENDS:
                 kept.append((tail - 1, c + 1, (o, c)))
         events = sorted(kept, key=lambda e: e[:2])
     opens_at = {o for o, _ in pairs}
@@ -298,7 +326,7 @@ def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[in
         gap, follows = nxt > b, text[nxt]
         if follows in NEVER_AFTER:
             continue
-        mark = text[a:b].rstrip("".join(PAIR_CLOSERS) + "   ")
+        mark = text[a:b].rstrip(AFTER_MARK)
         if pair:
             run = a
             while run > pair[0] and text[run - 1] in ".…":
@@ -321,7 +349,7 @@ def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[in
             elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
                 ok = True
             elif mark == ".":
-                ok = (gap or text[a - 1].isalpha() and not text[a - 1].isascii() and not _wide(follows)) and _full_stop_ends(text, unit, a, nxt, lang, block)
+                ok = (gap or text[a - 1].isalpha() and not text[a - 1].isascii() and not _wide(follows)) and _full_stop_ends(text, unit, a, nxt, lang)
             else:
                 ok = gap or _wide(follows)
         elif mark[-1] in WIDE_ENDS or mark[-1] in OTHER_ENDS:
@@ -331,7 +359,7 @@ def _cut(text: str, start: int, end: int, said: str | None) -> Iterator[tuple[in
         elif not opens:
             ok = False
         elif mark == ".":
-            ok = _full_stop_ends(text, unit, a, nxt, lang, block)
+            ok = _full_stop_ends(text, unit, a, nxt, lang)
         else:
             ok = True
         if ok:
@@ -345,6 +373,8 @@ GLUED = re.compile(r"[\"«„“¿¡(]?[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]*[ ,\n]
 LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 # Closing marks and quotes; » is one only by its place, as are dashes no continuation: both may open what follows.
 PAIR_CLOSERS = frozenset(c for c in CLOSE if regex.match(r"[\p{Pe}\p{Pf}]", c)) | frozenset("\"'")
+AFTER_MARK = "".join(PAIR_CLOSERS) + "   "
+ALL_ENDS = frozenset(TERMINATORS + STOPS + "…‥")
 NEVER_AFTER = frozenset(c for c in CONTINUE if not regex.match(r"\p{Pd}", c)) | (PAIR_CLOSERS - frozenset("\"'’"))
 
 
