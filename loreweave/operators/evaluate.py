@@ -82,7 +82,82 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"ranking": ranking, "retrieval_metrics": retrieval_metrics, "no_answer": no_answer, "threshold_fit": threshold_fit, "latency_percentiles": latency_percentiles}
+def span_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
+    """Records for each query by its three rarest words that stand in names of units of the project: ``query_id``, ``id``, ``path``, ``line_start``, ``line_end``, ``score``, ``rank``."""
+    rx = F.lit(r"([a-z]{4,})")
+    q = judged(spark, d).select(F.col("id").alias("query_id"), "project", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), rx, 1))).alias("word"))
+    c = table(spark, d, "chunks").where("kind = 'code' and func_name is not null").select("id", "project", plain_path(F.col("file_path")).alias("path"), "line_start", "line_end", "func_name").dropDuplicates(["id"])
+    spaced = F.lower(F.regexp_replace("func_name", "([a-z])([A-Z])", "$1 $2"))
+    post = c.select("id", "project", "path", "line_start", "line_end", F.explode(F.array_distinct(F.regexp_extract_all(spaced, rx, 1))).alias("word"))
+    df = post.groupBy("project", "word").agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    hits = q.join(df, ["project", "word"]).withColumn("k", rarest).where("k <= 3").join(post, ["project", "word"])
+    scored = hits.groupBy("query_id", "id", "path", "line_start", "line_end").agg(F.round(F.sum(1.0 / F.col("df")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "id"))
+    return scored.withColumn("rank", rank).where(f"rank <= {top}")
+
+
+def _file_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("kind = 'code'").groupBy("project", plain_path(F.col("file_path")).alias("path")).agg(F.max("line_end").alias("last"))
+
+
+def ranked_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of three methods as line spans: files by path words (the whole file), records by unit names, and both fused by file.
+
+    ``method``, ``query_id``, ``rank``, ``path``, ``a``, ``b``, ``valid``: whether the lines are lines of the file. In the fusion a file has one
+    vote a list, by its first rank; ties go to the path; spans of both lists stand for it, and one that isn't valid makes the hit invalid.
+    """
+    lines, of = _file_lines(spark, d), judged(spark, d).select(F.col("id").alias("query_id"), "project")
+    whole = path_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.lit(1).alias("a"), F.coalesce("last", F.lit(0)).alias("b"), (F.coalesce("last", F.lit(0)) >= 1).alias("valid"))
+    good = F.coalesce((F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")) & (F.col("line_end") <= F.col("last")), F.lit(False))
+    parts = span_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.col("line_start").alias("a"), F.col("line_end").alias("b"), good.alias("valid"))
+    both = whole.withColumn("list", F.lit(1)).unionByName(parts.withColumn("list", F.lit(2)))
+    votes = both.groupBy("query_id", "list", "path").agg(F.min("rank").alias("first"))
+    place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy("first"))
+    fused = votes.withColumn("r", place).groupBy("query_id", "path").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("rrf"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path"))
+    spans = both.groupBy("query_id", "path", "a", "b").agg(F.bool_and("valid").alias("valid"))
+    sound = both.groupBy("query_id", "path").agg(F.bool_and("valid").alias("all_valid"))
+    third = fused.withColumn("rank", order).where("rank <= 5").join(spans, ["query_id", "path"]).join(sound, ["query_id", "path"]).select("query_id", "rank", "path", "a", "b", F.col("all_valid").alias("valid"))
+    tag = lambda rows, name: rows.select(F.lit(name).alias("method"), "query_id", "rank", "path", "a", "b", "valid")
+    return tag(whole, "files").unionByName(tag(parts, "spans")).unionByName(tag(third, "fused"))
+
+
+def fused_ranking(spark: SparkSession, d: str) -> DataFrame:
+    r = ranked_spans(spark, d).where("method = 'fused'")
+    return r.groupBy("query_id", "path").agg(F.min("rank").cast("bigint").alias("rank"), F.count("*").alias("spans"), F.bool_and("valid").alias("valid"))
+
+
+def span_judgements(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """Per method and query: recall within 1, 3 and 5, reciprocal rank, whether a query without answer got none, invalid hits.
+
+    A target is found by a valid hit on its path whose lines overlap the target's lines.
+    """
+    q = first_by(table(spark, d, "dataset").select("id", "relevant", "added_at"), ["id"], -F.coalesce(F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)), F.xxhash64(F.to_json("relevant"))).withColumnRenamed("id", "query_id")
+    methods = hits.select("method").distinct()
+    targets = q.select("query_id", F.posexplode("relevant").alias("t", "r")).select("query_id", "t", plain_path(F.col("r.path")).alias("path"), F.col("r.start_line").alias("s"), F.col("r.end_line").alias("e"))
+    met = targets.join(hits.where("valid"), ["query_id", "path"]).where("a <= e and b >= s").groupBy("method", "query_id", "t").agg(F.min("rank").alias("rank"))
+    each = targets.select("query_id", "t").join(F.broadcast(methods)).join(met, ["method", "query_id", "t"], "left")  # three methods
+    within = lambda k: F.avg((F.coalesce("rank", F.lit(99)) <= k).cast("double")).alias(f"recall_{k}")
+    scores = each.groupBy("method", "query_id").agg(within(1), within(3), within(5), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
+    shown = hits.select("method", "query_id", "rank", "path", "valid").distinct().groupBy("method", "query_id").agg(F.count("*").alias("hits"), F.count_if(~F.col("valid")).alias("invalid"))
+    every = q.select("query_id", (F.coalesce(F.size("relevant"), F.lit(0)) > 0).alias("answerable")).join(F.broadcast(methods))
+    found = every.join(shown, ["method", "query_id"], "left").join(scores, ["method", "query_id"], "left")
+    return found.select("method", "query_id", "answerable", "recall_1", "recall_3", "recall_5", "rr", F.when(~F.col("answerable"), F.col("hits").isNull()).alias("abstained"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+
+
+def span_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The judgements by method and split, with the totals of each method."""
+    rows = span_judgements(spark, d, ranked_spans(spark, d)).join(judged(spark, d).select(F.col("id").alias("query_id"), "split"), "query_id")
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    g = rows.rollup("method", "split").agg(
+        F.count("*").alias("queries"), F.count_if("answerable").alias("answerable"), mean("recall_1"), mean("recall_3"), mean("recall_5"), mean("rr"),
+        F.round(F.avg(F.col("abstained").cast("double")), 6).alias("no_answer_accuracy"), F.sum("invalid").alias("invalid"),
+    )
+    return g.where("method is not null").select("method", F.coalesce("split", F.lit("*")).alias("split"), "queries", "answerable", "recall_1", "recall_3", "recall_5", "rr", "no_answer_accuracy", "invalid")
+
+
+QUERIES = {"ranking": ranking, "retrieval_metrics": retrieval_metrics, "no_answer": no_answer, "threshold_fit": threshold_fit, "latency_percentiles": latency_percentiles, "fused_ranking": fused_ranking, "span_metrics": span_metrics}
 
 _P = r"regexp_replace(regexp_replace(replace({0}, '\', '/'), '/(\./|/)+', '/', 'g'), '^(\./)+', '')"
 _Q = f"""(select id, project, query, coalesce(category, 'unknown') as category, case when lower(trim(split)) like 'train%' then 'training' when lower(trim(split)) like 'dev%' then 'development' when lower(trim(split)) like 'eval%' then 'evaluation' else 'none' end as split,
@@ -97,6 +172,20 @@ _PER = f"""(select id, avg((coalesce(rank, 99) <= 1)::int::double) as recall_1,
   from (select id, unnest(paths) as path from {_Q}) t left join {_RANK} r on r.query_id = t.id and r.path = t.path group by id)"""
 _CUT = f"(select id, split, len(paths) > 0 as answerable, coalesce(score, 0) as score from {_Q} q left join (select query_id, score from {_RANK} where rank = 1) b on b.query_id = q.id)"
 
+_LAST = f"(select project, {_P.format('file_path')} as path, max(line_end) as last from chunks where kind = 'code' group by all)"
+_SPANS = f"""(with q as (select id as query_id, project, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z]{{4,}}'))) as word from {_Q}),
+  c as (select distinct on (id) id, project, {_P.format('file_path')} as path, line_start, line_end, func_name from chunks where kind = 'code' and func_name is not null),
+  post as (select id, project, path, line_start, line_end, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(func_name, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z]{{4,}}'))) as word from c),
+  df as (select project, word, count(*) as df from post group by all), k as (select query_id, project, word, df from q join df using (project, word) qualify row_number() over (partition by query_id order by df, word) <= 3),
+  h as (select query_id, project, id, path, line_start, line_end, round(sum(1.0::double / df), 9) as score from k join post using (project, word) group by all)
+  select * from (select *, row_number() over (partition by query_id order by score desc, path, id)::bigint as rank from h) where rank <= 5)"""
+_HITS = f"""(with whole as (select query_id, rank, path, 1 as a, coalesce(last, 0) as b, coalesce(last, 0) >= 1 as valid, 1 as l from (select r.*, q.project from {_RANK} r join {_Q} q on q.id = r.query_id) left join {_LAST} using (project, path)),
+  parts as (select query_id, rank, path, line_start as a, line_end as b, coalesce(line_start >= 1 and line_start <= line_end and line_end <= last, false) as valid, 2 as l from {_SPANS} left join {_LAST} using (project, path)),
+  both_ as (select * from whole union all select * from parts), v as (select query_id, l, path, row_number() over (partition by query_id, l order by min(rank)) as r from both_ group by query_id, l, path),
+  f as (select query_id, path, row_number() over (partition by query_id order by round(sum(1.0::double / (60 + r)), 9) desc, path)::bigint as rank from v group by query_id, path)
+  select 'files' as method, query_id, rank, path, a, b, valid from whole union all select 'spans', query_id, rank, path, a, b, valid from parts
+  union all select distinct 'fused', query_id, f.rank, path, a, b, bool_and(valid) over (partition by query_id, path) from f join both_ using (query_id, path) where f.rank <= 5)"""
+
 SQL = {
     "ranking": f"select * from {_RANK}",
     "retrieval_metrics": f"""select coalesce(split, '*') as split, coalesce(category, '*') as category, count(*)::bigint as queries, round(avg(recall_1), 6) as recall_1, round(avg(recall_3), 6) as recall_3, round(avg(recall_5), 6) as recall_5, round(avg(rr), 6) as rr
@@ -105,4 +194,13 @@ SQL = {
     "threshold_fit": f"""with r as (select * from {_CUT}), c as (select max(score) as cutoff from r where split = 'development' and not answerable)
       select split, count(*) filter (score > cutoff and answerable)::bigint as accepted, count(*) filter (score <= cutoff and answerable)::bigint as lost, count(*) filter (score > cutoff and not answerable)::bigint as false_accepts, count(*) filter (score <= cutoff and not answerable)::bigint as abstained, round(max(cutoff), 6) as cutoff from r, c group by split""",
     "latency_percentiles": "select event_type, count(value)::bigint as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, round(quantile_cont(value, 0.5), 6) as median, round(avg(value), 6) as mean from events group by event_type",
+    "fused_ranking": f"select query_id, path, min(rank)::bigint as rank, count(*)::bigint as spans, bool_and(valid) as valid from {_HITS} where method = 'fused' group by all",
+    "span_metrics": f"""with h as materialized (select * from {_HITS}), q as (select id as query_id, relevant from dataset qualify row_number() over (partition by id order by added_at desc nulls last) = 1), m as (select unnest(['files', 'spans', 'fused']) as method),
+      t as (select query_id, i as t, {_P.format('r.path')} as path, r.start_line as s, r.end_line as e from (select query_id, i, relevant[i] as r from (select query_id, relevant, unnest(range(1, len(relevant) + 1)) as i from q))),
+      met as (select method, query_id, t, min(rank) as rank from t join h using (query_id, path) where valid and a <= e and b >= s group by all),
+      sc as (select method, query_id, avg((coalesce(rank, 99) <= 1)::int::double) as r1, avg((coalesce(rank, 99) <= 3)::int::double) as r3, avg((coalesce(rank, 99) <= 5)::int::double) as r5, coalesce(1.0::double / min(rank), 0) as rr from (select * from t, m) left join met using (method, query_id, t) group by all),
+      sh as (select method, query_id, count(*) as hits, count(*) filter (not valid) as invalid from (select distinct method, query_id, rank, path, valid from h) group by all),
+      x as (select method, query_id, coalesce(len(relevant), 0) > 0 as answerable, r1, r3, r5, rr, case when coalesce(len(relevant), 0) = 0 then hits is null end as abstained, coalesce(invalid, 0) as invalid from (select * from q, m) left join sh using (method, query_id) left join sc using (method, query_id))
+      select method, coalesce(split, '*') as split, count(*)::bigint as queries, count(*) filter (answerable)::bigint as answerable, round(avg(r1), 6) as recall_1, round(avg(r3), 6) as recall_3, round(avg(r5), 6) as recall_5, round(avg(rr), 6) as rr, round(avg(abstained::int::double), 6) as no_answer_accuracy, sum(invalid)::bigint as invalid
+      from x join (select id as query_id, split from {_Q}) using (query_id) group by rollup (method, split) having method is not null""",
 }
