@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
-from ..session import first_by, table
+from ..session import first_by, range_blocks, table
 
 SPLITS = {"train": "training", "dev": "development", "eval": "evaluation"}
 
@@ -75,11 +75,28 @@ def threshold_fit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def order_statistics(df: DataFrame, part: str, column: str, places: dict[str, Column]) -> DataFrame:
+    """Per ``part`` the values at 1-based places of the ascending order (columns of the count ``n``), and ``n``; nulls are left out.
+
+    Blocks of the order are counted, and only blocks that hold a place are numbered, so no task holds all values of a part.
+    """
+    placed = range_blocks(df.where(F.col(column).isNotNull()).select(part, column), [part, column])
+    counts = placed.groupBy(part, "_block").agg(F.count("*").alias("c"))  # a row per part and block
+    w = Window.partitionBy(part)
+    spans = counts.withColumn("before", F.coalesce(F.sum("c").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(w))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("at")) for name, at in places.items()]))
+    there = spans.select(part, "_block", "before", "c", "n", wanted.alias("x")).where("before < x.at and x.at <= before + c").select(part, "_block", "n", "x.name", (F.col("x.at") - F.col("before")).alias("k"))
+    hit = placed.join(there.select(part, "_block").distinct(), [part, "_block"], "left_semi")
+    numbered = hit.withColumn("k", F.row_number().over(Window.partitionBy(part, "_block").orderBy(column)))
+    return numbered.join(there, [part, "_block", "k"]).groupBy(part).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col(column))).alias(name) for name in places])
+
+
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles, interpolated median and mean of the measured values by type."""
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.count("value").alias("n"), F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean")
-    )
+    e, n = table(spark, d, "events").select("event_type", "value"), F.col("n")
+    at = order_statistics(e, "event_type", "value", {"p50": F.ceil(n * 0.5), "p95": F.ceil(n * 0.95), "low": F.floor((n - 1) / 2) + 1, "high": F.ceil((n - 1) / 2) + 1})
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return mean.join(at, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"), "p50", "p95", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "mean")
 
 
 def span_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import range_blocks, table
@@ -26,7 +29,7 @@ def accepted(df: DataFrame, keys: list[str], at: str, ident: str, seconds: int =
     """Rows that come at least ``seconds`` after the last accepted row of their key.
 
     A row that far from the row before it is accepted whatever came earlier, so the order splits into runs
-    there and only the rows of one run are folded.
+    there and only the rows of one run are folded, as a stream in order. Null keys or times must be left out before.
     """
     rows = with_previous(df.select(*keys, at, ident), keys, at, [ident])
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -39,14 +42,21 @@ def accepted(df: DataFrame, keys: list[str], at: str, ident: str, seconds: int =
     ends = local.groupBy(*keys, "_block").agg(F.max("_run").alias("_last"))
     before = ends.withColumn("_before", F.max("_last").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
     runs = local.join(before, [*keys, "_block"]).withColumn("_run", F.coalesce("_run", "_before"))
-    single = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(us(at).alias("t"), F.col(ident).alias("i")))).alias("xs"))
-    empty = F.expr(f"cast(struct(cast(null as bigint) as last, array() as ids) as struct<last:bigint,ids:array<{df.schema[ident].dataType.simpleString()}>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        take = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds * 1_000_000)
-        return F.when(take, F.struct(x["t"].alias("last"), F.concat(acc["ids"], F.array(x["i"])).alias("ids"))).otherwise(acc)
-
-    return single.select(*keys, F.explode(F.aggregate("xs", empty, step)["ids"]).alias(ident))
+    order = [*keys, "_run", "_us", ident]
+    sorted_runs = runs.select(*keys, us("_run").alias("_run"), us(at).alias("_us"), ident).repartition(*keys, "_run").sortWithinPartitions(*order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, 0  # carried from batch to batch: a run of any length is a stream
+        for pdf in batches:
+            keep = []
+            for *this, now in pdf[[*keys, "_run", "_us"]].itertuples(index=False, name=None):
+                fresh = this != run or now - last >= seconds * 1_000_000
+                if fresh:
+                    run, last = this, now
+                keep.append(fresh)
+            yield pdf.loc[keep, [*keys, ident]]
+
+    return sorted_runs.mapInPandas(fold, df.select(*keys, ident).schema)
 
 
 def dedupe_60s(spark: SparkSession, d: str) -> DataFrame:

@@ -86,7 +86,8 @@ def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.
     sizes can't meet.
     """
     classes = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("h")).agg(F.min(key).alias(key), F.first(text).alias(text))
-    sets = shingle_sets(classes, key, text)
+    checkpoints(docs.sparkSession)
+    sets = shingle_sets(classes, key, text).checkpoint()
     # outer, as the arrays are never empty: an inner one adds a filter that computes them a second time
     flat = sets.select(key, F.size("s").alias("n"), F.explode_outer("s").alias("x"))
     rarity = flat.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
@@ -105,6 +106,13 @@ def find_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pages(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def edited_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and copies of them without their first line (ids below zero): the pairs that stay similar."""
+    docs = table(spark, d, "documents").where("text is not null and doc_id is not null").select("doc_id", "text")
+    cut = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.regexp_replace("text", r"\A[^\n]*\n", "").alias("text")).where("text <> ''")
+    return near_duplicate_pages(docs.unionByName(cut), "doc_id", "text")
+
+
 def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document with the class of its exact copies and the size of that class."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -113,7 +121,7 @@ def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "clusters": clusters, "degrees": degrees, "god_nodes": god_nodes, "isolated_pages": isolated_pages, "find_duplicates": find_duplicates, "duplicate_classes": duplicate_classes,
+    "clusters": clusters, "degrees": degrees, "god_nodes": god_nodes, "isolated_pages": isolated_pages, "find_duplicates": find_duplicates, "edited_copies": edited_copies, "duplicate_classes": duplicate_classes,
 }
 
 from .audit import _FILES, _MENTIONS, _PAGES  # noqa: E402
@@ -133,5 +141,7 @@ SQL = {
     "isolated_pages": f"select id, slug from {_PAGES} where id not in (select id from {_MENTIONS} where target in (select target from {_FILES}))",
     "find_duplicates": f"""with f as (select doc_id, n, unnest(s) as x from {_SH}), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by all)
       select a, b, round(i::double / (na + nb - i), 6) as similarity from p where i::double / (na + nb - i) >= 0.8 - 5e-7""",
+    "edited_copies": f"""with f as (select doc_id, n, unnest(s) as x from {_SH.replace("documents", "(select doc_id, text from documents union all select * from (select -doc_id - 1, regexp_replace(text, '" + chr(92) + "A[^" + chr(92) + "n]*" + chr(92) + "n', '') as text from documents) where text <> '')")}),
+      p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by all) select a, b, round(i::double / (na + nb - i), 6) as similarity from p where i::double / (na + nb - i) >= 0.8 - 5e-7""",
     "duplicate_classes": "select doc_id, min(doc_id) over w as class_id, (count(*) over w)::bigint as copies from documents where text is not null window w as (partition by text)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
-from ..session import first_by, table
+from ..session import checkpoints, first_by, running_sum, table
 from ..sources.pages import BUILD, HIDDEN, SENSITIVE, discovery_reason
 
 CUT = "2026-06-01"
@@ -127,20 +127,33 @@ def job_finish(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.when(tries >= 3, "failed").otherwise("retry").alias("state"), tries.cast("bigint").alias("attempts"), F.when(tries < 3, F.col("updated") + F.pow(F.lit(2.0), tries)).alias("next_attempt"))
 
 
-def embed_batches(spark: SparkSession, d: str, most_rows: int = 16, most_chars: int = 20_000) -> DataFrame:
-    """Batches of each project's pages for the embedder, in order of id: as many as fit both limits, at least one. An ordered fold over the few pages of a project."""
-    p = chunks(spark, d, "kind", "project", "content").where("kind = 'wiki'").select("project", "id", F.length("content").alias("n"))
-    ordered = p.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("xs"))
-    empty = F.expr("cast(array() as array<struct<first:bigint,rows:int,chars:int>>)")
+def greedy_batches(rows: DataFrame, part: str, key: str, size: str, most_rows: int, most_size: int) -> DataFrame:
+    """Batches of each part's rows in order of the key, as many rows as fit both limits, at least one: ``part``, ``first``, ``rows``, ``size``.
+
+    Each row knows where a batch that begins with it would end: within ``most_rows`` rows ahead by the running sum. Which rows do begin one follows
+    from the first row of a part by doubling these steps, so a hot part is spread by row number and never one task.
+    """
+    checkpoints(rows.sparkSession)
+    slim = rows.where(F.col(part).isNotNull()).select(F.col(part).alias("p"), F.col(key).alias("k"), F.coalesce(size, F.lit(0)).cast("bigint").alias("s"), F.lit(1).alias("one"))
+    upto = running_sum(running_sum(slim, "p", ["k"], "one", "n"), "p", ["k"], "s", "sum").select("p", "k", "n", "s", "sum").checkpoint()
+    ahead = upto.select("p", "n", F.col("sum").alias("end"))
+    pairs = upto.select("p", (F.col("sum") - F.col("s")).alias("base"), F.col("n").alias("i"), F.explode(F.sequence(F.col("n"), F.col("n") + most_rows - 1)).alias("n")).join(ahead, ["p", "n"])
+    fits = (F.col("end") - F.col("base") <= most_size) | (F.col("n") == F.col("i"))
+    step = pairs.groupBy("p", "i").agg((F.max(F.when(fits, F.col("n"))) + 1).alias("j"), F.max_by(F.col("end") - F.col("base"), F.when(fits, F.col("n"))).alias("total")).checkpoint()
+    jump, begun = step.select("p", "i", "j"), step.where("i = 1").select("p", "i")
+    while True:
+        begun = begun.unionByName(begun.join(jump, ["p", "i"]).select("p", F.col("j").alias("i"))).distinct().checkpoint()
+        jump = jump.join(jump.select("p", F.col("i").alias("j"), F.col("j").alias("k")), ["p", "j"]).select("p", "i", F.col("k").alias("j")).checkpoint()
+        if jump.isEmpty():
+            break
+    starts = step.join(begun, ["p", "i"]).join(upto.select("p", F.col("n").alias("i"), "k"), ["p", "i"])
+    return starts.select(F.col("p").alias(part), F.col("k").alias("first"), (F.col("j") - F.col("i")).alias("rows"), F.col("total").alias("size"))
 
-    def step(acc, x):  # noqa: ANN001, ANN202
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.coalesce((last["rows"] < most_rows) & (last["chars"] + x["n"] <= most_chars), F.lit(False))
-        grown = F.struct(last["first"].alias("first"), (last["rows"] + 1).alias("rows"), (last["chars"] + x["n"]).alias("chars"))
-        fresh = F.struct(x["id"].alias("first"), F.lit(1).alias("rows"), x["n"].alias("chars"))
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
 
-    return ordered.select("project", F.explode(F.aggregate("xs", empty, step)).alias("b")).select("project", F.col("b.first").alias("first_id"), F.col("b.rows").cast("bigint").alias("rows"), F.col("b.chars").cast("bigint").alias("chars"))
+def embed_batches(spark: SparkSession, d: str, most_rows: int = 16, most_chars: int = 20_000) -> DataFrame:
+    """Batches of each project's pages for the embedder, in order of id: as many as fit both limits, at least one."""
+    p = chunks(spark, d, "kind", "project", "content").where("kind = 'wiki'").select("project", "id", F.length("content").alias("n"))
+    return greedy_batches(p, "project", "id", "n", most_rows, most_chars).select("project", F.col("first").alias("first_id"), F.col("rows").cast("bigint").alias("rows"), F.col("size").alias("chars"))
 
 
 def page_index_state(spark: SparkSession, d: str) -> DataFrame:
@@ -222,6 +235,10 @@ SQL = {
       r as (select id, project, pos, {_PATH.format('r.path')} as path, r.start_line as s, r.end_line as e from (select id, project, relevant[i] as r, i::bigint - 1 as pos from (select id, project, relevant, unnest(range(1, len(relevant) + 1)) as i from q))),
       f as (select project, {_P} as path, max(line_end) as last from chunks group by all)
       select id, pos, case when path is null then 'no_path' when last is null then 'unknown_file' when s < 1 or e < s then 'bad_range' when s > last then 'beyond_file' when e > last then 'end_clipped' else 'ok' end as status from r left join f using (project, path)""",
+    "embed_batches": f"""with recursive p as materialized (select project, id, row_number() over (partition by project order by id) as n, coalesce(length(content), 0) as s from {_C} where kind = 'wiki'),
+      f(project, n, first, rows, chars) as (select project, n, id, 1, s from p where n = 1 union all select p.project, p.n, case when f.rows < 16 and f.chars + p.s <= 20000 then f.first else p.id end, case when f.rows < 16 and f.chars + p.s <= 20000 then f.rows + 1 else 1 end,
+        case when f.rows < 16 and f.chars + p.s <= 20000 then f.chars + p.s else p.s end from f join p on p.project = f.project and p.n = f.n + 1)
+      select project, first as first_id, max(rows)::bigint as rows, max(chars)::bigint as chars from f group by all""",
     "job_counts": f"select state, count(*)::bigint as jobs, max(attempts)::bigint as most_attempts, count(distinct path)::bigint as paths from {_J} group by state",
     "failed_pages": f"select path, id, error from {_J} where state = 'failed' and id in (select max(id) from wiki_jobs group by path)",
     "job_queue": f"""select id, path, case when before = key then 'duplicate' when state in ('pending', 'retry') and later <> key then 'superseded' else state end as fate from (select *, lag(key) over w as before, lead(key) over w as later

@@ -161,33 +161,44 @@ def timeline_counts(spark: SparkSession, d: str) -> DataFrame:
     return every.where("day is not null").groupBy(F.split("type", ":")[0].alias("kind"), F.trunc("day", "month").alias("month")).agg(F.count("*").alias("events"))
 
 
-def triage_days(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each project's day and their Jaccard similarity with the day before: what an ordered merge of days starts from."""
+def _day_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Project's days with their number of sessions, and their distinct prompt words, a row each."""
     s = sessions(spark, d).where("session_day is not null")
-    said = F.array_distinct(F.filter(F.flatten(F.collect_list(F.regexp_extract_all(F.lower(F.array_join("prompts", " ")), F.lit(r"([\p{L}\p{N}_]{4,})"), 1))), lambda w: w != ""))
-    days = s.groupBy("project", "session_day").agg(F.count("*").alias("sessions"), said.alias("words"))
-    w = Window.partitionBy("project").orderBy("session_day")
-    both = days.withColumn("old", F.lag("words").over(w)).withColumn("gap", F.datediff("session_day", F.lag("session_day").over(w)))
-    union = F.size(F.array_union("words", "old"))
-    share = F.when((F.col("gap") == 1) & (union > 0), F.round(F.size(F.array_intersect("words", "old")) / union, 6))
-    return both.select("project", "session_day", "sessions", F.size("words").cast("bigint").alias("words"), share.alias("with_day_before"))
+    counts = s.groupBy("project", "session_day").agg(F.count("*").alias("n"))
+    said = s.select("project", "session_day", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join("prompts", " ")), F.lit(r"([\p{L}\p{N}_]{4,})"), 1))).alias("word")).distinct()
+    return counts, said
+
+
+def triage_days(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each project's day and their Jaccard similarity with the day before: what an ordered merge of days starts from. Words are joined, not gathered."""
+    counts, said = _day_words(spark, d)
+    sizes = counts.join(said.groupBy("project", "session_day").agg(F.count("*").alias("words")), ["project", "session_day"], "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    after = lambda rows, *c: rows.select("project", F.date_add("session_day", 1).alias("session_day"), *c)
+    shared = said.join(after(said, "word"), ["project", "session_day", "word"]).groupBy("project", "session_day").agg(F.count("*").alias("shared"))
+    both = sizes.join(after(sizes, F.col("words").alias("old")), ["project", "session_day"], "left").join(shared, ["project", "session_day"], "left")
+    common = F.coalesce("shared", F.lit(0))
+    union = F.col("words") + F.col("old") - common
+    return both.select("project", "session_day", F.col("n").alias("sessions"), "words", F.when(union > 0, F.round(common / union, 6)).alias("with_day_before"))
 
 
 def triage_clusters(spark: SparkSession, d: str, least: float = 0.3) -> DataFrame:
     """Adjacent days of a project merged while the words gathered so far and the day's words overlap by more than ``least``.
 
-    An ordered fold over the days of one project: each state is bounded by the days and words of that project.
+    An ordered fold over a run of days without a gap; its state is bounded by the days of such a run and the vocabulary, not by the rows.
     """
-    s = sessions(spark, d).where("session_day is not null")
-    said = F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower(F.array_join("prompts", " ")), F.lit(r"([\p{L}\p{N}_]{4,})"), 1))))
-    days = s.groupBy("project", "session_day").agg(F.count("*").alias("n"), said.alias("words"))
-    ordered = days.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("session_day", "n", "words"))).alias("days"))
+    counts, said = _day_words(spark, d)
+    w = Window.partitionBy("project").orderBy("session_day")  # a row per day
+    gap = F.datediff("session_day", F.lag("session_day").over(w))
+    runs = counts.withColumn("run", F.sum(F.when(gap == 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    words = said.groupBy("project", "session_day").agg(F.collect_set("word").alias("words"))
+    days = runs.join(words, ["project", "session_day"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    ordered = days.groupBy("project", "run").agg(F.array_sort(F.collect_list(F.struct("session_day", "n", "words"))).alias("days"))
     empty = F.expr("cast(array() as array<struct<first:date,last:date,n:bigint,words:array<string>>>)")
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         union = F.size(F.array_union(last["words"], x["words"]))
-        merge = F.coalesce((F.datediff(x["session_day"], last["last"]) == 1) & (union > 0) & (F.size(F.array_intersect(last["words"], x["words"])) / union > least), F.lit(False))
+        merge = F.coalesce((union > 0) & (F.size(F.array_intersect(last["words"], x["words"])) / union > least), F.lit(False))
         cluster = lambda first, n, words: F.struct(first.alias("first"), x["session_day"].alias("last"), n.alias("n"), words.alias("words"))
         return F.when(
             merge, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(cluster(last["first"], last["n"] + x["n"], F.array_union(last["words"], x["words"]))))
@@ -276,6 +287,10 @@ SQL = {
     "triage_days": f"""with g as (select project, session_day, count(*)::bigint as sessions, {_WORDS} as w from {_S} where session_day is not null group by all),
       l as (select *, lag(w) over p as old, session_day - lag(session_day) over p as gap from g window p as (partition by project order by session_day))
       select project, session_day, sessions, len(w)::bigint as words, case when gap = 1 and len(list_distinct(list_concat(w, old))) > 0 then round(len(list_intersect(w, old))::double / len(list_distinct(list_concat(w, old))), 6) end as with_day_before from l""",
+    "triage_clusters": f"""with recursive g as materialized (select *, row_number() over (partition by project order by d) as r from (select project, session_day as d, count(*)::bigint as n, {_WORDS} as w from {_S} where session_day is not null group by all)),
+      f(project, r, first, last, n, w) as (select project, r, d, d, n, w from g where r = 1 union all select project, r, case when m then first else d end, d, case when m then fn + n else n end, case when m then list_distinct(list_concat(fw, w)) else w end
+        from (select g.*, f.first, f.n as fn, f.w as fw, coalesce(g.d - f.last = 1 and len(list_distinct(list_concat(f.w, g.w))) > 0 and len(list_intersect(f.w, g.w))::double / len(list_distinct(list_concat(f.w, g.w))) > 0.3, false) as m from f join g on g.project = f.project and g.r = f.r + 1))
+      select project, first as first_day, max(last) as last_day, max(n)::bigint as sessions, max(len(w))::bigint as words from f group by project, first""",
     "journal_merge": f"""select coalesce(s.cc_session_id, e.session_id) as cc_session_id, id, coalesce(u, messages_user::bigint) as messages_user, coalesce(a, messages_assistant::bigint) as messages_assistant, case when id is null then 'insert' when u is null then 'keep' else 'update' end as action
       from (select distinct on (cc_session_id) * from {_S} order by cc_session_id, id) s full join (select session_id, count(*) filter (event_type = 'user')::bigint as u, count(*) filter (event_type = 'assistant')::bigint as a from {_EV} group by session_id) e on s.cc_session_id = e.session_id""",
 }

@@ -22,7 +22,7 @@ def duck(sf_dir):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) <= {"triage_clusters", "embed_batches", "code_facts", "called_symbols"}
+    assert set(QUERIES) - set(SQL) <= {"code_facts", "called_symbols"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
