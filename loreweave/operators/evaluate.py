@@ -80,15 +80,16 @@ def order_statistics(df: DataFrame, part: str, column: str, places: dict[str, Co
 
     Blocks of the order are counted, and only blocks that hold a place are numbered, so no task holds all values of a part.
     """
-    placed = range_blocks(df.where(F.col(column).isNotNull()).select(part, column), [part, column])
-    counts = placed.groupBy(part, "_block").agg(F.count("*").alias("c"))  # a row per part and block
-    w = Window.partitionBy(part)
+    placed = range_blocks(df.where(F.col(column).isNotNull()).select(F.col(part).alias("_p"), F.col(column).alias("_v")), ["_p", "_v"])
+    counts = placed.groupBy("_p", "_block").agg(F.count("*").alias("c"))  # a row per part and block
+    w = Window.partitionBy("_p")
     spans = counts.withColumn("before", F.coalesce(F.sum("c").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(w))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("bigint").alias("at")) for name, at in places.items()]))
-    there = spans.select(part, "_block", "before", "c", "n", wanted.alias("x")).where("before < x.at and x.at <= before + c").select(part, "_block", "n", "x.name", (F.col("x.at") - F.col("before")).alias("k"))
-    hit = placed.join(there.select(part, "_block").distinct(), [part, "_block"], "left_semi")
-    numbered = hit.withColumn("k", F.row_number().over(Window.partitionBy(part, "_block").orderBy(column)))
-    return numbered.join(there, [part, "_block", "k"]).groupBy(part).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col(column))).alias(name) for name in places])
+    there = spans.select("_p", "_block", "before", "c", "n", wanted.alias("x")).where("before < x.at and x.at <= before + c").select("_p", "_block", "n", "x.name", (F.col("x.at") - F.col("before")).alias("_k"))
+    hit = placed.join(there.select("_p", "_block").distinct(), ["_p", "_block"], "left_semi")
+    numbered = hit.withColumn("_k", F.row_number().over(Window.partitionBy("_p", "_block").orderBy("_v")))
+    found = numbered.join(there, ["_p", "_block", "_k"]).groupBy(F.col("_p").alias(part))
+    return found.agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:

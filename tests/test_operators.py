@@ -147,11 +147,12 @@ def test_bad_vectors_are_left_out(spark):
     assert [r.id for r in vectors.valid_vectors(df, "v", 2).collect()] == [1]
 
 
-def test_knn_in_several_passes(spark, monkeypatch):
+def test_knn_in_several_blocks(spark, monkeypatch):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(90)], "i long, v array<double>").repartition(5)
     whole = sorted(map(tuple, vectors.knn(df, df.where("i % 3 = 0"), "i", "v", 3).select("query_id", "neighbour", "rank").collect()))
-    monkeypatch.setattr(vectors, "PASS_QUERIES", 7)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "DATA_ROWS", 20)
     assert sorted(map(tuple, vectors.knn(df, df.where("i % 3 = 0"), "i", "v", 3).select("query_id", "neighbour", "rank").collect())) == whole
     assert len(whole) == 90
     assert vectors.knn(df, df.where("i < 0"), "i", "v", 3).count() == 0
