@@ -69,3 +69,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         F.round(F.coalesce("mix_tokens", F.lit(0)) / F.sum("mix_tokens").over(Window.partitionBy(F.lit(1))), 6).alias("reached_share"),
     )
     return out, report
+
+
+def mix_check(report: DataFrame) -> DataFrame:
+    """Per source with documents: how many, whether the cap on repeats holds, and whether the source's tokens in the mix are as many as its share says."""
+    every = Window.partitionBy(F.lit(1))  # a row per source
+    share = F.abs(F.col("reached_share") - F.col("mix_tokens") / F.sum("mix_tokens").over(every)) < 1e-5
+    return report.withColumn("adds_up", share).where("documents > 0").select("source", "documents", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_caps"), "adds_up")

@@ -312,3 +312,12 @@ def overlap_report(dataset: DataFrame) -> DataFrame:
         rows.where("side <> 'training'").join(hit, "cid", "left").groupBy(F.col("side").alias("split"), "source")
         .agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
     )
+
+
+def exact_overlaps(dataset: DataFrame) -> DataFrame:
+    """Those of the overlapping record pairs whose questions are the same but for case and white space."""
+    said = latest(dataset.where("id is not null").select("id", "query", "added_at", "split"), ["id"], [F.coalesce(-F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)), F.xxhash64("query", "split")])
+    plain = said.select("id", F.lower(F.trim(F.regexp_replace("query", r"\s+", " "))).alias("q"))
+    pairs = overlapping_records(dataset).select("id_a", "id_b")
+    both = pairs.join(plain.select(F.col("id").alias("id_a"), F.col("q").alias("qa")), "id_a").join(plain.select(F.col("id").alias("id_b"), F.col("q").alias("qb")), "id_b")
+    return both.where("qa = qb").select("id_a", "id_b")

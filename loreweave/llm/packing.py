@@ -131,3 +131,10 @@ def pack_report(packed: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("packs"), F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
         .withColumn("fill", F.round(F.col("tokens") / (F.col("packs") * F.col("capacity_tokens")), 6))
     )
+
+
+def pack_check(packed: DataFrame) -> DataFrame:
+    """Per capacity: texts and characters in packs, and packs over their capacity."""
+    over = packed.groupBy("pack_name", "capacity_tokens", "pack_id").agg(F.sum("n_tokens").alias("t")).groupBy("pack_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("over"))
+    held = packed.groupBy("pack_name", "doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("chars")).groupBy("pack_name").agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"))
+    return held.join(over, "pack_name").select("pack_name", "texts", "chars", "over")

@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread
@@ -293,7 +293,7 @@ def pieces(text: str, kind: str | None, lang: str | None, path: str | None, max_
     return out
 
 
-def _big(chunks: DataFrame, max_chars: int, max_lines: int):
+def _big(chunks: DataFrame, max_chars: int, max_lines: int) -> Column:
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + F.when(F.col("content").endswith("\n"), 0).otherwise(1)
     return (F.length("content") > max_chars) | (lines > max_lines)
 
@@ -343,3 +343,11 @@ def split_oversized(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: in
         F.lit(None).cast("int").alias("col_start"), F.lit(None).cast("int").alias("col_end"), "func_name", "content", F.lit(0).alias("shared_lines"), F.lit(0).alias("shared_chars"),
     )
     return spread(base.where(big), "id").mapInPandas(cut, schema).unionByName(small).dropDuplicates(once)
+
+
+def reassembled(pieces_: DataFrame) -> DataFrame:
+    """The contents again from their pieces (``id``, ``content``), shared lines and characters taken out, and whether every piece was within the limits."""
+    lines = F.concat(F.lit(r"(?s)\A(?:[^\n]*\n){"), F.col("shared_lines").cast("string"), F.lit("}"))
+    own = F.substring(F.regexp_replace("content", lines, F.lit("")), F.col("shared_chars") + 1, F.length("content"))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own"))))  # the pieces of one record
+    return pieces_.where("content is not null").groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["own"]), "").alias("content"), F.bool_and(~_big(pieces_, MAX_CHARS, MAX_LINES) | (F.col("content") == "")).alias("within"))
