@@ -41,6 +41,14 @@ def test_rules(spark):
     assert C.dropped_sessions(df.limit(0)).count() == 0
 
 
+def test_edits_deletes_and_retries(spark):
+    rows = [("e", 1, "user", "hi", 1), ("e", 2, "assistant", "no", 1), ("e", 2, "assistant", "yes", 2), ("d", 1, "user", "hi", 1), ("d", 2, "assistant", "ok", 1), ("d", 3, "user", "x", 1), ("d", 3, "user", None, 2), ("r", 1, "user", "hi", 1), ("r", 1, "user", "hi", 1), ("r", 1, "user", "hi", 3), ("r", 2, "assistant", "ok", 2), ("u", 1, "user", "hi", 2), ("u", 2, "assistant", "ok", 2), ("u", 2, "assistant", " ", 3)]
+    df = spark.createDataFrame([(i, s, s, n, role, f"2026-01-01T00:0{n}:00Z", (role, text), None, 0, 0, at) for i, (s, n, role, text, at) in enumerate(rows)], SCHEMA + ", sent int")
+    df = df.withColumn("received_at", F.timestamp_seconds("sent").cast("timestamp_ntz"))
+    assert [tuple(r) for r in C.conversations(df).select("session_id", "turn_no", "content").orderBy("session_id", "turn_no").collect()] == [("d", 1, "hi"), ("d", 2, "ok"), ("e", 1, "hi"), ("e", 2, "yes"), ("r", 1, "hi"), ("r", 2, "ok")]
+    assert [r.session_id for r in C.dropped_sessions(df).collect()] == ["u"]
+
+
 def test_hot_session_against_a_fold(spark):
     rng = random.Random(8)
     sessions = {"hot": [(rng.choice(["user", "assistant", "assistant"]), rng.choice(["x", "y", " ", None])) for _ in range(59)]}

@@ -60,6 +60,9 @@ def test_packs(spark, docs):
             assert [p.part_no for p in parts] == list(range(1, len(parts) + 1))
             assert "".join(texts[d][p.start_pos : p.end_pos] for p in parts) == texts[d]
             assert len(parts) == 1 or sum(p.n_tokens for p in parts) > capacity
+    # whatever the number of blocks, every item is in one pack and little room is left
+    fills = [packing.pack_report(packing.pack_documents(docs, sizes, blocks=n)).where("pack_name = 's'").first() for n in (1, 20)]
+    assert fills[0].tokens == fills[1].tokens and fills[1].fill > 0.95 * fills[0].fill
     assert packing.pack_documents(docs.limit(0), sizes).count() == 0
     assert packing.pack_documents(docs, sizes.limit(0)).count() == 0
     assert {r.pack_name for r in packing.pack_report(packing.pack_documents(docs, sizes)).collect()} == {"s", "l"}
