@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> function of session and directory) and ``SQL`` (name -> statement).
-MODULES: tuple[str, ...] = tuple(f"loreweave.operators.{m}" for m in ("search", "audit", "links", "code", "graph", "vectors", "semantic", "journal", "roadmap", "merges", "journal_text", "selection", "index", "evaluate", "events"))
+MODULES: tuple[str, ...] = tuple(f"loreweave.operators.{m}" for m in ("search", "audit", "links", "code", "graph", "vectors", "semantic", "journal", "roadmap", "merges", "journal_text", "selection", "reports", "index", "evaluate", "events"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
