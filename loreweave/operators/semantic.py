@@ -114,7 +114,7 @@ def semantic_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     v = record_vectors(spark, d)
-    return knn(v, v.where(f"id % {QUERY_EVERY} = 0"), "id", "vec", k).checkpoint()
+    return knn(v, v.where(f"id % {QUERY_EVERY} = 0"), "id", "vec", k, digits=9).checkpoint()
 
 
 def record_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def file_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def _text_neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Records next to texts: every hundredth text against all records of all kinds."""
-    return knn(record_vectors(spark, d).withColumnRenamed("id", "rid"), text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0"), "rid", "vec", k, own="doc_id")
+    return knn(record_vectors(spark, d).withColumnRenamed("id", "rid"), text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0"), "rid", "vec", k, own="doc_id", digits=9)
 
 
 def anchors(spark: SparkSession, d: str, k: int = 6, least: float = 0.3, most: int = 3) -> DataFrame:
@@ -193,7 +193,7 @@ _RV = f"(select id, kind, project, path, plain as lang, vec from {_vec('(select
 _QV = lambda q: _vec(f"(select 0 as id, '{q}' as t)")
 _NEAR = "(select v.*, round(list_dot_product(v.vec, q.vec) / sqrt(list_dot_product(v.vec, v.vec) * list_dot_product(q.vec, q.vec)), 6) as score from {0} v, {1} q)"
 _SHOWN = lambda where, k, least: f"select id, s.kind, s.lang, s.path, func_name, score, md5(trim(replace(substr(content, 1, 200), chr(10), ' '))) as preview_md5 from (select * from {_NEAR.format(_RV, _QV(QUESTION))} where {where} and score >= {least} order by score desc, id limit {k}) s join (select distinct on (id) id, func_name, content from chunks) using (id)"
-_COS = "list_dot_product(q.vec, e.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(e.vec, e.vec))"
+_COS = "round(list_dot_product(q.vec, e.vec) / sqrt(list_dot_product(q.vec, q.vec) * list_dot_product(e.vec, e.vec)), 9)"
 _KNN = lambda k: f"(with v as materialized (select id, vec from {_RV}) select * from (select *, row_number() over (partition by query_id order by score desc, neighbour)::bigint as rank from (select q.id as query_id, e.id as neighbour, {_COS} as score from v q join v e on q.id % 100 = 0 and e.id <> q.id)) where rank <= {k})"
 _TKNN = lambda k: f"(with v as materialized (select id, vec from {_RV}), q as materialized {_vec('(select doc_id as id, text as t from documents where text is not null and doc_id % 100 = 0)')} select * from (select *, row_number() over (partition by query_id order by score desc, neighbour)::bigint as rank from (select q.id as query_id, e.id as neighbour, {_COS} as score from q, v e)) where rank <= {k})"
 _KWC = " + ".join(f"(length(t) - length(replace(t, '{k}', ''))) // {len(k)}" for k in KEYWORDS)

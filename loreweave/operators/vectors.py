@@ -26,12 +26,12 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def knn(data: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least: float = -2.0, own: str | None = None) -> DataFrame:
+def knn(data: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least: float = -2.0, own: str | None = None, digits: int | None = None) -> DataFrame:
     """The ``k`` nearest rows by cosine of every query, itself left out: ``query_id``, ``neighbour``, ``score``, ``rank``; ties by key.
 
     Blocks of queries meet blocks of data as groups of one join, so nothing passes through the driver and no task holds more than a block of
     each; what is shuffled on is k rows a query and block. ``own`` names the queries' key where they come from another table
-    (then no row is left out). Null keys are left out.
+    (then no row is left out). ``digits`` rounds scores before they are ranked, for vectors of whole numbers, whose scores tie often. Null keys are left out.
     """
     name = own or key
     d, q = data.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(vec).alias("_v")), queries.where(F.col(name).isNotNull()).select(F.col(name).alias("_k"), F.col(vec).alias("_v"))
@@ -48,6 +48,8 @@ def knn(data: DataFrame, queries: DataFrame, key: str, vec: str, k: int, least:
             ids, keys, x, y = asked["_k"].to_numpy(), rows["_k"].to_numpy(), _unit(rows["_v"]), _unit(asked["_v"])
             for at in range(0, len(ids), 1024):
                 s = y[at : at + 1024] @ x.T
+                if digits is not None:
+                    s = np.round(s, digits)
                 if own is None:
                     s[ids[at : at + 1024, None] == keys[None, :]] = -3.0
                 m = min(k, s.shape[1])
