@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A word boundary between ASCII letters, digits or underscores and anything else, also beside letters of unspaced scripts.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 WORD = r"([\p{L}\p{N}_]{3,})"
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import body, front_matter, header_field, page_slug, plain_path, slugify, stem, token_estimate
+from ..functions.text import EDGE, body, front_matter, header_field, page_slug, plain_path, slugify, stem, token_estimate
 from ..session import running_sum, sized_broadcast, table
 
 TODAY = "2026-11-01"
-FILE_MENTION = r"\b([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h|md|yaml))\b"
+FILE_MENTION = EDGE + r"([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h|md|yaml))" + EDGE
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ def wiki_tree(spark: SparkSession, d: str, most: int = 5) -> DataFrame:
 
 def rename_preview(spark: SparkSession, d: str, old: str = "crop_thread.yaml", new: str = "crop_thread_v2.yaml") -> DataFrame:
     """Dry run of renaming a link target: pages, replacements, and the revision of each rewritten page."""
-    rx = r"\b" + old.replace(".", r"\.") + r"\b"
+    rx = EDGE + old.replace(".", r"\.") + EDGE
     p = pages(spark, d).where(F.col("content").contains(old))
     rewritten = F.regexp_replace("content", rx, new)
     return p.select("id", "slug", F.regexp_count("content", F.lit(rx)).cast("bigint").alias("replacements"), F.sha2(rewritten, 256).alias("revision")).where("replacements > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import body, duration_seconds, duration_text, front_matter, header_field, slugify, without_comments
+from ..functions.text import EDGE, body, duration_seconds, duration_text, front_matter, header_field, slugify, without_comments
 from ..session import first_by, table
 from .audit import pages
 from .journal import sessions
@@ -150,9 +150,9 @@ def skill_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 def invocations(spark: SparkSession, d: str) -> DataFrame:
     """Script calls in message texts by script: how many, in how many sessions."""
-    words = F.regexp_extract_all(F.coalesce("message.content", F.lit("")), F.lit(r"\b(?:python3?|bash|sh|node)\s+(?:\S*/)?([\w.-]+\.(?:py|sh|js))"), 1)
+    words = F.regexp_extract_all(F.coalesce("message.content", F.lit("")), F.lit(EDGE + r"(?:python3?|bash|sh|node)\s+(?:\S*/)?([\w.-]+\.(?:py|sh|js))"), 1)
     t = table(spark, d, "transcript").select("session_id", "transcript_path", "line_no", F.explode(F.array_distinct(words)).alias("script")).distinct()
-    named = F.regexp_extract_all(F.coalesce("message.content", F.lit("")), F.lit(r"\b([a-z]+_[a-z]+\.(?:py|sh|js|ts|go|rs))\b"), 1)
+    named = F.regexp_extract_all(F.coalesce("message.content", F.lit("")), F.lit(EDGE + r"([a-z]+_[a-z]+\.(?:py|sh|js|ts|go|rs))" + EDGE), 1)
     m = table(spark, d, "transcript").select("session_id", "transcript_path", "line_no", F.explode(F.array_distinct(named)).alias("script")).distinct()
     count = lambda x, how: x.groupBy("script").agg(F.count("*").alias("rows"), F.countDistinct("session_id").alias("sessions")).withColumn("how", F.lit(how))
     return count(t, "called").unionByName(count(m, "named"))

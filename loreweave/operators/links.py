@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import page_slug, plain_path
+from ..functions.text import EDGE, page_slug, plain_path
 from ..session import checkpoints, table
 from .audit import pages
 from .graph import connected_components
 
 WIKILINK = r"\[\[([^\]|#]+)(?:#([^\]|]*))?(?:\|([^\]]*))?\]\]"
-MENTION = r"\b([A-Za-z0-9_-]+)\.(py|go|ts|js|rs|rb|java|sh|c|h|md|yaml)\b"
+FILE_NAME = r"([A-Za-z0-9_-]+)\.(py|go|ts|js|rs|rb|java|sh|c|h|md|yaml)"
+MENTION = EDGE + FILE_NAME + EDGE
 # Pages that list others; their links are no reason to keep a page, and nothing needs to link to them.
 SPECIAL = ("index", "log", "overview")
 
@@ -176,7 +177,7 @@ QUERIES = {
 
 from .audit import _PAGES, _PATH  # noqa: E402
 
-_LP = rf"""(select id, slug, type, folder, regexp_replace(body, '{MENTION}', '[[\1#\2|\1.\2]]', 'g') || chr(10) || chr(10) || 'See also ' ||
+_LP = rf"""(select id, slug, type, folder, regexp_replace(body, '\b{FILE_NAME}\b', '[[\1#\2|\1.\2]]', 'g') || chr(10) || chr(10) || 'See also ' ||
   concat_ws(', ', '[[' || stem || ']]', array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(tags, '^\[|\]$', '', 'g'), ','), lambda t: trim(t)), lambda t: t <> ''), lambda t: '[[' || t || ']]'), ', ')) as body from {_PAGES})"""
 _WL = rf"""(select slug, line_no, line, nullif(trim(regexp_extract(raw, '{WIKILINK}', 1)), '') as target, nullif(trim(regexp_extract(raw, '{WIKILINK}', 2)), '') as anchor, nullif(trim(regexp_extract(raw, '{WIKILINK}', 3)), '') as label
   from (select slug, i::bigint as line_no, ls[i] as line, unnest(regexp_extract_all(ls[i], '{WIKILINK}', 0)) as raw from (select slug, ls, unnest(range(1, len(ls) + 1)) as i from (select slug, regexp_split_to_array(body, '\r?\n') as ls from {_LP}))))"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..functions.text import plain_path
+from ..functions.text import EDGE, plain_path
 from ..session import checkpoints, first_by, nth, table
 from .graph import connected_components
 from .search import _CODE, _WIKI, BUCKETS, KEYWORDS, QUESTION, keyword_topk, ranked, rrf  # noqa: F401
@@ -152,7 +152,7 @@ def isolated_texts(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame
     """Queried texts that name no indexed file and have no record as near as ``least``."""
     q = text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0").select("doc_id")
     near = _text_neighbours(spark, d, 1).where(F.col("score") >= least).select(F.col("query_id").alias("doc_id"))
-    names = table(spark, d, "documents").where(f"doc_id % {QUERY_EVERY} = 0").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h))\b"), 1)).alias("name"))
+    names = table(spark, d, "documents").where(f"doc_id % {QUERY_EVERY} = 0").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EDGE + r"([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h))" + EDGE), 1)).alias("name"))
     files = table(spark, d, "chunks").select(F.regexp_extract(plain_path(F.col("file_path")), r"([^/]*)$", 1).alias("name")).distinct()
     return q.join(near, "doc_id", "left_anti").join(names.join(files, "name").select("doc_id"), "doc_id", "left_anti")
 
