@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import first_line_with, keyword_score, lower_score, plain_path, words
 from ..session import table
@@ -110,29 +117,42 @@ def mock_embed(spark: SparkSession, d: str) -> DataFrame:
     return mock_vectors(_distinct_docs(spark, d), "doc_id", "text").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("bigint").alias("value"))
 
 
-def _mock_query(spark: SparkSession, question: str) -> DataFrame:
-    return mock_vectors(spark.range(1).select(F.col("id"), F.lit(question).alias("text")), "id", "text").select("bucket", F.col("value").alias("q"))
+SPACES = re.compile(r"[ \t\n\f\r\v]+")
+
+
+@lru_cache(200_000)
+def _bucket(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()
+    return h[15] % BUCKETS, 1 if h[14] % 2 == 1 else -1
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def dense_vector(texts: pd.Series) -> pd.Series:
+    """The offline embedding of texts, not normed; null where there is no word or all signs cancel."""
+
+    def one(text: str | None) -> np.ndarray | None:
+        out = np.zeros(BUCKETS, dtype=np.float32)
+        for word in SPACES.split((text or "").lower()):
+            if word:
+                b, s = _bucket(word)
+                out[b] += s
+        return out if out.any() else None
 
+    return texts.map(one)
 
-def mock_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by cosine of the mock vectors to the question; the 20 best."""
-    v = mock_vectors(_distinct_docs(spark, d), "doc_id", "text")
-    q = F.broadcast(_mock_query(spark, QUESTION))  # at most 64 rows
-    dots = v.join(q, "bucket", "left").groupBy("doc_id").agg(F.sum(F.col("value") * F.coalesce("q", F.lit(0))).alias("dot"), F.sum(F.col("value") * F.col("value")).alias("norm2"))
-    qn = F.lit(float(sum(x * x for x in _query_values())))
-    cosine = F.round(F.col("dot") / F.sqrt(F.col("norm2") * qn), 6)
-    return dots.select("doc_id", cosine.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
+def nearest_to_question(vectors: DataFrame, key: str, k: int, least: float, question: str = QUESTION) -> DataFrame:
+    """Rows by cosine to one question: dot and norm inside the row, no shuffle but the top k."""
+    q = vectors.sparkSession.range(1).select(dense_vector(F.lit(question)).alias("q"))  # one row
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    scored = vectors.join(F.broadcast(q)).withColumn("score", F.round(dot("vec", "q") / F.sqrt(dot("vec", "vec") * dot("q", "q")), 6)).drop("q")
+    return scored.where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
 
-def _query_values() -> list[int]:
-    import hashlib
-    from collections import Counter
 
-    found: Counter = Counter()
-    for w in QUESTION.lower().split():
-        h = hashlib.md5(w.encode()).digest()
-        found[h[15] % BUCKETS] += 1 if h[14] % 2 == 1 else -1
-    return list(found.values())
+def mock_search(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    """Documents by cosine of the mock vectors to the question; the ``k`` best."""
+    v = _distinct_docs(spark, d).select("doc_id", dense_vector("text").alias("vec")).where("vec is not null")
+    return nearest_to_question(v, "doc_id", k, -1.0).select("doc_id", "score")
 
 
 def rrf(a: DataFrame, b: DataFrame, key: str, k: int = 60, wa: float = 1.0, wb: float = 1.0) -> DataFrame:
@@ -148,7 +168,7 @@ def ranked(top: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword and mock-vector channels, 30 each, fused; which channel found a page stands beside it."""
+    """Keyword and mock-vector channels, 30 and 20 of them, fused; which channel found a page stands beside it. ``hybrid_records`` takes a pool by the limit."""
     docs = _distinct_docs(spark, d).select("doc_id", "text")
     words_ = ranked(keyword_topk(docs, "text", KEYWORDS, ["doc_id"], 30).select("doc_id", "score"), F.desc("score"), "doc_id")
     vectors = ranked(mock_search(spark, d), F.desc("score"), "doc_id")

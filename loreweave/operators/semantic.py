@@ -6,46 +6,15 @@ has no vector and is no hit. The filters come before the top k, so k rows come o
 
 from __future__ import annotations
 
-import hashlib
-import re
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import EDGE, plain_path
 from ..session import checkpoints, first_by, nth, table
 from .graph import connected_components
-from .search import _CODE, _WIKI, BUCKETS, KEYWORDS, QUESTION, keyword_topk, ranked, rrf  # noqa: F401
+from .search import KEYWORDS, QUESTION, dense_vector, keyword_topk, nearest_to_question, ranked, rrf
 from .vectors import QUERY_EVERY, knn
 
-SPACES = re.compile(r"[ \t\n\f\r\v]+")
-
-
-@lru_cache(200_000)
-def _bucket(word: str) -> tuple[int, int]:
-    h = hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()
-    return h[15] % BUCKETS, 1 if h[14] % 2 == 1 else -1
-
-
-@F.pandas_udf(ArrayType(FloatType()))
-def dense_vector(texts: pd.Series) -> pd.Series:
-    """The offline embedding of texts, not normed; null where there is no word or all signs cancel."""
-
-    def one(text: str | None) -> np.ndarray | None:
-        out = np.zeros(BUCKETS, dtype=np.float32)
-        for word in SPACES.split((text or "").lower()):
-            if word:
-                b, s = _bucket(word)
-                out[b] += s
-        return out if out.any() else None
-
-    return texts.map(one)
-
-
 def record_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors of the index records with what filters need; no texts. Repeated rows count once."""
     checkpoints(spark)
@@ -63,14 +32,6 @@ def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("bigint").alias("value"))
 
 
-def nearest_to_question(vectors: DataFrame, key: str, k: int, least: float, question: str = QUESTION) -> DataFrame:
-    """Rows by cosine to one question: dot and norm inside the row, no shuffle but the top k."""
-    q = vectors.sparkSession.range(1).select(dense_vector(F.lit(question)).alias("q"))  # one row
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(F.broadcast(q)).withColumn("score", F.round(dot("vec", "q") / F.sqrt(dot("vec", "vec") * dot("q", "q")), 6)).drop("q")
-    return scored.where(F.col("score") >= least).orderBy(F.desc("score"), key).limit(k)
-
-
 def with_payload(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """Hits with what a reader is shown; records that left the index meanwhile vanish."""
     c = table(spark, d, "chunks").select("id", "func_name", "line_start", "line_end", F.trim(F.regexp_replace(F.substring("content", 1, 200), r"\n", " ")).alias("preview"))
@@ -142,8 +103,6 @@ def _text_neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
 def anchors(spark: SparkSession, d: str, k: int = 6, least: float = 0.3, most: int = 3) -> DataFrame:
     """Code that texts lean on: among the nearest records of all kinds, the first ``most`` code records with the score."""
     n = _text_neighbours(spark, d, k).join(record_vectors(spark, d).where("kind = 'code'").select(F.col("id").alias("neighbour"), "path"), "neighbour").where(F.col("score") >= least)
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return n.withColumn("place", place.cast("bigint")).where(f"place <= {most}").select(F.col("query_id").alias("doc_id"), "neighbour", "path", F.round("score", 6).alias("score"), "place")
 
