@@ -41,15 +41,36 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     return v.select("transcript_path", "order", get("$.type").alias("event_type"), get("$.timestamp").alias("event_time"), get("$.entrypoint").alias("entrypoint"), get("$.message.role").alias("role"), get("$.message.content").alias("content")).where("event_type is not null")
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Task lines of a Markdown roadmap with their section, sign, priority, title and known fields."""
+# Fields of a task line; a bar before anything else belongs to the text it stands in.
+TASK_FIELDS = ("id", "est", "owner", "added", "started", "done", "took", "blocker")
+
+
+def _task_file(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a Markdown roadmap with their section and place."""
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^##[ \t]+")).alias("s", "part"))
     section = F.trim(F.regexp_extract("part", r"^([^\r\n]*)", 1))
-    lines = raw.where("s > 0").select("s", section.alias("section"), F.posexplode(F.split("part", r"\r?\n")).alias("i", "line"))
-    m = r"^- \[(.)\] (?:(P[0-3]) )?([^|]*?)\s*(?:\|(.*))?$"
-    rows = lines.where(F.col("line").rlike(m))
-    fields = F.str_to_map(F.regexp_replace(F.regexp_extract("line", m, 4), r"\s*\|\s*", "\n"), F.lit("\n"), F.lit(":"))
-    known = lambda k: F.nullif(F.trim(F.try_element_at("f", F.lit(k))), F.lit(""))
-    return rows.select("section", (F.col("s") * 100_000 + F.col("i")).alias("pos"), F.regexp_extract("line", m, 1).alias("sign"), F.nullif(F.regexp_extract("line", m, 2), F.lit("")).alias("priority"), F.trim(F.regexp_extract("line", m, 3)).alias("title"), F.transform_keys(fields, lambda k, v: F.trim(k)).alias("f")).select(
-        "section", "pos", "sign", "priority", "title", *[known(k).alias(k) for k in ("id", "est", "owner", "added", "started", "done", "took", "blocker")]
+    lines = raw.where("s > 0").select(F.col("s").cast("bigint").alias("s"), section.alias("section"), F.posexplode(F.split("part", r"\r?\n")).alias("i", "line")).where("i > 0")
+    return lines.select("section", (F.col("s") * (1 << 32) + F.col("i")).alias("pos"), "line")
+
+
+NEXT_FIELD = rf"\s*\|\s*(?:{'|'.join(TASK_FIELDS)})\s*:"
+TASK_LINE = rf"^- \[(.)\] (?:(P[0-3]) )?(.*?)((?:{NEXT_FIELD}.*)?)$"
+
+
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Task lines of a Markdown roadmap with their section, sign, priority, title and known fields; ``repeated`` marks ids that several lines hold.
+
+    A bar separates only before a known field; of a field that stands twice the first counts. A line without an id has none (its old name follows from the title).
+    """
+    rows = _task_file(spark, path).where(F.col("line").rlike(TASK_LINE))
+    field = lambda k: F.nullif(F.trim(F.regexp_extract(F.regexp_extract("line", TASK_LINE, 4), rf"\|\s*{k}\s*:(.*?)(?={NEXT_FIELD}|$)", 1)), F.lit(""))
+    tasks = rows.select(
+        "section", "pos", F.regexp_extract("line", TASK_LINE, 1).alias("sign"), F.nullif(F.regexp_extract("line", TASK_LINE, 2), F.lit("")).alias("priority"), F.trim(F.regexp_extract("line", TASK_LINE, 3)).alias("title"), *[field(k).alias(k) for k in TASK_FIELDS]
     )
+    twice = tasks.where("id is not null").groupBy("id").agg((F.count("*") > 1).alias("repeated"))
+    return tasks.join(twice, "id", "left").select("section", "pos", "sign", "priority", "title", *TASK_FIELDS, F.coalesce("repeated", F.lit(False)).alias("repeated"))
+
+
+def read_task_notes(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a roadmap's sections that are no tasks and not blank."""
+    return _task_file(spark, path).where(~F.col("line").rlike(TASK_LINE) & (F.trim("line") != ""))

@@ -38,6 +38,13 @@ def test_task_lines(spark, tmp_path):
     assert got == [("Now", "~", "P1", "Fix it", "2h", "ada", None), ("Now", " ", None, "Plain one", None, None, None), ("Done", "x", "P0", "Old", None, None, "task-1")]
 
 
+def test_task_lines_with_bars_notes_and_repeated_ids(spark, tmp_path):
+    (tmp_path / "r.md").write_text("## Now\n- [ ] A | b | c | owner: x | y | est: 1h | owner: z\n  note of it\n\n- [?] P9 odd | id: t1\n## Done\n- [x] P0 | id: t1 | took: 2h\n- [x]no task\n")
+    rows = pages.read_tasks(spark, str(tmp_path / "r.md")).orderBy("pos").collect()
+    assert [(r.sign, r.priority, r.title, r.owner, r.est, r.id, r.took, r.repeated) for r in rows] == [(" ", None, "A | b | c", "x | y", "1h", None, None, False), ("?", None, "P9 odd", None, None, "t1", None, True), ("x", "P0", "", None, None, "t1", "2h", True)]
+    assert [(r.section, r.line) for r in pages.read_task_notes(spark, str(tmp_path / "r.md")).orderBy("pos").collect()] == [("Now", "  note of it"), ("Done", "- [x]no task")]
+
+
 def test_snapshots_are_published_once(spark, tmp_path):
     root = str(tmp_path / "table")
     assert snapshots.current(spark, root) == (0, None) and snapshots.read(spark, root) is None
