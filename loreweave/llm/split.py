@@ -18,7 +18,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..session import sized_broadcast
 from .common import spread
 
 MAX_CHARS, MAX_LINES, OVERLAP, OVERLAP_CHARS = 12_000, 80, 10, 200
@@ -315,6 +317,12 @@ def find_units(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: int = M
     return found.groupBy("id", "line_no").agg(F.max("unit").alias("unit"))
 
 
+PIECES = ArrayType(StructType([
+    *(StructField(c, IntegerType()) for c in ("piece_no", "n_pieces", "line_start", "line_end", "col_start", "col_end")),
+    StructField("func_name", StringType()), StructField("content", StringType()), StructField("shared_lines", IntegerType()), StructField("shared_chars", IntegerType()),
+]))
+
+
 def split_oversized(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
     """All records within the limits: small ones as they are (``piece_no`` 1), oversized ones as pieces.
 
@@ -323,26 +331,33 @@ def split_oversized(chunks: DataFrame, max_chars: int = MAX_CHARS, max_lines: in
     (from 1 where it has none, as wiki rows do).
     """
     base = chunks.select("id", "kind", "lang", "file_path", "line_start", "line_end", "func_name", "content").where("id is not null")
-    big = F.coalesce(_big(base, max_chars, max_lines), F.lit(False))
-    schema = "id bigint, piece_no int, n_pieces int, line_start int, line_end int, col_start int, col_end int, func_name string, content string, shared_lines int, shared_chars int"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, kind, lang, path, first, own, text in pdf[["id", "kind", "lang", "file_path", "line_start", "func_name", "content"]].itertuples(index=False, name=None):
-                parts = pieces(text, kind, lang, path, max_chars, max_lines, overlap)
-                shift = int(first) - 1 if first == first and first and first > 0 else 0
-                for no, (a, b, x, y, unit, content, shared, chars) in enumerate(parts, 1):
-                    rows.append((key, no, len(parts), a + shift, b + shift, x, y, unit or own, content, shared, chars))
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            yield frame.astype({"col_start": "Int32", "col_end": "Int32"})
-
-    once = ["id", "piece_no"]
-    small = base.where(~big).select(
-        "id", F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), "line_start", "line_end",
-        F.lit(None).cast("int").alias("col_start"), F.lit(None).cast("int").alias("col_end"), "func_name", "content", F.lit(0).alias("shared_lines"), F.lit(0).alias("shared_chars"),
-    )
-    return spread(base.where(big), "id").mapInPandas(cut, schema).unionByName(small).dropDuplicates(once)
+    # only records of repeated ids are shuffled with their texts, as long as these ids are few enough to be sent along
+    again = sized_broadcast(base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    once = base.join(again, "id", "left_anti").unionByName(base.join(again, "id", "left_semi").dropDuplicates(["id"]))
+
+    @F.pandas_udf(PIECES)
+    def cut(texts: pd.Series, kinds: pd.Series, langs: pd.Series, paths: pd.Series, firsts: pd.Series, owns: pd.Series) -> pd.Series:
+        found = []
+        for text, kind, lang, path, first, own in zip(texts, kinds, langs, paths, firsts, owns):
+            if text is None:
+                found.append(None)
+                continue
+            parts = pieces(text, kind, lang, path, max_chars, max_lines, overlap)
+            shift = int(first) - 1 if first == first and first and first > 0 else 0
+            found.append([
+                {"piece_no": no, "n_pieces": len(parts), "line_start": a + shift, "line_end": b + shift, "col_start": x, "col_end": y, "func_name": unit or own, "content": content, "shared_lines": lines, "shared_chars": chars}
+                for no, (a, b, x, y, unit, content, lines, chars) in enumerate(parts, 1)
+            ])
+        return pd.Series(found, dtype=object)
+
+    big = F.coalesce(_big(once, max_chars, max_lines), F.lit(False))
+    # only oversized texts go through Python, and the table is read as one
+    parts = cut(F.when(big, F.col("content")), "kind", "lang", "file_path", "line_start", "func_name")
+    none, one, zero = F.lit(None).cast("int"), F.lit(1), F.lit(0)
+    small = F.array(F.struct(
+        one.alias("piece_no"), one.alias("n_pieces"), "line_start", "line_end", none.alias("col_start"), none.alias("col_end"), "func_name", "content", zero.alias("shared_lines"), zero.alias("shared_chars")
+    ))
+    return once.select("id", "line_start", "line_end", "func_name", "content", parts.alias("_p")).select("id", F.explode(F.coalesce("_p", small)).alias("p")).select("id", "p.*")
 
 
 def reassembled(pieces_: DataFrame) -> DataFrame:
