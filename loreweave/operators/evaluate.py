@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
-from ..session import first_by, range_blocks, table
+from ..session import checkpoints, first_by, range_blocks, table
 
 SPLITS = {"train": "training", "dev": "development", "eval": "evaluation"}
 
@@ -129,7 +129,9 @@ def ranked_spans(spark: SparkSession, d: str) -> DataFrame:
     whole = path_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.lit(1).alias("a"), F.coalesce("last", F.lit(0)).alias("b"), (F.coalesce("last", F.lit(0)) >= 1).alias("valid"))
     good = F.coalesce((F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")) & (F.col("line_end") <= F.col("last")), F.lit(False))
     parts = span_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.col("line_start").alias("a"), F.col("line_end").alias("b"), good.alias("valid"))
-    both = whole.withColumn("list", F.lit(1)).unionByName(parts.withColumn("list", F.lit(2)))
+    checkpoints(spark)
+    both = whole.withColumn("list", F.lit(1)).unionByName(parts.withColumn("list", F.lit(2))).checkpoint()  # read by every list and the fusion
+    whole, parts = both.where("list = 1"), both.where("list = 2")
     votes = both.groupBy("query_id", "list", "path").agg(F.min("rank").alias("first"))
     place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy("first"))
     fused = votes.withColumn("r", place).groupBy("query_id", "path").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("rrf"))
@@ -152,7 +154,7 @@ def span_judgements(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     A target is found by a valid hit on its path whose lines overlap the target's lines.
     """
     q = first_by(table(spark, d, "dataset").select("id", "relevant", "added_at"), ["id"], -F.coalesce(F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)), F.xxhash64(F.to_json("relevant"))).withColumnRenamed("id", "query_id")
-    methods = hits.select("method").distinct()
+    methods = hits.select("method").distinct()  # three rows
     targets = q.select("query_id", F.posexplode("relevant").alias("t", "r")).select("query_id", "t", plain_path(F.col("r.path")).alias("path"), F.col("r.start_line").alias("s"), F.col("r.end_line").alias("e"))
     met = targets.join(hits.where("valid"), ["query_id", "path"]).where("a <= e and b >= s").groupBy("method", "query_id", "t").agg(F.min("rank").alias("rank"))
     each = targets.select("query_id", "t").join(F.broadcast(methods)).join(met, ["method", "query_id", "t"], "left")  # three methods
@@ -166,7 +168,7 @@ def span_judgements(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
 
 def span_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The judgements by method and split, with the totals of each method."""
-    rows = span_judgements(spark, d, ranked_spans(spark, d)).join(judged(spark, d).select(F.col("id").alias("query_id"), "split"), "query_id")
+    rows = span_judgements(spark, d, ranked_spans(spark, d).checkpoint()).join(judged(spark, d).select(F.col("id").alias("query_id"), "split"), "query_id")
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
     g = rows.rollup("method", "split").agg(
         F.count("*").alias("queries"), F.count_if("answerable").alias("answerable"), mean("recall_1"), mean("recall_3"), mean("recall_5"), mean("rr"),

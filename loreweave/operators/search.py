@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import first_line_with, keyword_score, lower_score, plain_path, words
-from ..session import table
+from ..session import spread, table
 
 QUESTION = "which backlink graph reads the snapshot store after the nightly retention sweep"
 KEYWORDS = ["which", "backlink", "graph", "reads", "the", "snapshot", "store", "after", "the", "nightly", "retention", "sweep"]
@@ -151,7 +151,7 @@ def nearest_to_question(vectors: DataFrame, key: str, k: int, least: float, ques
 
 def mock_search(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     """Documents by cosine of the mock vectors to the question; the ``k`` best."""
-    v = _distinct_docs(spark, d).select("doc_id", dense_vector("text").alias("vec")).where("vec is not null")
+    v = spread(_distinct_docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", dense_vector("text").alias("vec")).where("vec is not null")
     return nearest_to_question(v, "doc_id", k, -1.0).select("doc_id", "score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGE, plain_path
-from ..session import checkpoints, first_by, nth, table
+from ..session import checkpoints, first_by, nth, spread, table
 from .graph import connected_components
 from .search import KEYWORDS, QUESTION, dense_vector, keyword_topk, nearest_to_question, ranked, rrf
 from .vectors import QUERY_EVERY, knn
@@ -18,12 +18,13 @@ from .vectors import QUERY_EVERY, knn
 def record_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Stored vectors of the index records with what filters need; no texts. Repeated rows count once."""
     checkpoints(spark)
-    c = table(spark, d, "chunks").select("id", "kind", "project", plain_path(F.col("file_path")).alias("path"), F.lower(F.trim("lang")).alias("lang"), dense_vector("content").alias("vec"))
+    rows = spread(table(spark, d, "chunks").select("id", "kind", "project", "file_path", "lang", "content"), "id")
+    c = rows.select("id", "kind", "project", plain_path(F.col("file_path")).alias("path"), F.lower(F.trim("lang")).alias("lang"), dense_vector("content").alias("vec"))
     return first_by(c, ["id"], F.xxhash64("vec")).where("vec is not null").checkpoint()
 
 
 def text_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", dense_vector("text").alias("vec")).where("vec is not null")
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "doc_id").select("doc_id", dense_vector("text").alias("vec")).where("vec is not null")
 
 
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -73,36 +74,38 @@ def semantic_sessions(spark: SparkSession, d: str) -> DataFrame:
     return nearest_to_question(s, "id", 15, 0.0, "why does the backlink graph drop the snapshot").select("id", "score")
 
 
-def _neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
-    v = record_vectors(spark, d)
+def _neighbours(v: DataFrame, k: int) -> DataFrame:
     return knn(v, v.where(f"id % {QUERY_EVERY} = 0"), "id", "vec", k, digits=9).checkpoint()
 
 
 def record_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The nearest records of each query with the files of both."""
-    f = record_vectors(spark, d).select("id", "project", "path")
-    n = _neighbours(spark, d, 5).join(f.select(F.col("id").alias("query_id"), F.col("path").alias("query_path")), "query_id").join(f.select(F.col("id").alias("neighbour"), "path"), "neighbour")
+    v = record_vectors(spark, d)
+    f = v.select("id", "project", "path")
+    n = _neighbours(v, 5).join(f.select(F.col("id").alias("query_id"), F.col("path").alias("query_path")), "query_id").join(f.select(F.col("id").alias("neighbour"), "path"), "neighbour")
     return n.select("query_id", "query_path", "neighbour", "path", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def file_graph(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files by their nearest records: best score, and whether it is strong by the adaptive threshold (the score at 0.85 of all pairs, and 0.1 more)."""
-    f = record_vectors(spark, d).select("id", F.concat_ws(":", "project", "path").alias("file"))
-    n = _neighbours(spark, d, 4).join(f.select(F.col("id").alias("query_id"), F.col("file").alias("x")), "query_id").join(f.select(F.col("id").alias("neighbour"), F.col("file").alias("y")), "neighbour")
+    v = record_vectors(spark, d)
+    f = v.select("id", F.concat_ws(":", "project", "path").alias("file"))
+    n = _neighbours(v, 4).join(f.select(F.col("id").alias("query_id"), F.col("file").alias("x")), "query_id").join(f.select(F.col("id").alias("neighbour"), F.col("file").alias("y")), "neighbour")
     pairs = n.where("x <> y").groupBy(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).agg(F.round(F.max("score"), 6).alias("score"), F.count("*").alias("edges")).checkpoint()
     cut = nth(pairs, "score", F.least(F.floor(F.col("n") * 0.85), F.col("n") - 1), ties=["file_a", "file_b"]).withColumnRenamed("score", "cut")
     edge = F.when(F.col("score") >= F.col("cut") + 0.1, "strong").when(F.col("score") >= F.col("cut"), "kept").otherwise("below")
     return pairs.join(F.broadcast(cut)).select("file_a", "file_b", "score", "edges", edge.alias("edge"))
 
 
-def _text_neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _text_neighbours(spark: SparkSession, d: str, records: DataFrame, k: int) -> DataFrame:
     """Records next to texts: every hundredth text against all records of all kinds."""
-    return knn(record_vectors(spark, d).withColumnRenamed("id", "rid"), text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0"), "rid", "vec", k, own="doc_id", digits=9)
+    return knn(records.withColumnRenamed("id", "rid"), text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0"), "rid", "vec", k, own="doc_id", digits=9)
 
 
 def anchors(spark: SparkSession, d: str, k: int = 6, least: float = 0.3, most: int = 3) -> DataFrame:
     """Code that texts lean on: among the nearest records of all kinds, the first ``most`` code records with the score."""
-    n = _text_neighbours(spark, d, k).join(record_vectors(spark, d).where("kind = 'code'").select(F.col("id").alias("neighbour"), "path"), "neighbour").where(F.col("score") >= least)
+    v = record_vectors(spark, d)
+    n = _text_neighbours(spark, d, v, k).join(v.where("kind = 'code'").select(F.col("id").alias("neighbour"), "path"), "neighbour").where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return n.withColumn("place", place.cast("bigint")).where(f"place <= {most}").select(F.col("query_id").alias("doc_id"), "neighbour", "path", F.round("score", 6).alias("score"), "place")
 
@@ -110,7 +113,7 @@ def anchors(spark: SparkSession, d: str, k: int = 6, least: float = 0.3, most: i
 def isolated_texts(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
     """Queried texts that name no indexed file and have no record as near as ``least``."""
     q = text_vectors(spark, d).where(f"doc_id % {QUERY_EVERY} = 0").select("doc_id")
-    near = _text_neighbours(spark, d, 1).where(F.col("score") >= least).select(F.col("query_id").alias("doc_id"))
+    near = _text_neighbours(spark, d, record_vectors(spark, d), 1).where(F.col("score") >= least).select(F.col("query_id").alias("doc_id"))
     names = table(spark, d, "documents").where(f"doc_id % {QUERY_EVERY} = 0").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EDGE + r"([A-Za-z0-9_-]+\.(?:py|go|ts|js|rs|rb|java|sh|c|h))" + EDGE), 1)).alias("name"))
     files = table(spark, d, "chunks").select(F.regexp_extract(plain_path(F.col("file_path")), r"([^/]*)$", 1).alias("name")).distinct()
     return q.join(near, "doc_id", "left_anti").join(names.join(files, "name").select("doc_id"), "doc_id", "left_anti")
@@ -118,7 +121,7 @@ def isolated_texts(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame
 
 def semantic_groups(spark: SparkSession, d: str, least: float = 0.85) -> DataFrame:
     """Records that near pairs join: one row per queried record or partner of one, with its group."""
-    e = _neighbours(spark, d, 5).where(F.col("score") >= least).select(F.col("query_id").alias("a"), F.col("neighbour").alias("b"))
+    e = _neighbours(record_vectors(spark, d), 5).where(F.col("score") >= least).select(F.col("query_id").alias("a"), F.col("neighbour").alias("b"))
     return connected_components(e).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 

@@ -47,6 +47,12 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int
     return F.broadcast(df) if sizes[0] <= limit and sizes[1] <= most_bytes else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before work that is heavy per row, where the scan gives fewer splits; else as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
 def range_blocks(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
     """Add ``_block``, the number of a range partition over ``order``: a hot key is cut into as many blocks as its share needs."""
     spark = df.sparkSession
