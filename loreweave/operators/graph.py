@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
-from ..session import checkpoints, first_by, table
+from ..session import checkpoints, first_by, sized_broadcast, table
 from .audit import mentions, pages
 
 
@@ -69,37 +75,165 @@ def isolated_pages(spark: SparkSession, d: str) -> DataFrame:
     return p.join(mentions(p).join(files, "target", "left_semi").select("id").distinct(), "id", "left_anti").select("id", "slug")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """Hashes of the distinct runs of ``size`` words of each text that has that many."""
-    docs = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("w"))
-    w = F.col("w")  # a column of its own: inside the lambda it would be computed for every run
-    last = F.greatest(F.size(w) - (size - 1), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " ")))
-    return docs.where(F.size(w) >= size).select(key, F.array_distinct(runs).alias("s"))
+#: Words in a shingle, and slots of the table of how often shingles occur.
+RUN, SLOTS = 5, 1 << 21
+
+
+def word_hashes(text: Column) -> Column:
+    """The hash of each word of a text, in order."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: F.xxhash64(w))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in steps whose arrays stay small beside the worker itself."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def _runs(w: pa.Array, size: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of word hashes: number of the list and 56-bit hash of each run of ``size`` words, in order."""
+    of = np.repeat(np.arange(len(w)), np.asarray(pc.fill_null(pc.list_value_length(w), 0)))
+    flat = pc.list_flatten(w).to_numpy(zero_copy_only=False).view(np.uint64)
+    last = max(len(flat) - size + 1, 0)
+    h = np.zeros(last, np.uint64)
+    for i in range(size):
+        h = (h + flat[i : i + last]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    inside = of[:last] == of[len(of) - last :]
+    return of[:last][inside], (h[inside] >> np.uint64(8)).astype(np.int64)
+
+
+def _distinct(of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs once, in order."""
+    order = np.lexsort((x, of))
+    of, x = of[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (of[1:] != of[:-1]) | (x[1:] != x[:-1])
+    return of[new], x[new]
+
+
+def run_classes(hashes: DataFrame) -> np.ndarray:
+    """How often runs of words occur, by slots of their hash, as the binary order of the number: 2 MB, however large the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int32)
+        for b in _slices(batches):
+            slot, times = np.unique(_runs(b.column("w"))[1] & (SLOTS - 1), return_counts=True)
+            n[slot] += times.astype(np.int32)
+        parts = np.split(n, 16)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(16), pa.int32()), "n": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, n in zip(b.column("part").to_pylist(), b.column("n")):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(n.as_py()), np.int32).astype(np.int64)
+        for part, n in sums.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([np.ceil(np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    rows = hashes.mapInArrow(count, "part int, n binary").repartition(16, "part").mapInArrow(total, "part int, n binary").collect()  # 16 rows
+    parts = {r.part: np.frombuffer(r.n, np.uint8) for r in rows}
+    return np.concatenate([parts.get(i, np.zeros(SLOTS // 16, np.uint8)) for i in range(16)])
+
+
+def first_runs(hashes: DataFrame, key: str, least: float) -> DataFrame:
+    """``x``, ``key``, ``n``, ``i``: of each text's ``n`` distinct runs, rare ones first, those of which two similar texts share one, with their place."""
+    classes = run_classes(hashes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            of, x = _runs(b.column("w"))
+            of, x = _distinct(of, x | classes[x & (SLOTS - 1)].astype(np.int64) << 56)
+            n = np.bincount(of, minlength=b.num_rows)
+            i = np.arange(len(x)) - (np.cumsum(n) - n)[of]
+            kept = i < (n - np.ceil(n * least - 1e-9) + 1)[of]
+            yield pa.RecordBatch.from_pydict({"x": x[kept], key: b.column(key).take(pa.array(of[kept])), "n": n[of[kept]].astype(np.int32), "i": i[kept].astype(np.int32)})
+
+    return hashes.mapInArrow(cut, f"x long, `{key}` {hashes.schema[key].dataType.simpleString()}, n int, i int")
+
+
+def meeting_pairs(index: DataFrame, key: str, least: float, at_once: int = 1 << 18) -> DataFrame:
+    """Pairs of keys that share a run and by their sizes and the run's places can be similar; the postings of one run are paired in bounded steps."""
+    kind = index.schema[key].dataType.simpleString()
+
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, code = np.unique(t[key].to_numpy(), return_inverse=True)
+        x, n, i = (t[c].to_numpy().astype(np.int64) for c in ("x", "n", "i"))
+        order = np.lexsort((n, x))
+        x, n, i, code = x[order], n[order], i[order], code[order]
+        run = np.cumsum(np.r_[0, x[1:] != x[:-1]]) << 32
+        more = np.searchsorted(run + n, run + np.floor((n + 1e-9) / least).astype(np.int64), "right") - np.arange(len(n)) - 1
+        upto = np.cumsum(more)
+        start = 0
+        while start < len(n):
+            stop = max(int(np.searchsorted(upto, (upto[start - 1] if start else 0) + at_once, "right")), start + 1)
+            k = more[start:stop]
+            p = np.repeat(np.arange(start, stop), k)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+            good = (np.minimum(n[p] - i[p], n[q] - i[q]) >= least / (1 + least) * (n[p] + n[q]) - 1e-9) & (code[p] != code[q])
+            both = np.unique(np.minimum(code[p], code[q])[good] * len(keys) + np.maximum(code[p], code[q])[good])
+            if len(both):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(keys[both // len(keys)]), "b": pa.array(keys[both % len(keys)])})
+            start = stop
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("x").to_numpy()
+            cut = int(np.searchsorted(x, x[-1]))  # the last run may go on
+            if held and (cut or held[-1].column("x")[0].as_py() != x[0]):
+                yield from meet(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from meet(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from meet(pa.Table.from_batches(held))
+
+    return index.repartition("x").sortWithinPartitions("x").mapInArrow(walk, f"a {kind}, b {kind}").distinct()
+
+
+def shared_runs(rows: DataFrame) -> DataFrame:
+    """``a``, ``b``, the numbers of their distinct runs and of those in both, from the word hashes ``wa`` and ``wb``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            sides = [_distinct(*_runs(b.column(c))) for c in ("wa", "wb")]
+            na, nb = (np.bincount(of, minlength=b.num_rows) for of, _ in sides)
+            of, x = (np.concatenate(v) for v in zip(*sides))
+            either = np.bincount(_distinct(of, x)[0], minlength=b.num_rows)
+            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "na": na, "nb": nb, "both": na + nb - either})
+
+    return rows.mapInArrow(count, f"a {rows.schema['a'].dataType.simpleString()}, b {rows.schema['b'].dataType.simpleString()}, na long, nb long, both long")
 
 
 def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
     """Pairs of different texts whose sets of five-word shingles have a Jaccard similarity of at least ``least``.
 
-    Equal texts are one class and joined once, by their smallest key. The join is exact: with shingles in order
-    of their rarity, two similar sets share one of their first (1 - least) n + 1 shingles, and sets of too different
-    sizes can't meet.
+    Equal texts are one class and joined once, by their smallest key. The join is exact: with shingles in one order for all
+    texts, two similar sets share one of their first (1 - least) n + 1 shingles, and sets of too different sizes can't meet. The order
+    is by rarity, as far as counts by slot tell it, so few other sets meet. Only those first shingles are shuffled, and
+    the texts of pairs that met; shingles are computed where they are needed, never written out.
     """
-    classes = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("h")).agg(F.min(key).alias(key), F.first(text).alias(text))
+    low = least - 5e-7  # what is rounded to ``least``
     checkpoints(docs.sparkSession)
-    sets = shingle_sets(classes, key, text).checkpoint()
-    # outer, as the arrays are never empty: an inner one adds a filter that computes them a second time
-    flat = sets.select(key, F.size("s").alias("n"), F.explode_outer("s").alias("x"))
-    rarity = flat.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-    alone = flat.join(rarity, "x").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("known"))
-    prefix_size = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    # shingles no other text has come first in the order of rarity and match nothing
-    left = F.greatest(prefix_size - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
-    index = alone.where(left > 0).select(key, "n", F.explode(F.slice("known", F.lit(1), left)).alias("k")).select(key, "n", "k.x")
-    found = index.alias("p").join(index.alias("q"), "x").where(f"p.{key} < q.{key} and p.n >= {least} * q.n - 1e-9 and q.n >= {least} * p.n - 1e-9").select(F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b")).distinct()
-    full = found.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return full.withColumn("similarity", F.round(both / (F.size("sa") + F.size("sb") - both), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("h"))
+    classes = docs.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    again = sized_broadcast(docs.select(key, "h").join(classes, "h").where(F.col(key) > F.col("first")).select(key, "h").distinct().checkpoint())
+    texts = docs.join(again, [key, "h"], "left_anti").select(key, text)
+    index = first_runs(texts.select(key, word_hashes(F.col(text)).alias("w")), key, low)
+    met = meeting_pairs(index, key, low).checkpoint()
+    keys = met.select(F.col("a").alias(key)).union(met.select("b")).distinct()
+    wanted = sized_broadcast(keys)
+    if wanted is not keys:
+        texts = texts.join(wanted, key, "left_semi")
+    full = met.join(texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("tb")), "b")
+    shared = shared_runs(full.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb")))
+    similarity = F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)
+    return shared.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()  # a row twice in the table is one
 
 
 def find_duplicates(spark: SparkSession, d: str) -> DataFrame:
