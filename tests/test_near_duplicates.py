@@ -52,3 +52,13 @@ def test_edited_copies_shuffle_less_than_twice_their_texts(spark, tmp_path):
     before = shuffled(spark)
     assert graph.edited_copies(spark, str(tmp_path)).count() == 2_000
     assert shuffled(spark) - before < 2 * 2 * sum(len(t) for _, t in docs)
+
+
+def test_find_duplicates_makes_no_table_of_shingles(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(3_000)]
+    docs += [(10_000 + i, docs[i][1] + " more") for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    before = shuffled(spark)
+    assert {(r.a, r.b) for r in graph.find_duplicates(spark, str(tmp_path)).collect()} == {(i, 10_000 + i) for i in range(5)}
+    assert shuffled(spark) - before < sum(len(t) for _, t in docs)
