@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +23,48 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     return once.select("id", "project", "query", F.coalesce("category", F.lit("unknown")).alias("category"), plain.alias("split"), paths.alias("paths"))
 
 
+def best_by_rarest(queries: DataFrame, items: DataFrame, top: int, rarest: int = 3) -> DataFrame:
+    """The ``top`` items of each query by its rarest words: ``query_id``, ``item``, ``score`` (the sum of 1 / number of items with the word), ``rank``.
+
+    ``queries``: ``query_id``, ``project``, ``word``. ``items``: ``project``, ``item`` (a struct in whose order ties stand), ``words`` (distinct).
+    Queries of the same rarest words are one. Of the items that hold some of the words only the first ``top`` count: whatever stands behind
+    them has no more of the words, or is one of the items that have more. So hits are not listed by query, but ``top`` of each group of words.
+    """
+    post = items.select("project", "item", "words", F.explode("words").alias("word"))
+    df = post.groupBy("project", "word").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    sets = queries.join(df, ["project", "word"]).withColumn("k", place).where(f"k <= {rarest}").groupBy("query_id", "project").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ws"))
+    some = [F.when(F.size("ws") > max(at), F.array(*[F.get("ws", F.lit(i)) for i in at])) for n in range(1, rarest + 1) for at in combinations(range(rarest), n)]
+    wanted = sets.select("project", "ws").distinct()
+    groups = wanted.select("project", "ws", F.explode(F.array_compact(F.array(*some))).alias("t"))
+    once = groups.select("project", "t", F.col("t")[0]["word"].alias("word")).distinct()
+    there = once.join(post, ["project", "word"]).where(F.forall("t", lambda x: F.array_contains("words", x["word"])))
+    first = F.row_number().over(Window.partitionBy("project", "word", "t").orderBy("item"))
+    firsts = there.withColumn("at", first).where(f"at <= {top}").groupBy("project", "word", "t").agg(F.collect_list("item").alias("items"))
+    score = F.round(F.aggregate("t", F.lit(0.0), lambda s, x: s + F.lit(1.0) / x["df"]), 9)
+    found = groups.join(firsts, ["project", "t"]).select("project", "ws", F.explode("items").alias("item"), score.alias("score")).repartition("project", "ws")
+    rank = F.row_number().over(Window.partitionBy("project", "ws").orderBy(F.desc("score"), "item"))
+    best = found.groupBy("project", "ws", "item").agg(F.max("score").alias("score")).withColumn("rank", rank).where(f"rank <= {top}")
+    return sets.join(best, ["project", "ws"]).select("query_id", "item", "score", "rank")
+
+
+def _query_words(spark: SparkSession, d: str) -> DataFrame:
+    return judged(spark, d).select(F.col("id").alias("query_id"), "project", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z]{4,})"), 1))).alias("word"))
+
+
+def _name_words(name: str) -> Column:
+    spaced = F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"))
+    return F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"([a-z]{4,})"), 1)).alias("words")
+
+
 def path_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
     """Files for each query by its three rarest words that stand in paths of the project: an inverted index, rare words count more.
 
     ``query_id``, ``path``, ``score``, ``rank``; ties by path.
     """
-    rx = F.lit(r"([a-z]{4,})")
-    q = judged(spark, d).select("id", "project", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), rx, 1))).alias("word"))
     files = table(spark, d, "chunks").where("kind = 'code'").select("project", plain_path(F.col("file_path")).alias("path")).distinct()
-    spaced = F.lower(F.regexp_replace("path", "([a-z])([A-Z])", "$1 $2"))
-    post = files.select("project", "path", F.explode(F.array_distinct(F.regexp_extract_all(spaced, rx, 1))).alias("word"))
-    df = post.groupBy("project", "word").agg(F.count("*").alias("df"))
-    rarest = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    hits = q.join(df, ["project", "word"]).withColumn("k", rarest).where("k <= 3").join(post, ["project", "word"]).groupBy("id", "path").agg(F.round(F.sum(1.0 / F.col("df")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "path"))
-    return hits.withColumn("rank", rank).where(f"rank <= {top}").withColumnRenamed("id", "query_id")
+    best = best_by_rarest(_query_words(spark, d), files.select("project", F.struct("path").alias("item"), _name_words("path")), top)
+    return best.select("query_id", "item.path", "score", "rank")
 
 
 def ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -102,17 +131,9 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def span_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
     """Records for each query by its three rarest words that stand in names of units of the project: ``query_id``, ``id``, ``path``, ``line_start``, ``line_end``, ``score``, ``rank``."""
-    rx = F.lit(r"([a-z]{4,})")
-    q = judged(spark, d).select(F.col("id").alias("query_id"), "project", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), rx, 1))).alias("word"))
     c = table(spark, d, "chunks").where("kind = 'code' and func_name is not null").select("id", "project", plain_path(F.col("file_path")).alias("path"), "line_start", "line_end", "func_name").dropDuplicates(["id"])
-    spaced = F.lower(F.regexp_replace("func_name", "([a-z])([A-Z])", "$1 $2"))
-    post = c.select("id", "project", "path", "line_start", "line_end", F.explode(F.array_distinct(F.regexp_extract_all(spaced, rx, 1))).alias("word"))
-    df = post.groupBy("project", "word").agg(F.count("*").alias("df"))
-    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "word"))
-    hits = q.join(df, ["project", "word"]).withColumn("k", rarest).where("k <= 3").join(post, ["project", "word"])
-    scored = hits.groupBy("query_id", "id", "path", "line_start", "line_end").agg(F.round(F.sum(1.0 / F.col("df")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "id"))
-    return scored.withColumn("rank", rank).where(f"rank <= {top}")
+    best = best_by_rarest(_query_words(spark, d), c.select("project", F.struct("path", "id", "line_start", "line_end").alias("item"), _name_words("func_name")), top)
+    return best.select("query_id", "item.id", "item.path", "item.line_start", "item.line_end", "score", "rank")
 
 
 def _file_lines(spark: SparkSession, d: str) -> DataFrame:
