@@ -216,13 +216,14 @@ def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.
     Equal texts are one class and joined once, by their smallest key. The join is exact: with shingles in one order for all
     texts, two similar sets share one of their first (1 - least) n + 1 shingles, and sets of too different sizes can't meet. The order
     is by rarity, as far as counts by slot tell it, so few other sets meet. Only those first shingles are shuffled, and
-    the texts of pairs that met; shingles are computed where they are needed, never written out.
+    the texts of pairs that met; shingles are computed where they are needed, never written out. Joins with what grows
+    with the table are merges: before it runs, a text is taken for 20 bytes, and all texts would be broadcast.
     """
     low = least - 5e-7  # what is rounded to ``least``
     checkpoints(docs.sparkSession)
     docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("h"))
     classes = docs.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = sized_broadcast(docs.select(key, "h").join(classes, "h").where(F.col(key) > F.col("first")).select(key, "h").distinct().checkpoint())
+    again = sized_broadcast(docs.select(key, "h").join(classes.hint("merge"), "h").where(F.col(key) > F.col("first")).select(key, "h").distinct().checkpoint())
     texts = docs.join(again, [key, "h"], "left_anti").select(key, text)
     index = first_runs(texts.select(key, word_hashes(F.col(text)).alias("w")), key, low)
     met = meeting_pairs(index, key, low).checkpoint()
@@ -230,7 +231,8 @@ def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.
     wanted = sized_broadcast(keys)
     if wanted is not keys:
         texts = texts.join(wanted, key, "left_semi")
-    full = met.join(texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("tb")), "b")
+    side = lambda k, t: texts.select(F.col(key).alias(k), F.col(text).alias(t)).hint("merge")
+    full = met.join(side("a", "ta"), "a").join(side("b", "tb"), "b")
     shared = shared_runs(full.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb")))
     similarity = F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)
     return shared.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()  # a row twice in the table is one

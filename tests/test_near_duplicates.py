@@ -62,3 +62,15 @@ def test_find_duplicates_makes_no_table_of_shingles(spark, tmp_path):
     before = shuffled(spark)
     assert {(r.a, r.b) for r in graph.find_duplicates(spark, str(tmp_path)).collect()} == {(i, 10_000 + i) for i in range(5)}
     assert shuffled(spark) - before < sum(len(t) for _, t in docs)
+
+
+def test_find_duplicates_broadcasts_no_texts(spark, tmp_path):
+    rng = random.Random(10)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(500)]
+    docs += [(1_000 + i, t + " more") for i, t in docs]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = graph.find_duplicates(spark, str(tmp_path))
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sides = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftAnti" not in x and "LeftSemi" not in x]
+    assert "SortMergeJoin" in plan and not sides
