@@ -8,23 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_path
-from ..session import checkpoints, first_by, range_blocks, table
+from ..session import first_by, range_blocks, table
 
 SPLITS = {"train": "training", "dev": "development", "eval": "evaluation"}
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct judged queries with a plain split."""
+    """Distinct judged queries with a plain split, the plain paths of their targets and the targets as they are."""
     q = table(spark, d, "dataset").select("id", "project", "query", "category", "split", "relevant", "added_at")
     once = first_by(q, ["id"], -F.coalesce(F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)), F.xxhash64(F.to_json("relevant")))
     s = F.lower(F.trim("split"))
     plain = F.when(s.startswith("train"), "training").when(s.startswith("dev"), "development").when(s.startswith("eval"), "evaluation").otherwise("none")
     paths = F.array_distinct(F.transform("relevant", lambda r: plain_path(r["path"])))
-    return once.select("id", "project", "query", F.coalesce("category", F.lit("unknown")).alias("category"), plain.alias("split"), paths.alias("paths"))
+    return once.select("id", "project", "query", F.coalesce("category", F.lit("unknown")).alias("category"), plain.alias("split"), paths.alias("paths"), "relevant")
 
 
-def best_by_rarest(queries: DataFrame, items: DataFrame, top: int, rarest: int = 3) -> DataFrame:
-    """The ``top`` items of each query by its rarest words: ``query_id``, ``item``, ``score`` (the sum of 1 / number of items with the word), ``rank``.
+def rarest_and_best(queries: DataFrame, items: DataFrame, top: int, rarest: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The rarest words ``ws`` of each query, and the ``top`` items of each such set of words: ``item``, ``score`` (the sum of 1 / number of items with the word), ``rank``.
 
     ``queries``: ``query_id``, ``project``, ``word``. ``items``: ``project``, ``item`` (a struct in whose order ties stand), ``words`` (distinct).
     Queries of the same rarest words are one. Of the items that hold some of the words only the first ``top`` count: whatever stands behind
@@ -42,9 +42,16 @@ def best_by_rarest(queries: DataFrame, items: DataFrame, top: int, rarest: int =
     first = F.row_number().over(Window.partitionBy("project", "word", "t").orderBy("item"))
     firsts = there.withColumn("at", first).where(f"at <= {top}").groupBy("project", "word", "t").agg(F.collect_list("item").alias("items"))
     score = F.round(F.aggregate("t", F.lit(0.0), lambda s, x: s + F.lit(1.0) / x["df"]), 9)
-    found = groups.join(firsts, ["project", "t"]).select("project", "ws", F.explode("items").alias("item"), score.alias("score")).repartition("project", "ws")
+    met = groups.join(firsts, ["project", "t"]).select("project", "ws", "items", score.alias("score")).repartition("project", "ws")
+    found = met.select("project", "ws", F.explode("items").alias("item"), "score")
     rank = F.row_number().over(Window.partitionBy("project", "ws").orderBy(F.desc("score"), "item"))
     best = found.groupBy("project", "ws", "item").agg(F.max("score").alias("score")).withColumn("rank", rank).where(f"rank <= {top}")
+    return sets, best
+
+
+def best_by_rarest(queries: DataFrame, items: DataFrame, top: int, rarest: int = 3) -> DataFrame:
+    """The ``top`` items of each query by its rarest words: ``query_id``, ``item``, ``score``, ``rank``."""
+    sets, best = rarest_and_best(queries, items, top, rarest)
     return sets.join(best, ["project", "ws"]).select("query_id", "item", "score", "rank")
 
 
@@ -57,13 +64,17 @@ def _name_words(name: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"([a-z]{4,})"), 1)).alias("words")
 
 
+def _by_path(files: DataFrame, *fields: str) -> DataFrame:
+    return files.select("project", F.struct(*fields).alias("item"), _name_words("path"))
+
+
 def path_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
     """Files for each query by its three rarest words that stand in paths of the project: an inverted index, rare words count more.
 
     ``query_id``, ``path``, ``score``, ``rank``; ties by path.
     """
     files = table(spark, d, "chunks").where("kind = 'code'").select("project", plain_path(F.col("file_path")).alias("path")).distinct()
-    best = best_by_rarest(_query_words(spark, d), files.select("project", F.struct("path").alias("item"), _name_words("path")), top)
+    best = best_by_rarest(_query_words(spark, d), _by_path(files, "path"), top)
     return best.select("query_id", "item.path", "score", "rank")
 
 
@@ -129,10 +140,14 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return mean.join(at, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0)).alias("n"), "p50", "p95", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "mean")
 
 
+def _by_unit(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("kind = 'code' and func_name is not null").select("id", "project", plain_path(F.col("file_path")).alias("path"), "line_start", "line_end", "func_name").dropDuplicates(["id"])
+    return c.select("project", F.struct("path", "id", "line_start", "line_end").alias("item"), _name_words("func_name"))
+
+
 def span_ranking(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
     """Records for each query by its three rarest words that stand in names of units of the project: ``query_id``, ``id``, ``path``, ``line_start``, ``line_end``, ``score``, ``rank``."""
-    c = table(spark, d, "chunks").where("kind = 'code' and func_name is not null").select("id", "project", plain_path(F.col("file_path")).alias("path"), "line_start", "line_end", "func_name").dropDuplicates(["id"])
-    best = best_by_rarest(_query_words(spark, d), c.select("project", F.struct("path", "id", "line_start", "line_end").alias("item"), _name_words("func_name")), top)
+    best = best_by_rarest(_query_words(spark, d), _by_unit(spark, d), top)
     return best.select("query_id", "item.id", "item.path", "item.line_start", "item.line_end", "score", "rank")
 
 
@@ -140,28 +155,49 @@ def _file_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where("kind = 'code'").groupBy("project", plain_path(F.col("file_path")).alias("path")).agg(F.max("line_end").alias("last"))
 
 
-def ranked_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of three methods as line spans: files by path words (the whole file), records by unit names, and both fused by file.
+def hit_lists(spark: SparkSession, d: str, top: int = 5) -> DataFrame:
+    """Hits of three methods as line spans: ``files`` by path words (the whole file), ``spans`` by unit names, and both ``fused`` by file, a row per query.
 
-    ``method``, ``query_id``, ``rank``, ``path``, ``a``, ``b``, ``valid``: whether the lines are lines of the file. In the fusion a file has one
-    vote a list, by its first rank; ties go to the path; spans of both lists stand for it, and one that isn't valid makes the hit invalid.
+    A hit is ``rank``, ``path``, ``a``, ``b``, ``valid``: whether the lines are lines of the file. Hits are listed by set of rare words and reach
+    a query as one list, so no table of single hits is shuffled or written. In the fusion a file has one vote a list, by its first
+    rank; ties go to the path; spans of both lists stand for it, and one that isn't valid makes the hit invalid.
     """
-    lines, of = _file_lines(spark, d), judged(spark, d).select(F.col("id").alias("query_id"), "project")
-    whole = path_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.lit(1).alias("a"), F.coalesce("last", F.lit(0)).alias("b"), (F.coalesce("last", F.lit(0)) >= 1).alias("valid"))
-    good = F.coalesce((F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")) & (F.col("line_end") <= F.col("last")), F.lit(False))
-    parts = span_ranking(spark, d).join(of, "query_id").join(lines, ["project", "path"], "left").select("query_id", "rank", "path", F.col("line_start").alias("a"), F.col("line_end").alias("b"), good.alias("valid"))
-    checkpoints(spark)
-    both = whole.withColumn("list", F.lit(1)).unionByName(parts.withColumn("list", F.lit(2))).checkpoint()  # read by every list and the fusion
-    whole, parts = both.where("list = 1"), both.where("list = 2")
-    votes = both.groupBy("query_id", "list", "path").agg(F.min("rank").alias("first"))
-    place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy("first"))
-    fused = votes.withColumn("r", place).groupBy("query_id", "path").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("rrf"))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path"))
-    spans = both.groupBy("query_id", "path", "a", "b").agg(F.bool_and("valid").alias("valid"))
-    sound = both.groupBy("query_id", "path").agg(F.bool_and("valid").alias("all_valid"))
-    third = fused.withColumn("rank", order).where("rank <= 5").join(spans, ["query_id", "path"]).join(sound, ["query_id", "path"]).select("query_id", "rank", "path", "a", "b", F.col("all_valid").alias("valid"))
-    tag = lambda rows, name: rows.select(F.lit(name).alias("method"), "query_id", "rank", "path", "a", "b", "valid")
-    return tag(whole, "files").unionByName(tag(parts, "spans")).unionByName(tag(third, "fused"))
+    words, lines = _query_words(spark, d), _file_lines(spark, d)
+
+    def listed(sets: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+        lists = hits.groupBy("project", "ws").agg(F.sort_array(F.collect_list(F.struct("rank", "path", "a", "b", "valid"))).alias(name))
+        return sets.join(lists, ["project", "ws"]).select("query_id", name)
+
+    sets, best = rarest_and_best(words, _by_path(lines, "path", "last"), top)
+    last = F.coalesce("item.last", F.lit(0))
+    files = listed(sets, best.select("project", "ws", "rank", "item.path", F.lit(1).alias("a"), last.alias("b"), (last >= 1).alias("valid")), "files")
+    sets, best = rarest_and_best(words, _by_unit(spark, d), top)
+    parts = best.select("project", "ws", "rank", "item.path", F.col("item.line_start").alias("a"), F.col("item.line_end").alias("b")).join(lines, ["project", "path"], "left")
+    spans = listed(sets, parts.withColumn("valid", F.coalesce((F.col("a") >= 1) & (F.col("a") <= F.col("b")) & (F.col("b") <= F.col("last")), F.lit(False))), "spans")
+    none = F.array().cast("array<struct<rank:int,path:string,a:int,b:int,valid:boolean>>")
+    both = files.join(spans, "query_id", "full").select("query_id", F.coalesce("files", none).alias("files"), F.coalesce("spans", none).alias("spans"))
+    first = lambda c: F.array_distinct(F.transform(c, lambda h: h["path"])).alias(f"{c}_first")
+    both = both.select("query_id", "files", "spans", first("files"), first("spans"), F.concat("files", "spans").alias("both"))
+    vote = lambda c, p: F.when(F.array_contains(f"{c}_first", p), 1.0 / (60 + F.array_position(f"{c}_first", p))).otherwise(0.0)
+    order = F.array_sort(F.transform(F.array_union("files_first", "spans_first"), lambda p: F.struct((-F.round(vote("files", p) + vote("spans", p), 9)).alias("rrf"), p.alias("path"))))
+    of = lambda p: F.filter("both", lambda h: h["path"] == p)
+    placed = F.transform(F.slice(order, 1, 5), lambda o, i: F.struct((i + 1).alias("rank"), o["path"].alias("path"), F.array_distinct(F.transform(of(o["path"]), lambda h: F.struct(h["a"].alias("a"), h["b"].alias("b")))).alias("ab"), F.forall(of(o["path"]), lambda h: h["valid"]).alias("valid")))
+    both = both.select("query_id", "files", "spans", placed.alias("placed"))
+    fused = F.flatten(F.transform("placed", lambda o: F.transform(o["ab"], lambda s: F.struct(o["rank"].alias("rank"), o["path"].alias("path"), s["a"].alias("a"), s["b"].alias("b"), o["valid"].alias("valid")))))
+    return both.select("query_id", "files", "spans", fused.alias("fused"))
+
+
+METHODS = ("files", "spans", "fused")
+
+
+def by_method(lists: DataFrame, *rest: str) -> DataFrame:
+    """A row per query and method with its list of ``hits``."""
+    return lists.select("query_id", *rest, F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("hits")) for m in METHODS])))
+
+
+def ranked_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of ``hit_lists`` as rows: ``method``, ``query_id``, ``rank``, ``path``, ``a``, ``b``, ``valid``."""
+    return by_method(hit_lists(spark, d)).select("method", "query_id", F.inline("hits"))
 
 
 def fused_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -169,29 +205,27 @@ def fused_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("query_id", "path").agg(F.min("rank").cast("bigint").alias("rank"), F.count("*").alias("spans"), F.bool_and("valid").alias("valid"))
 
 
-def span_judgements(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
-    """Per method and query: recall within 1, 3 and 5, reciprocal rank, whether a query without answer got none, invalid hits.
+def span_judgements(spark: SparkSession, d: str) -> DataFrame:
+    """Per method and query: its split, recall within 1, 3 and 5, reciprocal rank, whether a query without answer got none, invalid hits.
 
-    A target is found by a valid hit on its path whose lines overlap the target's lines.
+    A target is found by a valid hit on its path whose lines overlap the target's lines. Lists and targets of a query meet in one row.
     """
-    q = first_by(table(spark, d, "dataset").select("id", "relevant", "added_at"), ["id"], -F.coalesce(F.unix_micros(F.col("added_at").cast("timestamp")), F.lit(0)), F.xxhash64(F.to_json("relevant"))).withColumnRenamed("id", "query_id")
-    methods = hits.select("method").distinct()  # three rows
-    targets = q.select("query_id", F.posexplode("relevant").alias("t", "r")).select("query_id", "t", plain_path(F.col("r.path")).alias("path"), F.col("r.start_line").alias("s"), F.col("r.end_line").alias("e"))
-    met = targets.join(hits.where("valid"), ["query_id", "path"]).where("a <= e and b >= s").groupBy("method", "query_id", "t").agg(F.min("rank").alias("rank"))
-    each = targets.select("query_id", "t").join(F.broadcast(methods)).join(met, ["method", "query_id", "t"], "left")  # three methods
-    within = lambda k: F.avg((F.coalesce("rank", F.lit(99)) <= k).cast("double")).alias(f"recall_{k}")
-    scores = each.groupBy("method", "query_id").agg(within(1), within(3), within(5), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
-    shown = hits.select("method", "query_id", "rank", "path", "valid").distinct().groupBy("method", "query_id").agg(F.count("*").alias("hits"), F.count_if(~F.col("valid")).alias("invalid"))
-    every = q.select("query_id", (F.coalesce(F.size("relevant"), F.lit(0)) > 0).alias("answerable")).join(F.broadcast(methods))
-    found = every.join(shown, ["method", "query_id"], "left").join(scores, ["method", "query_id"], "left")
-    return found.select("method", "query_id", "answerable", "recall_1", "recall_3", "recall_5", "rr", F.when(~F.col("answerable"), F.col("hits").isNull()).alias("abstained"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+    target = F.transform("relevant", lambda r: F.struct(plain_path(r["path"]).alias("path"), r["start_line"].alias("s"), r["end_line"].alias("e")))
+    q = judged(spark, d).where("id is not null").select(F.col("id").alias("query_id"), "split", (F.coalesce(F.size("relevant"), F.lit(0)) > 0).alias("answerable"), target.alias("targets"))
+    rows = by_method(q.join(hit_lists(spark, d), "query_id", "left"), "split", "answerable", "targets")
+    met = lambda t: F.filter("hits", lambda h: h["valid"] & (h["path"] == t["path"]) & (h["a"] <= t["e"]) & (h["b"] >= t["s"]))
+    ranks = F.transform("targets", lambda t: F.array_min(F.transform(met(t), lambda h: h["rank"])))
+    wrong = F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: ~h["valid"]), lambda h: h["rank"])))
+    rows = rows.withColumn("hits", F.coalesce("hits", F.array().cast(rows.schema["hits"].dataType))).select("method", "query_id", "split", "answerable", ranks.alias("ranks"), F.size("hits").alias("n"), wrong.alias("invalid"))
+    within = lambda k: F.when(F.col("answerable"), F.size(F.filter("ranks", lambda r: r <= k)) / F.size("ranks")).alias(f"recall_{k}")
+    rr = F.when(F.col("answerable"), F.coalesce(1.0 / F.array_min("ranks"), F.lit(0.0))).alias("rr")
+    return rows.select("method", "query_id", "split", "answerable", within(1), within(3), within(5), rr, F.when(~F.col("answerable"), F.col("n") == 0).alias("abstained"), "invalid")
 
 
 def span_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The judgements by method and split, with the totals of each method."""
-    rows = span_judgements(spark, d, ranked_spans(spark, d).checkpoint()).join(judged(spark, d).select(F.col("id").alias("query_id"), "split"), "query_id")
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    g = rows.rollup("method", "split").agg(
+    g = span_judgements(spark, d).rollup("method", "split").agg(
         F.count("*").alias("queries"), F.count_if("answerable").alias("answerable"), mean("recall_1"), mean("recall_3"), mean("recall_5"), mean("rr"),
         F.round(F.avg(F.col("abstained").cast("double")), 6).alias("no_answer_accuracy"), F.sum("invalid").alias("invalid"),
     )
