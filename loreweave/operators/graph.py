@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +197,8 @@ def meeting_pairs(index: DataFrame, key: str, least: float, at_once: int = 1 <<
 
 
 def shared_runs(rows: DataFrame) -> DataFrame:
-    """``a``, ``b``, the numbers of their distinct runs and of those in both, from the word hashes ``wa`` and ``wb``."""
+    """The columns but the word hashes ``wa`` and ``wb``, the numbers of their distinct runs and of those in both."""
+    rest = [c for c in rows.columns if c not in ("wa", "wb")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -205,41 +206,84 @@ def shared_runs(rows: DataFrame) -> DataFrame:
             na, nb = (np.bincount(of, minlength=b.num_rows) for of, _ in sides)
             of, x = (np.concatenate(v) for v in zip(*sides))
             either = np.bincount(_distinct(of, x)[0], minlength=b.num_rows)
-            yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b"), "na": na, "nb": nb, "both": na + nb - either})
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in rest} | {"na": na, "nb": nb, "both": na + nb - either})
 
-    return rows.mapInArrow(count, f"a {rows.schema['a'].dataType.simpleString()}, b {rows.schema['b'].dataType.simpleString()}, na long, nb long, both long")
+    return rows.mapInArrow(count, "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in rest) + "na long, nb long, both long")
 
 
-def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
-    """Pairs of different texts whose sets of five-word shingles have a Jaccard similarity of at least ``least``.
+def similar_texts(texts: DataFrame, key: str, text: str, least: float, keep: Sequence[str] = ()) -> DataFrame:
+    """``a``, ``b``, ``similarity``: pairs of keys whose texts are similar, a text in one row; columns to ``keep`` of either side end in ``_a`` and ``_b``.
 
-    Equal texts are one class and joined once, by their smallest key. The join is exact: with shingles in one order for all
-    texts, two similar sets share one of their first (1 - least) n + 1 shingles, and sets of too different sizes can't meet. The order
+    The join is exact: with shingles in one order for all texts, two similar sets share one of their
+    first (1 - least) n + 1 shingles, and sets of too different sizes can't meet. The order
     is by rarity, as far as counts by slot tell it, so few other sets meet. Only those first shingles are shuffled, and
     the texts of pairs that met; shingles are computed where they are needed, never written out. Joins with what grows
     with the table are merges: before it runs, a text is taken for 20 bytes, and all texts would be broadcast.
     """
     low = least - 5e-7  # what is rounded to ``least``
-    checkpoints(docs.sparkSession)
-    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("h"))
-    classes = docs.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = sized_broadcast(docs.select(key, "h").join(classes.hint("merge"), "h").where(F.col(key) > F.col("first")).select(key, "h").distinct().checkpoint())
-    texts = docs.join(again, [key, "h"], "left_anti").select(key, text)
     index = first_runs(texts.select(key, word_hashes(F.col(text)).alias("w")), key, low)
     met = meeting_pairs(index, key, low).checkpoint()
     keys = met.select(F.col("a").alias(key)).union(met.select("b")).distinct()
     wanted = sized_broadcast(keys)
     if wanted is not keys:
         texts = texts.join(wanted, key, "left_semi")
-    side = lambda k, t: texts.select(F.col(key).alias(k), F.col(text).alias(t)).hint("merge")
-    full = met.join(side("a", "ta"), "a").join(side("b", "tb"), "b")
-    shared = shared_runs(full.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb")))
+    side = lambda k: texts.select(F.col(key).alias(k), F.col(text).alias(f"t{k}"), *[F.col(c).alias(f"{c}_{k}") for c in keep]).hint("merge")
+    full = met.join(side("a"), "a").join(side("b"), "b")
+    kept = [f"{c}_{k}" for k in "ab" for c in keep]
+    shared = shared_runs(full.select("a", "b", *kept, word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb")))
     similarity = F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6)
-    return shared.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()  # a row twice in the table is one
+    return shared.select("a", "b", *kept, similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()  # a row twice in the table is one
+
+
+def first_copies(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``key``, ``text`` and ``h`` (its hash), each text by its smallest key only; all ``key`` and ``h``; those of texts with several keys, and their number ``copies``."""
+    checkpoints(docs.sparkSession)
+    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text, F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("h"))
+    hashes = docs.select(key, "h").distinct().checkpoint()
+    classes = hashes.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copied = hashes.join(classes.hint("merge"), "h").checkpoint()
+    again = sized_broadcast(copied.where(F.col(key) > F.col("first")).select(key, "h"))
+    return docs.join(again, [key, "h"], "left_anti"), hashes, copied
+
+
+def near_duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.8) -> DataFrame:
+    """Pairs of different texts whose sets of five-word shingles have a Jaccard similarity of at least ``least``.
+
+    Equal texts are one class and joined once, by their smallest key; ``duplicate_pages`` lists the pairs of all keys.
+    """
+    return similar_texts(first_copies(docs, key, text)[0].select(key, text), key, text, least)
+
+
+def duplicate_pages(docs: DataFrame, key: str, text: str, least: float = 0.8, at_once: int = 128) -> DataFrame:
+    """All pairs of keys with equal texts, however short (similarity 1), or with sets of five-word shingles of a Jaccard similarity of at least ``least``.
+
+    Each text is compared once; its copies stand in blocks of about ``at_once`` keys, and two texts or a text and itself meet block by block,
+    so what is shuffled is a small share of the pairs and the pairs of one text fill many tasks.
+    """
+    texts, hashes, copied = first_copies(docs, key, text)
+    several = not hashes.groupBy(key).count().where("count > 1").isEmpty()  # keys with several texts: then a text goes by its hash
+    texts = texts.select((F.xxhash64("h") if several else F.col(key)).alias("t"), F.col(key).alias("k"), F.col(text).alias("text"), "h")
+    near = similar_texts(texts, "t", "text", least, keep=("k", "h"))
+    if copied.isEmpty():
+        pairs = near.select(F.col("k_a").alias("x"), F.col("k_b").alias("y"), "similarity")
+    else:
+        n = F.ceil(F.col("copies") / at_once)
+        blocks = copied.select("h", F.col(key).alias("k"), n.alias("n"), F.pmod(F.xxhash64(key), n).alias("i")).groupBy("h", "n", "i").agg(F.collect_list("k").alias("keys")).checkpoint()
+        left = blocks.select("h", "i", F.col("keys").alias("xs"), F.explode_outer(F.sequence("i", F.col("n") - 1)).alias("j"))
+        own = left.join(blocks.select("h", F.col("i").alias("j"), F.col("keys").alias("ys")).hint("merge"), ["h", "j"])
+        own = own.select("i", "j", "ys", F.explode_outer("xs").alias("x")).select("i", "j", "x", F.explode_outer("ys").alias("y")).where("i < j or x < y")
+        keys = blocks.select("h", "keys")
+        few = sized_broadcast(keys)
+        members = lambda k: (few if few is not keys else keys.hint("merge")).select(F.col("h").alias(f"h_{k}"), F.col("keys").alias(f"keys_{k}"))
+        all_of = lambda k: F.explode_outer(F.coalesce(f"keys_{k}", F.array(f"k_{k}")))
+        near = near.join(members("a"), "h_a", "left").join(members("b"), "h_b", "left").select("similarity", "k_b", "keys_b", all_of("a").alias("x")).select("x", all_of("b").alias("y"), "similarity")
+        pairs = near.union(own.select("x", "y", F.lit(1.0)))
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return pairs.distinct() if several else pairs
 
 
 def find_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_pages(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return duplicate_pages(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def edited_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +311,7 @@ _EDGES = f"""(select distinct 'q:' || id as a, 'f:' || project || ':' || {_REL}
 _DEG = f"""(select node, sum(o)::bigint as out_links, sum(i)::bigint as in_links, count(*)::bigint as total from (select 'p:' || id as node, 1 as o, 0 as i from (select distinct id, target from {_MENTIONS}) union all select 'f:' || target, 0, 1 from (select distinct id, target from {_MENTIONS})) group by node)"""
 _SH = r"""(select doc_id, len(list_distinct(s)) as n, list_distinct(s) as s from (select doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) as s
   from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from (select min(doc_id) as doc_id, text from documents where text is not null group by text)) where len(w) >= 5))"""
+_COPIES = "(select distinct doc_id, md5(text) as h from documents where text is not null and doc_id is not null)"
 
 SQL = {
     "clusters": f"""with recursive e as (select a, b from {_EDGES} where b is not null union all select b, a from {_EDGES} where b is not null), r(node, reach) as (select distinct a, a from e union select r.node, e.b from r join e on r.reach = e.a),
@@ -275,8 +320,9 @@ SQL = {
     "degrees": f"select * from {_DEG}",
     "god_nodes": f"select * from {_DEG} order by total desc, node limit 20",
     "isolated_pages": f"select id, slug from {_PAGES} where id not in (select id from {_MENTIONS} where target in (select target from {_FILES}))",
-    "find_duplicates": f"""with f as (select doc_id, n, unnest(s) as x from {_SH}), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by all)
-      select a, b, round(i::double / (na + nb - i), 6) as similarity from p where i::double / (na + nb - i) >= 0.8 - 5e-7""",
+    "find_duplicates": f"""with f as (select doc_id as h, n, unnest(s) as x from {_SH.replace("min(doc_id) as doc_id", "md5(text) as doc_id")}), p as (select a.h as ha, b.h as hb, a.n as na, b.n as nb, count(*) as i from f a join f b on a.x = b.x and a.h < b.h group by all),
+      q as (select ha, hb, round(i::double / (na + nb - i), 6) as similarity from p where i::double / (na + nb - i) >= 0.8 - 5e-7 union all select distinct h, h, 1.0::double from {_COPIES})
+      select distinct least(x.doc_id, y.doc_id) as a, greatest(x.doc_id, y.doc_id) as b, similarity from q join {_COPIES} x on x.h = ha join {_COPIES} y on y.h = hb where x.doc_id <> y.doc_id""",
     "edited_copies": f"""with f as (select doc_id, n, unnest(s) as x from {_SH.replace("documents", "(select doc_id, text from documents union all select * from (select -doc_id - 1, regexp_replace(text, '" + chr(92) + "A[^" + chr(92) + "n]*" + chr(92) + "n', '') as text from documents) where text <> '')")}),
       p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as i from f a join f b on a.x = b.x and a.doc_id < b.doc_id group by all) select a, b, round(i::double / (na + nb - i), 6) as similarity from p where i::double / (na + nb - i) >= 0.8 - 5e-7""",
     "duplicate_classes": "select doc_id, min(doc_id) over w as class_id, (count(*) over w)::bigint as copies from documents where text is not null window w as (partition by text)",
